@@ -70,6 +70,107 @@ def group_index(pattern: str) -> int:
     return n
 
 
+#: letters that some non-ASCII character matches when case is ignored (dotless i, Kelvin sign, long s)
+_FOLDED = "iks"
+
+_SHORTEST = 3
+
+
+def _literal_runs(pattern: str) -> Iterator[tuple[str, bool]]:
+    """Yield (text, leading) for literal text that every match contains.
+
+    ``leading`` text is what a match starts with. Only text outside groups and alternatives counts;
+    patterns that switch flags or quote give nothing.
+    """
+    tokens = []
+    counted = False
+    for _, token, in_class in _tokens(pattern):
+        # what stands inside the braces of a repetition is no text
+        if not counted:
+            tokens.append((token, in_class))
+        counted = not in_class and (token == "{" or counted and token != "}")
+    outside = "".join(token for token, in_class in tokens if not in_class)
+    if "\\Q" in outside or re.search(r"\(\?[^:=!<]|\(\?<(?![=!])", outside):
+        return
+    depth, run, leading = 0, "", True
+    zero_width: list[bool] = []
+    following = [token for token, _ in tokens[1:]] + [""]
+    for i, ((token, in_class), after) in enumerate(zip(tokens, following)):
+        if not in_class and token == "|" and depth == 0:
+            raise LookupError("alternatives")
+        literal = depth == 0 and not in_class and _is_literal(token)
+        repeated = after in ("?", "*", "{", "+")
+        if literal and not (repeated and after != "+"):
+            run += token[-1]
+        if literal and not repeated:
+            continue
+        if run:
+            yield run, leading
+            run = ""
+        if not in_class and token == "(":
+            depth += 1
+            ahead = "".join(following[i : i + 3])
+            zero_width.append(bool(re.match(r"\?(?:=|!|<=|<!)", ahead)))
+            leading = leading and (depth > 1 or zero_width[-1])
+        elif not in_class and token == ")":
+            depth -= 1
+            zero_width.pop()
+            leading = leading and (depth > 0 or not repeated)
+        elif depth == 0:
+            leading = leading and token in ("^", r"\b")
+    if run:
+        yield run, leading
+
+
+def _is_literal(token: str) -> bool:
+    if len(token) == 2:
+        return not token[1].isalnum() and token[1].isascii()
+    return token.isascii() and token not in ".^$|()[]{}?*+\\"
+
+
+def literals(pattern: str) -> tuple[str, str]:
+    """(leading, required) literal text of a pattern, either may be empty.
+
+    A match starts with the first. The second, in lower case, is contained in the lower-case form
+    of every text with a match.
+    """
+    try:
+        runs = list(_literal_runs(pattern))
+    except LookupError:
+        return "", ""
+    leading = runs[0][0] if runs and runs[0][1] else ""
+    pieces = [piece for run, _ in runs for piece in re.split(f"[{_FOLDED}]", run.lower())]
+    required = max(pieces, key=len, default="")
+    return leading, required if len(required) >= _SHORTEST else ""
+
+
+def with_leading_check(pattern: str) -> str:
+    """The pattern behind a look-ahead for the text it starts with.
+
+    The meaning is the same. A pattern that opens with a look-behind is otherwise tried in full at
+    every character.
+    """
+    leading, _ = literals(pattern)
+    if not leading or not pattern.startswith("("):
+        return pattern
+    return f"(?={re.sub(r'([^A-Za-z0-9])', r'\\\1', leading)}){pattern}"
+
+
+def find_all(content: Column, lower: Column, pattern: str) -> Column:
+    """All matches of a pattern, in order: the only group of each, or the whole of it.
+
+    ``lower`` is the lower-case content. Where it lacks text that a match must contain, the
+    pattern is not run at all.
+    """
+    found = F.regexp_extract_all(
+        content, F.lit(flagged(with_leading_check(pattern))), F.lit(group_index(pattern))
+    )
+    _, required = literals(pattern)
+    if not required:
+        return found
+    return F.when(F.contains(lower, F.lit(required)), found).otherwise(F.array().cast("array<string>"))
+
+
 def lint(pattern: str) -> None:
     """Refuse what Java would read differently."""
     for i, token, in_class in _tokens(pattern):

@@ -40,7 +40,7 @@ def sorted_distinct(values: Column) -> Column:
     keyed = F.transform(
         F.array_distinct(values), lambda v, i: F.struct(casefold_key(v).alias("k"), i.alias("i"), v.alias("v"))
     )
-    return F.transform(F.array_sort(keyed), lambda s: s["v"])
+    return F.transform(F.sort_array(keyed), lambda s: s["v"])
 
 
 def visible_text(html: Column) -> Column:

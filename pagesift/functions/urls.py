@@ -97,7 +97,7 @@ def canonical(url: Column) -> Column:
         ),
     )
     sorted_query = F.array_join(
-        F.transform(F.array_sort(pairs), lambda p: F.concat(p["name"], F.lit("="), p["value"])), "&"
+        F.transform(F.sort_array(pairs), lambda p: F.concat(p["name"], F.lit("="), p["value"])), "&"
     )
     p = path(url)
     return F.concat(

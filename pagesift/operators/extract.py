@@ -22,10 +22,12 @@ def exclude_content(df: DataFrame, excludes: Sequence[str], column: str = "text"
     return df.withColumn(column, cleaned) if excludes else df
 
 
-def _found(content: Column, entry: Entry) -> Column:
-    """Raw matches of an entry, in order."""
-    pattern = F.lit(patterns.flagged(entry.extract))
-    return F.regexp_extract_all(content, pattern, F.lit(patterns.group_index(entry.extract)))
+_LOWER = "lower_text"
+
+
+def _with_lower(df: DataFrame, column: str) -> DataFrame:
+    """Add the lower-case text, computed once for all patterns."""
+    return df.withColumn(_LOWER, F.lower(column))
 
 
 def decorate(value: Column, entry: Entry) -> Column:
@@ -37,22 +39,26 @@ def decorate(value: Column, entry: Entry) -> Column:
 
 def extract_matches(df: DataFrame, template: Template, ids: Sequence[str], column: str = "text") -> DataFrame:
     """(ids…, key, ord, pos, value): every match of every entry, as found."""
+
     def rows(entry: Entry) -> Column:
         return F.transform(
-            _found(F.col(column), entry),
+            patterns.find_all(F.col(column), F.col(_LOWER), entry.extract),
             lambda v, i: F.struct(
                 F.lit(entry.key).alias("key"), F.lit(entry.ord).alias("ord"), i.alias("pos"), v.alias("value")
             ),
         )
 
     entries = template_for_stage(template, schemas.EXTRACTION)
-    return df.select(*ids, F.inline(F.flatten(F.array(*[rows(e) for e in entries]))))
+    searched = _with_lower(df.select(*ids, column), column)
+    return searched.select(*ids, F.inline(F.flatten(F.array(*[rows(e) for e in entries]))))
 
 
-def results_map(content: Column, template: Template) -> Column:
+def results_map(content: Column, lower: Column, template: Template) -> Column:
     """Map of key to its decorated values, distinct and in order. Keys without a match are absent."""
+
     def values(entry: Entry) -> Column:
-        return text.sorted_distinct(F.transform(_found(content, entry), lambda v: decorate(v, entry)))
+        found = patterns.find_all(content, lower, entry.extract)
+        return text.sorted_distinct(F.transform(found, lambda v: decorate(v, entry)))
 
     entries = template_for_stage(template, schemas.EXTRACTION)
     by_key = F.array(*[F.struct(F.lit(e.key).alias("key"), values(e).alias("values")) for e in entries])
@@ -60,17 +66,28 @@ def results_map(content: Column, template: Template) -> Column:
 
 
 def extract_results(
-    df: DataFrame, template: Template, ids: Sequence[str], excludes: Sequence[str] = (), column: str = "text"
+    df: DataFrame,
+    template: Template,
+    ids: Sequence[str],
+    excludes: Sequence[str] = (),
+    column: str = "text",
+    only_matched: bool = False,
 ) -> DataFrame:
-    """(ids…, results): one row per input row, without a shuffle."""
-    cleaned = exclude_content(df.select(*ids, column), excludes, column)
-    return cleaned.select(*ids, results_map(F.col(column), template).alias("results"))
+    """(ids…, results): one row per input row, or per row with a match, without a shuffle.
+
+    The map leaves through a generator. Behind a plain projection Spark would push filters on it
+    below the projection and so run every pattern once more per filter.
+    """
+    cleaned = _with_lower(exclude_content(df.select(*ids, column), excludes, column), column)
+    rows = F.array(F.struct(results_map(F.col(column), F.col(_LOWER), template).alias("results")))
+    if only_matched:
+        rows = F.filter(rows, lambda row: F.size(row["results"]) > 0)
+    return cleaned.select(*ids, F.inline(rows))
 
 
 def extract_plaintext(texts: DataFrame, template: Template, excludes: Sequence[str] = ()) -> DataFrame:
     """(file, results) of the texts with at least one match."""
-    results = extract_results(texts, template, ["file"], excludes)
-    return results.where(F.size("results") > 0)
+    return extract_results(texts, template, ["file"], excludes, only_matched=True)
 
 
 def extract_pages(

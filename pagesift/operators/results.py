@@ -42,7 +42,7 @@ def collect_urls_by_query(results: DataFrame, chunk: int = CHUNK) -> DataFrame:
     A query with up to ``chunk`` results is one row. A larger one is cut by position into several
     rows, so that no row grows with the data. Positions are unique within a query.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "url")))
+    ordered = F.sort_array(F.collect_list(F.struct("pos", "url")))
     return (
         results.groupBy("query", F.floor(F.col("pos") / chunk).alias("chunk"))
         .agg(F.transform(ordered, lambda r: r["url"]).alias("urls"))

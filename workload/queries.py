@@ -29,7 +29,7 @@ def joined(values: Column) -> Column:
 
 
 def pairs(values: Column) -> Column:
-    return F.array_join(F.array_sort(F.transform(F.map_entries(values), lambda e: F.concat_ws("=", e["key"], e["value"]))), "; ")
+    return F.array_join(F.sort_array(F.transform(F.map_entries(values), lambda e: F.concat_ws("=", e["key"], e["value"]))), "; ")
 
 
 # --- extraction -----------------------------------------------------------------------------------
