@@ -171,6 +171,13 @@ def find_all(content: Column, lower: Column, pattern: str) -> Column:
     return F.when(F.contains(lower, F.lit(required)), found).otherwise(F.array().cast("array<string>"))
 
 
+def contains_match(content: Column, lower: Column, pattern: str) -> Column:
+    """As ``like``, but the pattern is run only where its literal text is present."""
+    _, required = literals(pattern)
+    matched = like(content, with_leading_check(pattern))
+    return F.contains(lower, F.lit(required)) & matched if required else matched
+
+
 def lint(pattern: str) -> None:
     """Refuse what Java would read differently."""
     for i, token, in_class in _tokens(pattern):

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pagesift import schemas
 from pagesift.functions import patterns, text
 from pagesift.operators import fetch
+from pagesift.sources.tables import copy_order, one_per_url
 from pagesift.sources.templates import Entry, Template, template_for_stage
 
 
@@ -91,18 +92,33 @@ def extract_plaintext(texts: DataFrame, template: Template, excludes: Sequence[s
 
 
 def extract_pages(
-    inputs: DataFrame, responses: DataFrame, template: Template, excludes: Sequence[str] = ()
+    inputs: DataFrame,
+    responses: DataFrame,
+    template: Template,
+    excludes: Sequence[str] = (),
+    order_by: str | None = None,
+    max_broadcast: int = fetch.BROADCAST_BYTES,
 ) -> DataFrame:
     """(url, outcome, results): stage one, one row per input URL.
 
-    Inputs are reduced to distinct URLs before they meet the content, whatever number of files
-    names them.
+    Pages are searched where they are read; only what was found is shuffled, reduced to one
+    response per URL (the latest by ``order_by``) and joined with the distinct input URLs.
     """
-    fetched = fetch.attach_responses(inputs.select("url").distinct(), responses)
+    wanted = inputs.select("url").distinct()
     content = fetch.content()
-    pages = fetched.select("url", content.isNotNull().alias("usable"), content.alias("text"))
-    results = extract_results(pages, template, ["url", "usable"], excludes)
-    return results.select("url", fetch.outcome(F.col("usable"), F.size("results") > 0).alias("outcome"), "results")
+    pages = fetch.only_wanted(responses, wanted, max_broadcast).select(
+        "url",
+        copy_order(order_by, "status", "error", "text", "body").alias("copy"),
+        content.isNotNull().alias("usable"),
+        content.alias("text"),
+    )
+    found = extract_results(pages, template, ["url", "copy", "usable"], excludes)
+    joined = wanted.join(one_per_url(found, F.col("copy")), "url", "left")
+    results = F.coalesce("results", F.create_map().cast("map<string,array<string>>"))
+    usable = F.coalesce("usable", F.lit(False))
+    return joined.select(
+        "url", fetch.outcome(usable, F.size(results) > 0).alias("outcome"), results.alias("results")
+    )
 
 
 def result_values(extraction: DataFrame, ids: Sequence[str]) -> DataFrame:

@@ -37,6 +37,24 @@ def content() -> Column:
     return F.when(has_content(), decode_body(F.col("text"), F.col("body")))
 
 
+#: a URL list up to this size is broadcast
+BROADCAST_BYTES = 64 * 1024 * 1024
+
+
+def only_wanted(responses: DataFrame, wanted: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Drop responses nobody asked for, where that is cheap.
+
+    ``wanted`` is measured. A small one is broadcast, so the content of other pages is not looked
+    at. Beyond ``max_bytes`` all responses stay: sending page bodies through a shuffle would cost
+    more than looking at them where they are, and the join of the small outcomes with the wanted
+    URLs drops the rest.
+    """
+    size = wanted.agg(F.sum(F.octet_length("url"))).first()[0] or 0
+    if size > max_bytes:
+        return responses
+    return responses.join(F.broadcast(wanted.select("url").distinct()), "url", "left_semi")
+
+
 def attach_responses(inputs: DataFrame, responses: DataFrame) -> DataFrame:
     """Each input with its response; an input without one keeps nulls.
 

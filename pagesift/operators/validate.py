@@ -10,6 +10,7 @@ from pagesift.functions import patterns
 from pagesift.operators import fetch
 from pagesift.operators.extract import result_values
 from pagesift.operators.skew import MIN_HOT_ROWS, join_hot
+from pagesift.sources.tables import copy_order, one_per_url
 from pagesift.sources.templates import Template, template_for_stage, template_table
 
 
@@ -77,16 +78,41 @@ def validate_match(content: Column, key: Column, template: Template) -> Column:
     return matched
 
 
+def matched_keys(content: Column, lower: Column, template: Template) -> Column:
+    """The keys whose validation pattern the content matches."""
+    return F.array_compact(
+        F.array(
+            *[
+                F.when(patterns.contains_match(content, lower, e.validate), F.lit(e.key))
+                for e in template_for_stage(template, schemas.VALIDATION)
+            ]
+        )
+    )
+
+
 def validate_urls(
-    extraction: DataFrame, responses: DataFrame, template: Template, per_key: bool = False
+    extraction: DataFrame,
+    responses: DataFrame,
+    template: Template,
+    per_key: bool = False,
+    order_by: str | None = None,
+    max_broadcast: int = fetch.BROADCAST_BYTES,
 ) -> DataFrame:
     """(url, key, outcome): stage two, one row per extracted URL (and key, with ``per_key``).
 
-    Files play no part here: values are reduced to distinct URLs before they meet any content.
+    Values are reduced to distinct URLs; files play no part. As in stage one, content is tested
+    where it is read: against every pattern, since its key is not known there, which is cheaper
+    than a shuffle of the content. Only the matching keys travel to the join.
     """
     values = validation_values(extraction, template)
     inputs = values if per_key else last_key(values, template)
-    fetched = fetch.attach_responses(inputs, responses)
-    tested = fetched.select("url", "key", fetch.content().alias("text"))
-    matched = validate_match(F.col("text"), F.col("key"), template)
-    return tested.select("url", "key", fetch.outcome(F.col("text").isNotNull(), matched).alias("outcome"))
+    pages = fetch.only_wanted(responses, inputs, max_broadcast).select(
+        "url", copy_order(order_by, "status", "error", "text", "body").alias("copy"), fetch.content().alias("text")
+    )
+    lowered = pages.withColumn("lower_text", F.lower("text"))
+    matches = F.when(F.col("text").isNotNull(), matched_keys(F.col("text"), F.col("lower_text"), template))
+    # a generator, so that nothing is pushed below the pattern work
+    tested = lowered.select("url", "copy", F.inline(F.array(F.struct(matches.alias("matches")))))
+    joined = inputs.join(one_per_url(tested, F.col("copy")), "url", "left")
+    matched = F.array_contains("matches", F.col("key"))
+    return joined.select("url", "key", fetch.outcome(F.col("matches").isNotNull(), matched).alias("outcome"))

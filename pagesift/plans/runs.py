@@ -8,11 +8,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagesift import schemas
 from pagesift.functions import urls
 from pagesift.operators import extract, fetch, report, results, search, validate
 from pagesift.session import materialize
 from pagesift.sinks import writers
-from pagesift.sources.tables import one_per_url
 from pagesift.sources.templates import Template
 
 
@@ -66,15 +66,17 @@ class ExtractRun:
     """The tables of both stages.
 
     ``extraction``: (url | file, outcome, results); ``validation``: (url, key, outcome);
-    ``by_file``: the extraction once per source file; ``value_files``: (url, key, file) of the
-    values to validate. ``page`` names the id column of the extraction.
+    ``files``: (url, file) of the pages, none for plain text, whose id is its file.
     """
 
+    template: Template
     extraction: DataFrame
     validation: DataFrame
-    by_file: DataFrame
-    value_files: DataFrame
-    page: str
+    files: DataFrame | None = None
+
+    @property
+    def page(self) -> str:
+        return "url" if self.files is not None else "file"
 
     def outcomes(self) -> DataFrame:
         first = self.extraction.select(F.col(self.page).alias("url"), "outcome")
@@ -84,9 +86,11 @@ class ExtractRun:
         return report.build_report(self.extraction, self.validation, started_at, ended_at, self.page)
 
     def file_reports(self, started_at: str = "", ended_at: str = "") -> DataFrame:
-        return report.file_reports(
-            self.by_file, self.validation, self.value_files, started_at, ended_at, self.page
-        )
+        by_file = self.extraction
+        if self.files is not None:
+            by_file = materialize(report.page_files(self.extraction, self.files), "by_file")
+        value_files = materialize(validate.validation_input(by_file, self.template), "value_files")
+        return report.file_reports(by_file, self.validation, value_files, started_at, ended_at, self.page)
 
     def save(self, path: str, file_path: str | None = None, started_at: str = "", ended_at: str = "") -> bool:
         """Write the report, and with ``file_path`` one report per source file."""
@@ -102,17 +106,18 @@ def extract_run(
     template: Template,
     excludes: Sequence[str] = (),
     per_key: bool = False,
+    order_by: str | None = None,
 ) -> ExtractRun:
     """Extract from the pages of result rows (url, file), then validate the values.
 
-    Both stages are written once: the report reads them several times and never repeats the
-    pattern work.
+    Every stage is written once: later steps read it several times and never repeat the pattern
+    work. ``order_by`` tells the latest of several responses of a URL.
     """
-    unique = one_per_url(responses)
-    files = result_rows.select("url", "file").distinct()
-    extraction = materialize(extract.extract_pages(files, unique, template, excludes), "extraction")
-    by_file = materialize(report.page_files(extraction, files), "by_file")
-    return _validated(extraction, by_file, unique, template, per_key, "url")
+    files = materialize(result_rows.select("url", "file").distinct(), "files")
+    extraction = materialize(
+        extract.extract_pages(files, responses, template, excludes, order_by), "extraction"
+    )
+    return ExtractRun(template, extraction, _validation(extraction, responses, template, per_key, order_by), files)
 
 
 def plaintext_run(
@@ -121,17 +126,17 @@ def plaintext_run(
     template: Template,
     excludes: Sequence[str] = (),
     per_key: bool = False,
+    order_by: str | None = None,
 ) -> ExtractRun:
     """Extract from texts (file, text), then validate the values."""
     found = extract.extract_plaintext(texts, template, excludes)
-    extraction = materialize(found.withColumn("outcome", F.lit("success")), "extraction")
-    return _validated(extraction, extraction, one_per_url(responses), template, per_key, "file")
+    extraction = materialize(found.withColumn("outcome", F.lit(schemas.SUCCESS)), "extraction")
+    return ExtractRun(template, extraction, _validation(extraction, responses, template, per_key, order_by))
 
 
-def _validated(
-    extraction: DataFrame, by_file: DataFrame, responses: DataFrame, template: Template, per_key: bool, page: str
-) -> ExtractRun:
-    validation = materialize(validate.validate_urls(extraction, responses, template, per_key), "validation")
-    # ``by_file`` names the file of each row, whatever the page is
-    value_files = validate.validation_input(by_file, template)
-    return ExtractRun(extraction, validation, by_file, value_files, page)
+def _validation(
+    extraction: DataFrame, responses: DataFrame, template: Template, per_key: bool, order_by: str | None
+) -> DataFrame:
+    return materialize(
+        validate.validate_urls(extraction, responses, template, per_key, order_by), "validation"
+    )

@@ -10,6 +10,7 @@ from pagesift.operators import fetch
 from pagesift.operators.report import LINE_ORDER
 from pagesift.operators.results import CHUNK, collect_urls_by_query, url_filename
 from pagesift.sources.files import REPORT_EXTENSION
+from pagesift.sources.tables import copy_order, one_per_url
 
 #: report entries per part file: later readers load a part as one text
 REPORT_PART_ROWS = 100_000
@@ -24,20 +25,34 @@ def write_results(results: DataFrame, path: str, chunk: int = CHUNK, mode: str =
 
 
 def write_downloads(
-    url_table: DataFrame, responses: DataFrame, path: str, directory: str = "", mode: str = "errorifexists"
+    url_table: DataFrame,
+    responses: DataFrame,
+    path: str,
+    directory: str = "",
+    order_by: str | None = None,
+    mode: str = "errorifexists",
 ) -> None:
     """(filename, url, content) of every URL whose status is 200.
 
     Only those URLs get a file name, so names are numbered without gaps.
     """
-    downloads(url_table, responses, directory).write.mode(mode).parquet(path)
+    downloads(url_table, responses, directory, order_by).write.mode(mode).parquet(path)
 
 
-def downloads(url_table: DataFrame, responses: DataFrame, directory: str = "") -> DataFrame:
-    fetched = fetch.attach_responses(url_table.select("url").distinct(), responses).where(F.col("status") == 200)
+def downloads(
+    url_table: DataFrame, responses: DataFrame, directory: str = "", order_by: str | None = None
+) -> DataFrame:
+    """(filename, url, content) of the URLs with status 200 and some content."""
+    wanted = url_table.select("url").distinct()
     content = F.coalesce("body", F.encode("text", "UTF-8"))
-    contents = fetched.select("url", content.alias("content")).where(F.length("content") > 0)
-    return contents.join(url_filename(contents, directory), "url").select("filename", "url", "content")
+    fetched = fetch.only_wanted(responses, wanted).select(
+        "url", "status", content.alias("content"), copy_order(order_by, "status", "text", "body").alias("copy")
+    )
+    saved = (
+        fetch.attach_responses(wanted, one_per_url(fetched, F.col("copy")))
+        .where((F.col("status") == 200) & (F.length("content") > 0))
+    )
+    return saved.join(url_filename(saved.select("url"), directory), "url").select("filename", "url", "content")
 
 
 def write_report(lines: DataFrame, outcomes: DataFrame, path: str, mode: str = "errorifexists") -> bool:

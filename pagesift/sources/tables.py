@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagesift import schemas
@@ -29,20 +29,18 @@ def read_responses(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def one_per_url(responses: DataFrame, order_by: str | None = None) -> DataFrame:
-    """One response per URL: the one with the largest ``order_by``, else with the smallest content hash.
+def copy_order(order_by: str | None, *content: str) -> Column:
+    """Order among the copies of a URL: the latest ``order_by`` first, then by content hash."""
+    digest = F.xxhash64(*content)
+    if order_by is None:
+        return digest
+    # copies without a value come last
+    latest = F.col(order_by)
+    return F.struct(latest.isNull(), -F.coalesce(latest.cast("bigint"), F.lit(0)), digest)
 
-    Copies of a hot URL are reduced before the shuffle. The result is partitioned by URL, so the
-    join that follows needs no second shuffle.
-    """
+
+def one_per_url(responses: DataFrame, order: Column | None = None) -> DataFrame:
+    """One row per URL: the first in ``order``. Copies of a hot URL are reduced before the shuffle."""
     rest = [c for c in responses.columns if c != "url"]
-    order = F.xxhash64(*rest)
-    if order_by:
-        # rows without a value come last
-        latest = F.col(order_by)
-        order = F.struct(latest.isNull(), -F.coalesce(latest.cast("bigint"), F.lit(0)), order)
-    return (
-        responses.groupBy("url")
-        .agg(F.min_by(F.struct(*rest), order).alias("r"))
-        .select("url", *[F.col("r")[c].alias(c) for c in rest])
-    )
+    first = F.min_by(F.struct(*rest), copy_order(None, *rest) if order is None else order)
+    return responses.groupBy("url").agg(first.alias("r")).select("url", *[F.col("r")[c].alias(c) for c in rest])

@@ -39,18 +39,22 @@ _ATTRIBUTES = {f.name for f in fields(Entry)} - {"key", "ord"}
 
 
 def parse_template(source: str) -> Template:
-    """Entries in file order. Bad JSON, an unknown attribute or a missing pattern rejects it all."""
+    """Entries of a JSON object, in its order. Anything wrong rejects it all."""
     try:
-        entries = [
-            Entry(key=key, ord=i, **_attributes(key, attributes))
-            for i, (key, attributes) in enumerate(json.loads(source).items())
-        ]
-    except (AttributeError, TypeError, ValueError) as error:
+        return entries_of(json.loads(source))
+    except json.JSONDecodeError as error:
+        raise TemplateError(f"not JSON: {error}") from error
+
+
+def entries_of(template: Mapping[str, Mapping]) -> Template:
+    """Entries by key. An unknown attribute or a missing pattern rejects the template."""
+    try:
+        return tuple(Entry(key=key, ord=i, **_attributes(key, a)) for i, (key, a) in enumerate(template.items()))
+    except (AttributeError, TypeError) as error:
         raise TemplateError(f"not a template: {error}") from error
-    return tuple(entries)
 
 
-def _attributes(key: str, attributes: dict) -> dict:
+def _attributes(key: str, attributes: Mapping) -> dict:
     unknown = attributes.keys() - _ATTRIBUTES
     if unknown or "extract" not in attributes:
         raise TemplateError(f"{key}: unknown {sorted(unknown)}" if unknown else f"{key}: no extract")

@@ -77,6 +77,19 @@ def text_template() -> Template:
     return parse_template(TEXT_TEMPLATE_JSON)
 
 
+def social_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages with links added to their whole text: accounts, shares and look-alikes."""
+    n = F.col("page_id")
+    account = F.format_string(
+        ' <a href="https://t.me/User_%1$d">x</a> https://X.com/jack%1$d https://twitter.com/home'
+        " https://pic.twitter.com/zz facebook.com/sharer/x discord.gg/invite/i%1$d.",
+        n,
+    )
+    company = F.format_string(" linkedin.com/company/c&%1$d vt.tiktok.com/@no youtube.com/watch tiktok.com/@a.%1$d", n)
+    added = F.when(n % 3 == 0, account).when(n % 3 == 1, company).otherwise(" https://t.me/share?url=x")
+    return page_texts(spark, sf).withColumn("text", F.concat("text", added))
+
+
 def pages(spark: SparkSession, sf: str) -> DataFrame:
     return read_pages(spark, f"{sf}/pages.parquet")
 

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from pagesift.functions import text, urls
 from pagesift.operators import extract, fetch, report, results, search, validate
 from pagesift.operators.distinct import distinct_keep_first
+from pagesift.plans.runs import ExtractRun
 from pagesift.session import materialize
+from pagesift.sources.social import social_template
 from pagesift.sources.tables import one_per_url
 from workload import inputs
 
@@ -46,6 +48,13 @@ def extract_results(spark, sf):
     return found.select("url", F.explode("results").alias("key", "v")).select("url", "key", joined(F.col("v")).alias("values"))
 
 
+@registered
+def extract_social(spark, sf):
+    """The social-network template over pages with links to such networks."""
+    found = extract.extract_results(inputs.social_texts(spark, sf), social_template(), ["url"])
+    return extract.result_values(found, ["url"])
+
+
 @registered
 def exclude_content(spark, sf):
     cleaned = extract.exclude_content(inputs.page_texts(spark, sf), inputs.EXCLUDES)
@@ -181,7 +190,7 @@ def fetch_dedup(spark, sf):
 
 
 def _unique_responses(spark, sf):
-    return one_per_url(inputs.responses(spark, sf), "fetched_at").drop("fetched_at")
+    return one_per_url(inputs.responses(spark, sf), -F.col("fetched_at")).drop("fetched_at")
 
 
 def _files(spark, sf):
@@ -208,7 +217,10 @@ def classify_response(spark, sf):
 
 
 def _extraction(spark, sf):
-    return extract.extract_pages(_files(spark, sf), _unique_responses(spark, sf), inputs.template(), inputs.EXCLUDES)
+    files = materialize(_files(spark, sf), "files")
+    return extract.extract_pages(
+        files, inputs.responses(spark, sf), inputs.template(), inputs.EXCLUDES, order_by="fetched_at"
+    )
 
 
 @registered
@@ -222,26 +234,37 @@ def extract_pages(spark, sf):
     )
 
 
-def _both_stages(spark, sf):
-    """Extraction, written once because several steps read it, and validation."""
-    extraction = materialize(_extraction(spark, sf), "extraction")
-    values = validate.validation_values(extraction, inputs.template())
-    validation = validate.validate_urls(extraction, inputs.value_responses(values), inputs.template())
-    return extraction, validation
+def _run(spark, sf):
+    """Both stages over the derived tables, as the end-to-end run writes them."""
+    files = materialize(_files(spark, sf), "files")
+    template = inputs.template()
+    extraction = materialize(
+        extract.extract_pages(
+            files, inputs.responses(spark, sf), template, inputs.EXCLUDES, order_by="fetched_at"
+        ),
+        "extraction",
+    )
+    fetched = inputs.value_responses(validate.validation_values(extraction, template))
+    validation = materialize(validate.validate_urls(extraction, fetched, template), "validation")
+    return ExtractRun(template, extraction, validation, files)
 
 
-def _by_file(spark, sf, extraction):
-    return report.page_files(extraction, _files(spark, sf))
+def _by_file(spark, sf):
+    files = materialize(_files(spark, sf), "files")
+    extraction = extract.extract_pages(
+        files, inputs.responses(spark, sf), inputs.template(), inputs.EXCLUDES, order_by="fetched_at"
+    )
+    return report.page_files(extraction, files)
 
 
 @registered
 def stage_outcomes(spark, sf):
-    return fetch.stage_outcomes(*_both_stages(spark, sf))
+    return _run(spark, sf).outcomes()
 
 
 @registered
 def status_counts(spark, sf):
-    return fetch.status_counts(fetch.stage_outcomes(*_both_stages(spark, sf)))
+    return fetch.status_counts(_run(spark, sf).outcomes())
 
 
 # --- validation -----------------------------------------------------------------------------------
@@ -266,7 +289,7 @@ def validation_input(spark, sf):
 @registered
 def group_by_url(spark, sf):
     found, _ = _page_values(spark, sf)
-    rows = validate.validation_input(found, inputs.template(), _files(spark, sf))
+    rows = materialize(validate.validation_input(found, inputs.template(), _files(spark, sf)), "inputs")
     return validate.group_by_url(rows, inputs.template())
 
 
@@ -294,7 +317,7 @@ def validate_match(spark, sf):
 
 @registered
 def validate_urls(spark, sf):
-    return _both_stages(spark, sf)[1].select("url", "key", "outcome")
+    return _run(spark, sf).validation
 
 
 # --- reports --------------------------------------------------------------------------------------
@@ -307,7 +330,7 @@ def summary_extracted(spark, sf):
 
 @registered
 def summary_validated(spark, sf):
-    return report.summary_validated(fetch.stage_outcomes(*_both_stages(spark, sf)))
+    return report.summary_validated(_run(spark, sf).outcomes())
 
 
 @registered
@@ -317,7 +340,7 @@ def failed_extraction(spark, sf):
 
 @registered
 def failed_validation(spark, sf):
-    return report.failed_validation(fetch.stage_outcomes(*_both_stages(spark, sf)))
+    return report.failed_validation(_run(spark, sf).outcomes())
 
 
 @registered
@@ -328,12 +351,12 @@ def full_results(spark, sf):
 
 @registered
 def select_files(spark, sf):
-    return report.select_files(_by_file(spark, sf, _extraction(spark, sf)))
+    return report.select_files(_by_file(spark, sf))
 
 
 @registered
 def select_by_file(spark, sf):
-    chosen = report.select_by_file(_by_file(spark, sf, _extraction(spark, sf)), "results_1.json")
+    chosen = report.select_by_file(_by_file(spark, sf), "results_1.json")
     return chosen.select("file", "url", "outcome")
 
 
@@ -342,15 +365,11 @@ STARTED_AT, ENDED_AT = "2024-01-01 00:00:00", "2024-01-01 01:00:00"
 
 @registered
 def build_report(spark, sf):
-    extraction, validation = _both_stages(spark, sf)
-    lines = report.build_report(extraction, validation, STARTED_AT, ENDED_AT)
+    lines = _run(spark, sf).report(STARTED_AT, ENDED_AT)
     return lines.select("section_ord", "slot", "value", "line")
 
 
 @registered
 def file_reports(spark, sf):
-    extraction, validation = _both_stages(spark, sf)
-    by_file = materialize(_by_file(spark, sf, extraction), "by_file")
-    value_files = validate.validation_input(by_file, inputs.template())
-    lines = report.file_reports(by_file, validation, value_files, STARTED_AT, ENDED_AT)
+    lines = _run(spark, sf).file_reports(STARTED_AT, ENDED_AT)
     return lines.select("file", "section_ord", "slot", "value", "line")
