@@ -17,7 +17,7 @@ from pagesift import schemas
 from pagesift.functions import text
 from pagesift.operators.distinct import sort_casefold
 from pagesift.operators.extract import result_values
-from pagesift.operators.skew import MIN_HOT_ROWS, join_hot
+from pagesift.operators.skew import SALT_ROWS, join_hot
 
 VALIDATED = "validated"
 EXTRACTED = "extracted"
@@ -58,10 +58,10 @@ def full_results(extraction: DataFrame, by: str = "url") -> DataFrame:
     return sort_casefold(extraction.where(F.size("results") > 0).select(by, "results"), by)
 
 
-def page_files(extraction: DataFrame, source_files: DataFrame, min_rows: int = MIN_HOT_ROWS) -> DataFrame:
+def page_files(extraction: DataFrame, source_files: DataFrame, salt_rows: int = SALT_ROWS) -> DataFrame:
     """(file, and the columns of ``extraction``): each page once per file that names it."""
     files = source_files.select("url", "file").distinct()
-    return join_hot(files, extraction, "url", "file", min_rows=min_rows)
+    return join_hot(files, extraction, "url", "file", salt_rows=salt_rows)
 
 
 def select_by_file(by_file: DataFrame, file: str) -> DataFrame:
@@ -125,7 +125,7 @@ def file_items(
     validation: DataFrame,
     value_files: DataFrame,
     page: str = "url",
-    min_rows: int = MIN_HOT_ROWS,
+    salt_rows: int = SALT_ROWS,
 ) -> DataFrame:
     """(file, section, value, results): the content of every file's report.
 
@@ -139,10 +139,10 @@ def file_items(
         shown = success.withColumn("page", F.col("file"))
         items = _extraction_items(shown, ["file"], "page")
     else:
-        failed = join_hot(error, select_files(success), "file", page, min_rows=min_rows)
+        failed = join_hot(error, select_files(success), "file", page, salt_rows=salt_rows)
         items = _extraction_items(success.unionByName(failed), ["file"], page)
     decided = validation.where(F.col("outcome") != schemas.NO_MATCH).select("url", "outcome").distinct()
-    validated = join_hot(value_files.select("url", "file").distinct(), decided, "url", "file", min_rows=min_rows)
+    validated = join_hot(value_files.select("url", "file").distinct(), decided, "url", "file", salt_rows=salt_rows)
     return items.unionByName(_validation_items(validated, ["file"]))
 
 
@@ -300,8 +300,8 @@ def file_reports(
     started_at: str = "",
     ended_at: str = "",
     page: str = "url",
-    min_rows: int = MIN_HOT_ROWS,
+    salt_rows: int = SALT_ROWS,
 ) -> DataFrame:
     """Every file's report as lines, with the file they belong to."""
-    items = file_items(by_file, validation, value_files, page, min_rows)
+    items = file_items(by_file, validation, value_files, page, salt_rows)
     return report_lines(items, started_at, ended_at, by=["file"], page=page)

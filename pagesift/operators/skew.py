@@ -5,43 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A key is hot if it has at least one of HOT_SHARE rows: so there are at most HOT_SHARE hot keys,
-#: whatever the size of the data, and their list may be broadcast.
-HOT_SHARE = 20_000
-MIN_HOT_ROWS = 100_000
-SALTS = 64
-
-
-def hot_keys(df: DataFrame, key: str, min_rows: int = MIN_HOT_ROWS) -> DataFrame:
-    """The keys that hold a large share of the rows; at most ``HOT_SHARE`` of them."""
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    # one row holds the total; the constant key makes this an equi-join
-    return (
-        counts.where(F.col("n") >= min_rows)
-        .withColumn("one", F.lit(1))
-        .join(F.broadcast(total.withColumn("one", F.lit(1))), "one")
-        .where(F.col("n") * HOT_SHARE >= F.col("total"))
-        .select(key)
-    )
+#: rows of one key that stay together
+SALT_ROWS = 500_000
+
+#: Only the largest keys are salted, so that their list may be broadcast whatever the size of the
+#: data. Any other key then has less than one of HOT_KEYS rows.
+HOT_KEYS = 20_000
+
+
+def hot_keys(df: DataFrame, key: str, salt_rows: int = SALT_ROWS) -> DataFrame:
+    """(key, salts): the keys with more than ``salt_rows`` rows and the groups to cut them into."""
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > salt_rows)
+    largest = counts.orderBy(F.desc("n"), key).limit(HOT_KEYS)
+    return largest.select(key, F.ceil(F.col("n") / salt_rows).cast("int").alias("salts"))
 
 
 def join_hot(
-    many: DataFrame, few: DataFrame, key: str, salt_by: str, how: str = "inner", min_rows: int = MIN_HOT_ROWS
+    many: DataFrame, few: DataFrame, key: str, salt_by: str, how: str = "inner", salt_rows: int = SALT_ROWS
 ) -> DataFrame:
     """``many`` joined with ``few`` on ``key``, where one key may hold a third of ``many``.
 
-    The rows of a hot key are spread over ``SALTS`` groups by the hash of ``salt_by`` and the
-    matching rows of ``few`` are repeated once per group. All other keys are joined as they are.
+    The rows of a hot key are spread over groups by the hash of ``salt_by``, as many as its size
+    asks for, and the matching rows of ``few`` are repeated once per group. All other keys are
+    joined as they are.
     """
     if how not in ("inner", "left"):
         raise ValueError("the salted side is kept: inner or left join only")
-    hot = F.broadcast(hot_keys(many, key, min_rows).withColumn("hot", F.lit(True)))
-    spread = many.join(hot, key, "left").withColumn(
-        "salt", F.when(F.col("hot"), F.pmod(F.xxhash64(salt_by), F.lit(SALTS)).cast("int")).otherwise(0)
-    )
-    repeated = few.join(hot, key, "left").withColumn(
-        "salt",
-        F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))),
-    )
-    return spread.drop("hot").join(repeated.drop("hot"), [key, "salt"], how).drop("salt")
+    hot = F.broadcast(hot_keys(many, key, salt_rows))
+    salts = F.coalesce("salts", F.lit(1))
+    spread = many.join(hot, key, "left").withColumn("salt", F.pmod(F.xxhash64(salt_by), salts).cast("int"))
+    repeated = few.join(hot, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    return spread.drop("salts").join(repeated.drop("salts"), [key, "salt"], how).drop("salt")

@@ -9,7 +9,7 @@ from pagesift import schemas
 from pagesift.functions import patterns
 from pagesift.operators import fetch
 from pagesift.operators.extract import result_values
-from pagesift.operators.skew import MIN_HOT_ROWS, join_hot
+from pagesift.operators.skew import SALT_ROWS, join_hot
 from pagesift.sources.tables import copy_order, one_per_url
 from pagesift.sources.templates import Template, template_for_stage, template_table
 
@@ -27,7 +27,7 @@ def validation_values(extraction: DataFrame, template: Template) -> DataFrame:
 
 
 def validation_input(
-    extraction: DataFrame, template: Template, source_files: DataFrame | None = None, min_rows: int = MIN_HOT_ROWS
+    extraction: DataFrame, template: Template, source_files: DataFrame | None = None, salt_rows: int = SALT_ROWS
 ) -> DataFrame:
     """(url, key, file): extracted values with the files they come from.
 
@@ -41,7 +41,7 @@ def validation_input(
     values = template_semi_join(values, template).withColumnRenamed("value", "url")
     if source_files is not None:
         pages = source_files.select(F.col("url").alias("page"), "file").distinct()
-        values = join_hot(pages, values, "page", "file", min_rows=min_rows)
+        values = join_hot(pages, values, "page", "file", salt_rows=salt_rows)
     return values.select("url", "key", "file").distinct()
 
 
@@ -57,7 +57,7 @@ def last_key(values: DataFrame, template: Template) -> DataFrame:
 
 
 def group_by_url(
-    inputs: DataFrame, template: Template, per_key: bool = False, min_rows: int = MIN_HOT_ROWS
+    inputs: DataFrame, template: Template, per_key: bool = False, salt_rows: int = SALT_ROWS
 ) -> DataFrame:
     """(url, key, file): each URL with one key and all its files, as distinct rows.
 
@@ -67,7 +67,7 @@ def group_by_url(
     if per_key:
         return inputs.select("url", "key", "file").distinct()
     files = inputs.select("url", "file").distinct()
-    return join_hot(files, last_key(inputs, template), "url", "file", min_rows=min_rows).select("url", "key", "file")
+    return join_hot(files, last_key(inputs, template), "url", "file", salt_rows=salt_rows).select("url", "key", "file")
 
 
 def validate_match(content: Column, key: Column, template: Template) -> Column:

@@ -1,0 +1,182 @@
+from datetime import datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from pagesift.operators import results, search
+from pagesift.operators.distinct import deterministic_shuffle, sort_casefold
+
+
+def queries(spark, *texts):
+    return spark.createDataFrame([(t, i) for i, t in enumerate(texts)], "query STRING, pos BIGINT")
+
+
+def test_has_site(spark):
+    cases = {"site:a": True, "-site:a": False, "insite:a": False, "x Site:b": True, "nsite:a": True, "site:a -site:b": True, "": False}
+    df = queries(spark, *cases)
+    assert {r.query: r.s for r in df.select("query", search.has_site(F.col("query")).alias("s")).collect()} == cases
+
+
+def test_prepare_with_a_site(spark):
+    long = " ".join(["w"] * 32)
+    fits = " ".join(["w"] * 31)
+    df = queries(spark, "b", "site:x a", "-site:x a", "b", long, fits, "a  " + " ".join(["w"] * 29))
+    kept = [r.query for r in search.prepare_queries(df, "*.h").orderBy("pos").collect()]
+    assert kept == ["site:*.h b", "site:*.h -site:x a", f"site:*.h {fits}", "site:*.h a  " + " ".join(["w"] * 29)]
+    ignored = [(r.query, r.reason) for r in search.ignored_queries(df, "*.h").orderBy("pos").collect()]
+    assert ignored == [("site:x a", "site"), (f"site:*.h {long}", "length")]
+
+
+def test_prepare_without_a_site(spark):
+    df = queries(spark, "site:x a", " ".join(["w"] * 33), "site:x a")
+    assert [r.query for r in search.prepare_queries(df).collect()] == ["site:x a"]
+    assert [r.reason for r in search.ignored_queries(df).collect()] == ["length"]
+
+
+PAGES = [
+    (0, "https://www.example.com/a/report.PDF?x=1", "<title>Index of /</title><p>Parent Directory</p>"),
+    (1, "http://example.com/t.me/", '<title>Links</title><a href="https://t.me/x">join</a>'),
+    (2, "http://notexample.com/b.html", "<title>Other</title><p>see T.ME/abc now</p>"),
+    (3, "http://user@Sub.Example.com:81/c.docx", "<title>Doc</title>"),
+]
+
+
+@pytest.mark.parametrize(
+    ("query", "ids"),
+    [
+        ('intitle:"index of /" intext:"parent directory"', [0]),
+        ("ext:pdf OR ext:docx", [0, 3]),
+        ("site:example.com", [0, 1, 3]),
+        ("site:*.example.com", [0, 3]),
+        ("site:*.example.com -www", [3]),
+        ('intext:"t.me/"', [2]),
+        ("t.me", [1, 2]),
+        ('-intext:"t.me/" -ext:pdf', [1, 3]),
+        ("site:*.example.com ext:pdf OR ext:docx", [0, 3]),
+        ("links OR other OR doc", [1, 2, 3]),
+        ("OR doc", [3]),
+        ("OR", [0, 1, 2, 3]),
+    ],
+)
+def test_search(spark, query, ids):
+    pages = spark.createDataFrame(PAGES, "page_id BIGINT, url STRING, html STRING")
+    assert sorted(r.pos for r in search.search_pages(pages, [query]).collect()) == ids
+
+
+def test_many_queries_are_searched_in_batches(spark, monkeypatch):
+    pages = spark.createDataFrame(PAGES, "page_id BIGINT, url STRING, html STRING")
+    together = search.search_pages(pages, ["links", "doc", "ext:pdf", "other", "t.me"]).collect()
+    monkeypatch.setattr(search, "BATCH", 2)
+    apart = search.search_pages(pages, ["links", "doc", "ext:pdf", "other", "t.me"]).collect()
+    assert sorted(together) == sorted(apart)
+
+
+def test_recency(spark):
+    rows = [(1, datetime(2024, 2, 29)), (2, datetime(2024, 2, 28, 23, 59)), (3, datetime(2024, 3, 31))]
+    df = spark.createDataFrame(rows, "id INT, ts TIMESTAMP")
+    assert [r.id for r in search.recency_filter(df, "ts", "2024-03-31", 1).orderBy("id").collect()] == [1, 3]
+    assert search.recency_filter(df, "ts", "2024-03-31", 0).count() == 3
+    with pytest.raises(ValueError):
+        search.recency_filter(df, "ts", "2024-03-31", -1)
+
+
+@pytest.mark.parametrize("limit", [3, 1500])
+def test_cap_is_exact_for_a_hot_query(spark, limit):
+    """Small limits are cut by Spark, large ones in salted groups."""
+    hot = spark.range(4000).select(F.lit("hot").alias("query"), F.concat(F.lit("u"), F.col("id") % 3000).alias("url"), F.col("id").alias("pos"))
+    cold = spark.range(2).select(F.lit("cold").alias("query"), F.concat(F.lit("u"), "id").alias("url"), F.col("id").alias("pos"))
+    capped = search.cap_results(hot.union(cold), limit).orderBy("query", "rank").collect()
+    assert [r.url for r in capped if r.query == "hot"] == [f"u{i}" for i in range(limit)]
+    assert [r["rank"] for r in capped if r.query == "hot"] == list(range(1, limit + 1))
+    assert [r.url for r in capped if r.query == "cold"] == ["u0", "u1"]
+
+
+def test_small_cap_is_cut_before_the_shuffle(spark):
+    name = F.concat(F.lit("q"), F.col("id") % 2)
+    df = spark.range(10).select(name.alias("query"), F.col("id").cast("string").alias("url"), F.col("id").alias("pos"))
+    plan = search.cap_results(df, 5)._jdf.queryExecution().executedPlan().toString()
+    limits = [line for line in plan.splitlines() if "WindowGroupLimit" in line or "Exchange" in line]
+    assert [("Partial" in x, "Final" in x, "Exchange" in x) for x in limits][:3] == [
+        (False, True, False), (False, False, True), (True, False, False),
+    ]
+
+
+def test_page_number(spark):
+    df = spark.createDataFrame([(i,) for i in (1, 10, 11, 20, 21)], "rank INT")
+    assert [r.page for r in search.page_number(df).orderBy("rank").collect()] == [1, 1, 2, 2, 3]
+    with pytest.raises(ValueError):
+        search.page_number(df, 101)
+
+
+def rows(spark, *data):
+    return spark.createDataFrame(list(data), "query STRING, url STRING, pos BIGINT")
+
+
+def test_clean_result_urls(spark):
+    df = rows(
+        spark,
+        ("q", "http://a/#:~:text=x", 1),
+        ("q", "http://a/", 2),
+        ("q", "http://KB.cert.org/x", 3),
+        ("q", "http://a/Google%20Hack", 4),
+        ("q", "http://a/google+dork", 5),
+        ("q", "http://a/googleedork", 6),
+        ("q", "http://b/#:~:text=google-dork", 7),
+        ("site:x q", "http://exploit-db.com/", 1),
+        ("gone", "http://exploit-db.com/", 1),
+    )
+    clean = {(r.query, r.url, r.pos) for r in results.clean_result_urls(df).collect()}
+    assert clean == {("q", "http://a/", 1), ("q", "http://a/google+dork", 5), ("site:x q", "http://exploit-db.com/", 1)}
+
+
+def test_own_blacklist(spark):
+    df = rows(spark, ("q", "http://bad/", 1), ("q", "http://kb.cert.org/", 2))
+    assert [r.url for r in results.blacklist_filter(df, "//bad/").collect()] == ["http://kb.cert.org/"]
+
+
+def test_select_and_download_urls(spark):
+    df = rows(spark, ("q", "b", 1), ("q", "a", 2), ("r", "b", 0))
+    assert [(r.url, r.pos) for r in results.select_urls(df).orderBy("pos").collect()] == [("b", 0), ("a", 2)]
+    order = [r.url for r in results.download_urls(df).collect()]
+    assert sorted(order) == ["a", "b"]
+    assert order == [r.url for r in results.download_urls(df.repartition(5)).collect()]
+
+
+def test_shuffle_depends_on_the_seed(spark):
+    df = spark.range(50).select(F.col("id").cast("string").alias("url"))
+    orders = [[r.url for r in deterministic_shuffle(df, seed=seed).collect()] for seed in (1, 2)]
+    assert orders[0] != orders[1]
+    assert sorted(orders[0]) == sorted(orders[1])
+
+
+def test_collect_urls_cuts_long_lists_by_position(spark):
+    df = rows(spark, *[("q", f"u{i}", i) for i in range(25)], ("r", "x", 3))
+    grouped = results.collect_urls_by_query(df, 10).orderBy("query", "chunk").collect()
+    assert [len(r.urls) for r in grouped] == [10, 10, 5, 1]
+    assert [u for r in grouped if r.query == "q" for u in r.urls] == [f"u{i}" for i in range(25)]
+
+
+def test_links_per_query_counts_nothing_too(spark):
+    counts = results.links_per_query(queries(spark, "q", "r"), rows(spark, ("q", "a", 1), ("q", "b", 2))).collect()
+    assert {(r.query, r.links) for r in counts} == {("q", 2), ("r", 0)}
+
+
+def test_url_filenames_are_dense_and_distinct(spark):
+    urls = [f"http://h{i}/x/index.html" for i in range(300)] + ["http://h/a/", "http://g/a", "http://solo/", "http://h?q"]
+    named = results.url_filename(spark.createDataFrame([(u,) for u in urls], "url STRING"), "d").collect()
+    assert {r.url for r in named} == set(urls)
+    numbered = {"d/index.html"} | {f"d/index.html ({i})" for i in range(1, 300)}
+    assert {r.filename for r in named} == numbered | {"d/a", "d/a (1)", "d/solo", "d/h"}
+
+
+def test_fetch_dedup_merges_files(spark):
+    data = [("http://h/?b=1&a=2", "f1"), ("http://H/?a=2&b=1#x", "f2"), ("http://h/?a=2&b=1", "f1"), ("http://g/", "f3")]
+    merged = results.fetch_dedup(spark.createDataFrame(data, "url STRING, file STRING")).collect()
+    request = min(u for u, _ in data[:3])
+    assert {(r.url, r.file) for r in merged} == {(request, "f1"), (request, "f2"), ("http://g/", "f3")}
+    assert len(merged) == 3
+
+
+def test_sort_casefold(spark):
+    df = spark.createDataFrame([(v,) for v in ("b", "B", "a", "C")], "v STRING")
+    assert [r.v for r in sort_casefold(df, "v").collect()] == ["a", "B", "b", "C"]
