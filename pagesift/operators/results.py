@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -36,15 +38,16 @@ def download_urls(results: DataFrame, seed: int = 0) -> DataFrame:
     return deterministic_shuffle(results.select("url").distinct(), seed=seed)
 
 
-def collect_urls_by_query(results: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """(query, chunk, urls): the URLs of a query in order.
+def collect_urls_by_query(results: DataFrame, chunk: int = CHUNK, by: Sequence[str] = ("query",)) -> DataFrame:
+    """(by…, chunk, urls): the URLs of a query in order.
 
     A query with up to ``chunk`` results is one row. A larger one is cut by position into several
-    rows, so that no row grows with the data. Positions are unique within a query.
+    rows, so that no row grows with the data. Positions are unique within a query; for rows read
+    from several files they are so within ``by=("file", "query")``.
     """
     ordered = F.sort_array(F.collect_list(F.struct("pos", "url")))
     return (
-        results.groupBy("query", F.floor(F.col("pos") / chunk).alias("chunk"))
+        results.groupBy(*by, F.floor(F.col("pos") / chunk).alias("chunk"))
         .agg(F.transform(ordered, lambda r: r["url"]).alias("urls"))
     )
 

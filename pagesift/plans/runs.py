@@ -16,6 +16,10 @@ from pagesift.sinks import writers
 from pagesift.sources.templates import Template
 
 
+#: queries that the driver turns into one plan
+MAX_QUERIES = 10_000
+
+
 @dataclass(frozen=True)
 class SearchRun:
     """``results`` are clean (query, url, pos) rows; ``ignored`` the queries left out."""
@@ -48,13 +52,16 @@ def search_run(
 ) -> SearchRun:
     """Prepare the queries, search the pages, keep the first results and clean them.
 
-    The prepared queries are a list somebody wrote; they become predicates of one scan.
+    The prepared queries are a list somebody wrote; they become predicates of one scan. A list too
+    long for that is refused, to be searched in several runs.
     """
     prepared = search.prepare_queries(queries, site)
     recent = search.recency_filter(pages, ts, asof, months) if months else pages
-    texts = [row.query for row in prepared.orderBy("pos").collect()]
+    texts = [row.query for row in prepared.orderBy("pos").limit(MAX_QUERIES + 1).collect()]
     if not texts:
         raise ValueError("no valid queries")
+    if len(texts) > MAX_QUERIES:
+        raise ValueError(f"more than {MAX_QUERIES} queries in one run")
     capped = search.cap_results(search.search_pages(recent, texts, pos), limit)
     ranked = capped.select("query", "url", F.col("rank").cast("bigint").alias("pos"))
     clean = results.clean_result_urls(ranked, blacklist)
@@ -83,14 +90,16 @@ class ExtractRun:
         return fetch.stage_outcomes(first, self.validation)
 
     def report(self, started_at: str = "", ended_at: str = "") -> DataFrame:
-        return report.build_report(self.extraction, self.validation, started_at, ended_at, self.page)
+        items = materialize(report.report_items(self.extraction, self.validation, self.page), "items")
+        return report.report_lines(items, started_at, ended_at, page=self.page)
 
     def file_reports(self, started_at: str = "", ended_at: str = "") -> DataFrame:
         by_file = self.extraction
         if self.files is not None:
             by_file = materialize(report.page_files(self.extraction, self.files), "by_file")
         value_files = materialize(validate.validation_input(by_file, self.template), "value_files")
-        return report.file_reports(by_file, self.validation, value_files, started_at, ended_at, self.page)
+        items = materialize(report.file_items(by_file, self.validation, value_files, self.page), "file_items")
+        return report.report_lines(items, started_at, ended_at, by=["file"], page=self.page)
 
     def save(self, path: str, file_path: str | None = None, started_at: str = "", ended_at: str = "") -> bool:
         """Write the report, and with ``file_path`` one report per source file."""

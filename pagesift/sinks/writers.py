@@ -68,20 +68,21 @@ def write_report(lines: DataFrame, outcomes: DataFrame, path: str, mode: str = "
 
 
 def write_file_reports(lines: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """A directory per file, named after it, with the parts of its report.
+    """A directory per report name and file, with the parts of that file's report.
 
     Rows are sorted by file and then by place in the report, so a file with a third of all pages is
-    written by many tasks and a task with many small files keeps one open at a time.
+    written by many tasks and a task with many small files keeps one open at a time. Files whose
+    names differ only in the extension share a report name and are kept apart by the file.
     """
-    named = lines.withColumn("report_name", report_name())
-    keys = ["file", *LINE_ORDER]
+    keys = ["report_name", "file", *LINE_ORDER]
     (
-        named.repartitionByRange(*keys)
-        .sortWithinPartitions("report_name", *keys)
-        .select("line", "report_name")
+        lines.withColumn("report_name", report_name())
+        .repartitionByRange(*keys)
+        .sortWithinPartitions(*keys)
+        .select("line", "report_name", "file")
         .write.mode(mode)
         .option("maxRecordsPerFile", REPORT_PART_ROWS)
-        .partitionBy("report_name")
+        .partitionBy("report_name", "file")
         .text(path)
     )
 

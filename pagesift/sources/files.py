@@ -49,12 +49,12 @@ def read_excludes(spark: SparkSession, path: str) -> list[str]:
     return patterns
 
 
-def parse_result_files(files: DataFrame) -> DataFrame:
+def parse_result_files(files: DataFrame, encoding: str = text.ENCODING) -> DataFrame:
     """Add ``entries`` to (file, content): the parsed array, or null for a rejected file.
 
     One bad element rejects its file, and so does a root that is not an array.
     """
-    content = text.file_text(F.col("content"))
+    content = text.file_text(F.col("content"), encoding)
     return files.select(
         "file",
         F.when(content.startswith("["), F.from_json(content, schemas.RESULTS_RAW)).alias("entries"),
@@ -72,9 +72,11 @@ def _flat(entries: DataFrame, entry: Column, order: list[Column]) -> DataFrame:
     return urls.select("query", F.coalesce("url", F.lit("")).alias("url"), (F.col("n") + F.col("i")).alias("pos"), "file")
 
 
-def read_results(spark: SparkSession, path: str | list[str], skip_reports: bool = True) -> DataFrame:
+def read_results(
+    spark: SparkSession, path: str | list[str], skip_reports: bool = True, encoding: str = text.ENCODING
+) -> DataFrame:
     """Flat result rows of JSON array files; rejected files are left out (see ``rejected_results``)."""
-    return flatten_results(parse_result_files(_result_files(spark, path, skip_reports)))
+    return flatten_results(parse_result_files(_result_files(spark, path, skip_reports), encoding))
 
 
 def flatten_results(parsed: DataFrame) -> DataFrame:
@@ -107,10 +109,10 @@ def read_plaintext(spark: SparkSession, path: str | list[str], encoding: str = t
     return read_files(spark, path).select("file", text.file_text(F.col("content"), encoding).alias("text"))
 
 
-def read_report(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
+def read_report(spark: SparkSession, path: str, encoding: str = text.ENCODING) -> DataFrame:
     """(file, text) of an earlier report, to be tested again.
 
     A report written here is a directory of part files cut between whole entries; each part is one
-    text. Reports are written as UTF-8, so that is how they are read.
+    text. It is read like any plain text; name UTF-8 to get non-ASCII values back as they were.
     """
     return read_plaintext(spark, path, encoding)

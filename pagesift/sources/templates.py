@@ -61,9 +61,9 @@ def _attributes(key: str, attributes: Mapping) -> dict:
     return {**attributes, "validate_browser_wait": float(attributes.get("validate_browser_wait", 0))}
 
 
-def read_template(spark: SparkSession, path: str) -> Template:
+def read_template(spark: SparkSession, path: str, encoding: str = text.ENCODING) -> Template:
     """Read, parse and check a template file."""
-    content = spark.read.format("binaryFile").load(path).select(text.file_text(F.col("content"), "UTF-8"))
+    content = spark.read.format("binaryFile").load(path).select(text.file_text(F.col("content"), encoding))
     template = parse_template(content.first()[0])
     patterns.check_patterns(spark, (p for e in template for p in (e.extract, e.validate) if p))
     for entry in template:

@@ -197,6 +197,13 @@ def read_parts(path):
     return "".join(p.read_text() for p in parts)
 
 
+def read_file_reports(path):
+    return {
+        (folder.parent.name.removeprefix("report_name="), folder.name.removeprefix("file=")): read_parts(folder)
+        for folder in Path(path).glob("report_name=*/file=*")
+    }
+
+
 @pytest.fixture(scope="module")
 def social_run(spark):
     page = '<a href="https://t.me/does_not_exist"> https://t.me/exists https://discord.com/invite/exists'
@@ -244,9 +251,9 @@ def test_report_document(social_run, tmp_path):
 def test_file_reports(social_run, tmp_path):
     path = tmp_path / "files"
     assert social_run.save(str(tmp_path / "report.json"), str(path))
-    written = {p.name.removeprefix("report_name="): json.loads(read_parts(p)) for p in path.iterdir() if p.is_dir()}
-    assert set(written) == {"f%2Fone.report.json", "f%2Ftwo.report.json"}
-    one, two = written["f%2Fone.report.json"], written["f%2Ftwo.report.json"]
+    written = {name: json.loads(text) for name, text in read_file_reports(path).items()}
+    assert set(written) == {("f%2Fone.report.json", "f%2Fone.json"), ("f%2Ftwo.report.json", "f%2Ftwo.json")}
+    one, two = (written[name] for name in sorted(written))
     assert one["full"] == two["full"] == FULL
     assert one["summary"]["validated"] == two["summary"]["validated"] == ["https://t.me/does_not_exist"]
     assert one["failed"] == {"validation": ["https://discord.com/invite/exists"], "extraction": []}
@@ -311,7 +318,7 @@ def test_plaintext_report(plain_run, tmp_path):
         ],
     }
     assert read_parts(tmp_path / "r") == json.dumps(expected, indent=4) + "\n"
-    written = {p.name.removeprefix("report_name="): read_parts(p) for p in (tmp_path / "files").iterdir() if p.is_dir()}
+    written = read_file_reports(tmp_path / "files")
     own = {
         "started_at": "s",
         "ended_at": "e",
@@ -319,8 +326,8 @@ def test_plaintext_report(plain_run, tmp_path):
         "failed": {"validation": ["v:2!"]},
         "results": {"num": ["v:2!"]},
     }
-    assert set(written) == {"d.x%2FA.report.json", "d.x%2Fb.report.json"}
-    assert written["d.x%2FA.report.json"] == json.dumps(own, indent=4) + "\n"
+    assert set(written) == {("d.x%2FA.report.json", "d.x%2FA"), ("d.x%2Fb.report.json", "d.x%2Fb.txt")}
+    assert written["d.x%2FA.report.json", "d.x%2FA"] == json.dumps(own, indent=4) + "\n"
 
 
 def test_a_written_report_can_be_tested_again(spark, plain_run, tmp_path):
@@ -385,3 +392,16 @@ def test_one_url_under_two_names_keeps_all_files(spark):
 def test_hot_copies_of_a_response_are_one(spark):
     pages = responses(spark, *[("u", 200, "n1")] * 50, ("v", 200, "n2"))
     assert tables.one_per_url(pages).count() == 2
+
+
+def test_files_with_one_report_name_are_kept_apart(spark, tmp_path):
+    sources = spark.createDataFrame([("u", "d/a.json"), ("w", "d/a.txt")], "url STRING, file STRING")
+    done = extraction(spark, [("u", "success", {"num": ["v"]}), ("w", "success", {"num": ["x"]})])
+    nothing = spark.createDataFrame([], "url STRING, key STRING, outcome STRING")
+    by_file = report.page_files(done, sources)
+    lines = report.file_reports(by_file, nothing, validate.validation_input(by_file, TEMPLATE))
+    writers.write_file_reports(lines, str(tmp_path / "r"))
+    written = read_file_reports(tmp_path / "r")
+    assert {k: json.loads(v)["summary"]["extracted"] for k, v in written.items()} == {
+        ("d%2Fa.report.json", "d%2Fa.json"): ["v"], ("d%2Fa.report.json", "d%2Fa.txt"): ["x"],
+    }
