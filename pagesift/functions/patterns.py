@@ -73,8 +73,6 @@ def group_index(pattern: str) -> int:
 #: letters that some non-ASCII character matches when case is ignored (dotless i, Kelvin sign, long s)
 _FOLDED = "iks"
 
-_SHORTEST = 3
-
 
 def _literal_runs(pattern: str) -> Iterator[tuple[str, bool]]:
     """Yield (text, leading) for literal text that every match contains.
@@ -141,7 +139,7 @@ def literals(pattern: str) -> tuple[str, str]:
     leading = runs[0][0] if runs and runs[0][1] else ""
     pieces = [piece for run, _ in runs for piece in re.split(f"[{_FOLDED}]", run.lower())]
     required = max(pieces, key=len, default="")
-    return leading, required if len(required) >= _SHORTEST else ""
+    return leading, required
 
 
 def with_leading_check(pattern: str) -> str:

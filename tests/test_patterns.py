@@ -71,7 +71,7 @@ def test_bad_patterns_are_refused(spark, pattern):
         ("(?:abc|abd)efgh", ("", "efgh")),
         ("(?:abc)?efgh", ("", "efgh")),
         ("abcd?", ("abc", "abc")),
-        ("ab{2}cd", ("a", "")),
+        ("ab{2}cd", ("a", "cd")),
         ("[0-9]{1,3}abc", ("", "abc")),
         ("abc+d", ("abc", "abc")),
         ("(?i)abcd", ("", "")),
@@ -79,7 +79,9 @@ def test_bad_patterns_are_refused(spark, pattern):
         (r"abc\d+def", ("abc", "abc")),
         ("discord", ("discord", "cord")),
         ("^abc$", ("abc", "abc")),
-        ("ab", ("ab", "")),
+        ("ab", ("ab", "ab")),
+        ("[a-z]+@[a-z]+", ("", "@")),
+        ("k", ("k", "")),
     ],
 )
 def test_literals(pattern, expected):
