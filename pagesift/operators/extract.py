@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pagesift import schemas
 from pagesift.functions import patterns, text
 from pagesift.operators import fetch
+from pagesift.session import materialize
 from pagesift.sources.tables import copy_order, one_per_url
 from pagesift.sources.templates import Entry, Template, template_for_stage
 
@@ -102,9 +103,10 @@ def extract_pages(
     """(url, outcome, results): stage one, one row per input URL.
 
     Pages are searched where they are read; only what was found is shuffled, reduced to one
-    response per URL (the latest by ``order_by``) and joined with the distinct input URLs.
+    response per URL (the latest by ``order_by``) and joined with the distinct input URLs. Those
+    are written once, to be measured and joined twice.
     """
-    wanted = inputs.select("url").distinct()
+    wanted = materialize(inputs.select("url").distinct(), "wanted")
     content = fetch.content()
     pages = fetch.only_wanted(responses, wanted, max_broadcast).select(
         "url",

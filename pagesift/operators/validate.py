@@ -10,6 +10,7 @@ from pagesift.functions import patterns
 from pagesift.operators import fetch
 from pagesift.operators.extract import result_values
 from pagesift.operators.skew import SALT_ROWS, join_hot
+from pagesift.session import materialize
 from pagesift.sources.tables import copy_order, one_per_url
 from pagesift.sources.templates import Template, template_for_stage, template_table
 
@@ -102,10 +103,11 @@ def validate_urls(
 
     Values are reduced to distinct URLs; files play no part. As in stage one, content is tested
     where it is read: against every pattern, since its key is not known there, which is cheaper
-    than a shuffle of the content. Only the matching keys travel to the join.
+    than a shuffle of the content. Only the matching keys travel to the join. The URLs are written
+    once, to be measured and joined twice.
     """
     values = validation_values(extraction, template)
-    inputs = values if per_key else last_key(values, template)
+    inputs = materialize(values if per_key else last_key(values, template), "targets")
     pages = fetch.only_wanted(responses, inputs, max_broadcast).select(
         "url", copy_order(order_by, "status", "error", "text", "body").alias("copy"), fetch.content().alias("text")
     )

@@ -9,6 +9,7 @@ from pagesift import schemas
 from pagesift.operators import fetch
 from pagesift.operators.report import LINE_ORDER
 from pagesift.operators.results import CHUNK, collect_urls_by_query, url_filename
+from pagesift.session import materialize
 from pagesift.sources.files import REPORT_EXTENSION
 from pagesift.sources.tables import copy_order, one_per_url
 
@@ -43,7 +44,7 @@ def downloads(
     url_table: DataFrame, responses: DataFrame, directory: str = "", order_by: str | None = None
 ) -> DataFrame:
     """(filename, url, content) of the URLs with status 200 and some content."""
-    wanted = url_table.select("url").distinct()
+    wanted = materialize(url_table.select("url").distinct(), "wanted")
     content = F.coalesce("body", F.encode("text", "UTF-8"))
     fetched = fetch.only_wanted(responses, wanted).select(
         "url", "status", content.alias("content"), copy_order(order_by, "status", "text", "body").alias("copy")

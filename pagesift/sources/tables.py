@@ -30,17 +30,13 @@ def read_responses(spark: SparkSession, path: str) -> DataFrame:
 
 
 def copy_order(order_by: str | None, *content: str) -> Column:
-    """Order among the copies of a URL: the latest ``order_by`` first, then by content hash."""
+    """Order among the copies of a URL: by ``order_by``, nulls before all, then by content hash."""
     digest = F.xxhash64(*content)
-    if order_by is None:
-        return digest
-    # copies without a value come last
-    latest = F.col(order_by)
-    return F.struct(latest.isNull(), -F.coalesce(latest.cast("bigint"), F.lit(0)), digest)
+    return digest if order_by is None else F.struct(F.col(order_by), digest)
 
 
 def one_per_url(responses: DataFrame, order: Column | None = None) -> DataFrame:
-    """One row per URL: the first in ``order``. Copies of a hot URL are reduced before the shuffle."""
+    """One row per URL: the last in ``order``. Copies of a hot URL are reduced before the shuffle."""
     rest = [c for c in responses.columns if c != "url"]
-    first = F.min_by(F.struct(*rest), copy_order(None, *rest) if order is None else order)
-    return responses.groupBy("url").agg(first.alias("r")).select("url", *[F.col("r")[c].alias(c) for c in rest])
+    last = F.max_by(F.struct(*rest), copy_order(None, *rest) if order is None else order)
+    return responses.groupBy("url").agg(last.alias("r")).select("url", *[F.col("r")[c].alias(c) for c in rest])

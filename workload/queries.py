@@ -190,7 +190,7 @@ def fetch_dedup(spark, sf):
 
 
 def _unique_responses(spark, sf):
-    return one_per_url(inputs.responses(spark, sf), -F.col("fetched_at")).drop("fetched_at")
+    return one_per_url(inputs.responses(spark, sf), F.col("fetched_at")).drop("fetched_at")
 
 
 def _files(spark, sf):
@@ -217,9 +217,8 @@ def classify_response(spark, sf):
 
 
 def _extraction(spark, sf):
-    files = materialize(_files(spark, sf), "files")
     return extract.extract_pages(
-        files, inputs.responses(spark, sf), inputs.template(), inputs.EXCLUDES, order_by="fetched_at"
+        _files(spark, sf), inputs.responses(spark, sf), inputs.template(), inputs.EXCLUDES, order_by="fetched_at"
     )
 
 
