@@ -181,7 +181,11 @@ def _layout(plaintext: bool, per_file: bool, started_at: str, ended_at: str) ->
 
 
 def _json_string(value: Column) -> Column:
-    return F.regexp_replace(F.to_json(F.array(value)), r"^\[|\]$", "")
+    """A quoted string; only one that needs escapes takes the way through the JSON writer."""
+    escaped = F.regexp_replace(F.to_json(F.array(value)), r"^\[|\]$", "")
+    return F.when(F.regexp_like(value, F.lit(r'[\x00-\x1f"\\]')), escaped).otherwise(
+        F.concat(F.lit('"'), value, F.lit('"'))
+    )
 
 
 def _json_map(results: Column, depth: int) -> Column:
