@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -115,14 +116,32 @@ def query_predicate(query: str) -> Column:
     return predicate
 
 
-def _searchable(pages: DataFrame, url: str, html: str) -> DataFrame:
-    return pages.withColumns(
+def _text_words(queries: Sequence[str]) -> set[str]:
+    """One word of each term that looks at the page text: its longest piece without a blank."""
+    terms = [found.groups() for query in queries for found in _TERM.finditer(query) if found.group(0) != "OR"]
+    words = [word.strip('"').lower() for _, operator, word in terms if (operator or "intext").lower() == "intext"]
+    return {max(word.split(" "), key=len) for word in words}
+
+
+def _searchable(pages: DataFrame, queries: Sequence[str], url: str, html: str) -> DataFrame:
+    """Add the lower-case parts of a page that terms look at.
+
+    Tags are replaced by blanks, so a word of the visible text is in the page source as well. Where
+    the source has none of the searched words, the visible text is not needed.
+    """
+    lowered = pages.select("*", F.lower(html).alias("t_html"))
+    visible = text.visible_text(F.col("t_html"))
+    words = sorted(_text_words(queries))
+    if words:
+        needed = reduce(Column.__or__, [F.contains("t_html", F.lit(word)) for word in words])
+        visible = F.when(needed, visible).otherwise("")
+    return lowered.withColumns(
         {
             "t_url": F.lower(url),
             "t_host": urls.host(F.col(url)),
             "t_ext": urls.extension(F.col(url)),
-            "t_title": F.lower(text.title_text(F.col(html))),
-            "t_text": F.lower(text.visible_text(F.col(html))),
+            "t_title": text.title_text(F.col("t_html")),
+            "t_text": visible,
         }
     )
 
@@ -136,8 +155,8 @@ def search_pages(
     """
     if not queries:
         raise ValueError("no queries")
-    prepared = _searchable(pages, url, html)
-    batches = [_search_batch(prepared, queries[i : i + BATCH], pos, url) for i in range(0, len(queries), BATCH)]
+    parts = [queries[i : i + BATCH] for i in range(0, len(queries), BATCH)]
+    batches = [_search_batch(_searchable(pages, part, url, html), part, pos, url) for part in parts]
     found = batches[0]
     for batch in batches[1:]:
         found = found.union(batch)

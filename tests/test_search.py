@@ -55,6 +55,9 @@ PAGES = [
         ("site:*.example.com ext:pdf OR ext:docx", [0, 3]),
         ("links OR other OR doc", [1, 2, 3]),
         ("OR doc", [3]),
+        ('intext:"links  join"', [1]),
+        ('intext:""', [0, 1, 2, 3]),
+        ('-intext:"parent directory"', [1, 2, 3]),
         ("OR", [0, 1, 2, 3]),
     ],
 )
