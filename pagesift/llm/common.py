@@ -4,15 +4,20 @@ from __future__ import annotations
 
 import io
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pagesift.session import shared_dir
+
 #: bytes of text that a task turns over at a time
 CHUNK_BYTES = 2 << 20
 #: rows that are ranked together in one task
@@ -70,7 +75,8 @@ def map_text(
 ) -> DataFrame:
     """``keep`` columns of ``df`` with what ``compute`` makes of the text, row by row, in slices of bounded size.
 
-    ``compute`` gets a list of UTF-8 byte strings and returns equally long arrays. ``schema`` holds the added columns.
+    ``compute`` gets a list of UTF-8 byte strings and returns equally long arrays. ``schema`` holds the added columns. If it also
+    returns ``take``, numbers of rows, the other arrays are as long as that, and ``keep`` is repeated accordingly.
     """
     ship(df.sparkSession)
     names = [f"k{i}" for i in range(len(keep))]
@@ -80,14 +86,38 @@ def map_text(
     def run(batches):
         for part in text_chunks(batches, "body"):
             made = compute(part.column("body").to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [*[part.column(n) for n in names], *made.values()], names=[*names, *made]
-            )
+            own = part.select(names)
+            if "take" in made:
+                own = own.take(made.pop("take"))
+            yield pa.RecordBatch.from_arrays([*own.columns, *made.values()], names=[*names, *made])
 
     out = narrow.mapInArrow(run, ", ".join(filter(None, [kept, schema])))
     return out.withColumnsRenamed(dict(zip(names, keep)))
 
 
+def file_system(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a shared folder, and the path in it."""
+    return fs.FileSystem.from_uri(uri)
+
+
+def fresh_dir(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared folder of the cluster."""
+    path = f"{shared_dir(spark)}/pagesift/{name}-{uuid.uuid4().hex}"
+    system, at = file_system(path)
+    system.create_dir(at, recursive=True)
+    return path
+
+
+@contextmanager
+def whole_file(folder: str, name: str):
+    """A stream that becomes the file ``name`` of a shared folder once all is written; attempts of a task don't meet."""
+    system, at = file_system(folder)
+    own = f"{at}/.{name}.{uuid.uuid4().hex}"
+    with system.open_output_stream(own) as out:
+        yield out
+    system.move(own, f"{at}/{name}")
+
+
 def buckets_for(rows: int, each: int = RANK_ROWS) -> int:
     return max(1, -(-rows // each))
 

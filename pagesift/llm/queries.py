@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagesift.llm import byte_cnn, gbt_quality, piece_codec, repetition
+from pagesift.llm import byte_cnn, gbt_quality, histogram_packing, piece_codec, repetition, separator_scan, stream_dedup
 from pagesift.llm.common import documents, is_held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,3 +59,41 @@ def op10_byte_cnn(spark, sf):
     docs = documents(spark, sf)
     found = byte_cnn.identify(docs, ["doc_id"], byte_cnn.learn(docs))
     return found.select("doc_id", is_held_out().alias("held_out"), "lang_pred", "score")
+
+
+@registered
+def op7_stream_dedup(spark, sf):
+    """Every document with the one that stays for its text."""
+    found = stream_dedup.dedup(documents(spark, sf).select("doc_id", "text"), ["doc_id"])
+    return found.select("doc.doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
+
+
+ORACLES["op7_stream_dedup"] = r"""
+WITH t AS (
+  SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents
+)
+SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, text_sha256
+FROM t WINDOW w AS (PARTITION BY text_sha256)
+"""
+
+
+#: end-of-document id of the byte vocabulary, which no text's ids hold
+END_OF_DOCUMENT = 50256
+
+
+@registered
+def op6_separator_scan(spark, sf):
+    """Token counts of every document, found in flat token files written from the documents."""
+    ranks, folder = public_tokenizers.path("byte_bpe_50k.tiktoken"), separator_scan.flat_dir(spark)
+    places = separator_scan.write_flat(documents(spark, sf), ranks, public_tokenizers.PATTERN, END_OF_DOCUMENT, folder)
+    counts = separator_scan.token_counts(spark, folder, END_OF_DOCUMENT)
+    return places.join(counts, ["file", "ordinal"]).select("doc_id", "n_tokens", "file", "ordinal")
+
+
+@registered
+def op9_histogram_packing(spark, sf):
+    """The pieces of every document and where they are in which sequence."""
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    cut = histogram_packing.pieces(documents(spark, sf), ["doc_id"], ranks, public_tokenizers.PATTERN)
+    keep = ["doc_id", "start", "ids_crc32", "doc_tokens"]
+    return histogram_packing.place(spark, cut, keep).drop("piece")
