@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagesift.llm import byte_cnn, gbt_quality, histogram_packing, piece_codec, repetition, separator_scan, stream_dedup
+from pagesift.llm import byte_cnn, gbt_quality, histogram_packing, piece_codec, repetition, separator_scan, simhash_bktree, stream_dedup
 from pagesift.llm.common import documents, is_held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,3 +97,10 @@ def op9_histogram_packing(spark, sf):
     cut = histogram_packing.pieces(documents(spark, sf), ["doc_id"], ranks, public_tokenizers.PATTERN)
     keep = ["doc_id", "start", "ids_crc32", "doc_tokens"]
     return histogram_packing.place(spark, cut, keep).drop("piece")
+
+
+@registered
+def op3_simhash_bktree(spark, sf):
+    """The fingerprint of every document and the component it is in."""
+    found = simhash_bktree.near_duplicates(documents(spark, sf))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
