@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagesift.llm import byte_cnn, gbt_quality, histogram_packing, piece_codec, repetition, separator_scan, simhash_bktree, stream_dedup
-from pagesift.llm.common import documents, is_held_out
+from pagesift.llm import byte_cnn, gbt_quality, histogram_packing, piece_codec, repetition, separator_scan, simhash_bktree, stream_dedup, warc_members
+from pagesift.llm.common import documents, fresh_dir, is_held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -104,3 +104,12 @@ def op3_simhash_bktree(spark, sf):
     """The fingerprint of every document and the component it is in."""
     found = simhash_bktree.near_duplicates(documents(spark, sf))
     return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@registered
+def op4_warc_members(spark, sf):
+    """Every page written to an archive, the archives normalised, and every record read back."""
+    source, target = fresh_dir(spark, "warc"), fresh_dir(spark, "warc")
+    archives = warc_members.write_archives(table(spark, sf, "pages"), source)
+    index = warc_members.normalise(archives, source, target)
+    return warc_members.read_records(index, target, payload=False)
