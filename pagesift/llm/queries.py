@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagesift.llm import byte_cnn, gbt_quality, histogram_packing, piece_codec, repetition, separator_scan, simhash_bktree, stream_dedup, warc_members
-from pagesift.llm.common import documents, fresh_dir, is_held_out
+from pagesift.llm import byte_cnn, gbt_quality, histogram_packing, label_shards, piece_codec, repetition, separator_scan, simhash_bktree, stream_dedup, warc_members
+from pagesift.llm.common import documents, fresh_dir, is_held_out, text_of
+from pagesift.session import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -113,3 +114,42 @@ def op4_warc_members(spark, sf):
     archives = warc_members.write_archives(table(spark, sf, "pages"), source)
     index = warc_members.normalise(archives, source, target)
     return warc_members.read_records(index, target, payload=False)
+
+
+@registered
+def op2_label_shards(spark, sf):
+    """Every document in one of 16 shards of equal counts, copies kept together as far as that allows."""
+    body = text_of()
+    docs = materialize(
+        documents(spark, sf).select(
+            F.monotonically_increasing_id().alias("node"),
+            "doc_id",
+            (F.octet_length(body) + 1).cast("long").alias("size"),
+            F.crc32(body).alias("text_crc32"),
+            F.unhex(F.sha2(body, 256)).alias("sha"),
+        ),
+        "documents",
+    )
+    links = materialize(label_shards.equal_links(docs, "node", "sha"), "links")
+    placed = label_shards.slots(label_shards.propagate(docs, "node", links, 16), "node", docs.count())
+    return docs.join(placed, "node").select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+ORACLES["op4_warc_members"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+h AS (SELECT page_id, body, sha1(body) AS sha, max(page_id) OVER (PARTITION BY body) AS response FROM p),
+b AS (
+  SELECT *, list_aggregate(list_transform(range(40), i -> substr(
+    '0000000100100011010001010110011110001001101010111100110111101111', 4 * instr('123456789abcdef', sha[i + 1]) + 1, 4
+  )), 'string_agg', '') AS bits FROM h
+)
+SELECT page_id, octet_length(encode(body))::BIGINT AS payload_bytes,
+  list_aggregate(list_transform(range(32), i -> 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[
+    16 * bits[5 * i + 1]::INT + 8 * bits[5 * i + 2]::INT + 4 * bits[5 * i + 3]::INT + 2 * bits[5 * i + 4]::INT + bits[5 * i + 5]::INT + 1
+  ]), 'string_agg', '') AS payload_digest,
+  CASE WHEN response = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN response <> page_id THEN response END AS refers_to
+FROM b
+"""
