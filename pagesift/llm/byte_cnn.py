@@ -4,7 +4,7 @@ Texts are cut into windows of a fixed number of bytes, the last one filled up wi
 widths slide over the window, each filter's maximum is kept, and a softmax layer turns the maxima into a probability per
 language. A text's probabilities are the mean over all its windows, weighted by their bytes: every byte of the whole
 text counts. The network is trained in numpy on the driver, on one window from each of at most ``TRAIN_ROWS`` labelled
-rows (those with the smallest hash of doc_id), so training is bounded whatever the size of the table.
+rows (drawn by a hash of doc_id), so training is bounded whatever the size of the table.
 
 Null texts and texts without a letter are ``und`` with score 0, and so is every text if there was nothing to learn from. Ties go to the
 language that sorts first. Equal texts get equal results. Columns of the input other than those named are not read.
@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagesift.llm.common import is_held_out, map_text, text_of
+from pagesift.llm.common import drawn, is_held_out, map_text, text_of
 
 WINDOW = 256
 WIDTHS = (2, 3, 4, 5)
@@ -152,13 +152,9 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
     body = text_of(text).cast("binary")
     spare = F.greatest(F.length(body) - WINDOW + 1, F.lit(1))
     place = F.pmod(F.xxhash64(doc_id, F.lit("place")), spare).cast("int") + 1
-    seen = (
-        docs.where(~is_held_out(doc_id) & F.col(lang).isNotNull() & (F.length(body) > 0))
-        .select(F.xxhash64(doc_id).alias("draw"), F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.substring(body, place, F.lit(WINDOW)).alias("window"))
-        .orderBy("draw", "id", "lang", "window")
-        .limit(rows)
-        .collect()
-    )
+    usable = docs.where(~is_held_out(doc_id) & F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.col(text) != ""))
+    windows = usable.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.substring(body, place, F.lit(WINDOW)).alias("window"))
+    seen = drawn(windows, "id", rows, ["id", "lang", "window"]).collect()
     return train(windows_of([bytes(r["window"]) for r in seen])[0] if seen else np.zeros((0, WINDOW), np.uint8), [r["lang"] for r in seen])
 
 

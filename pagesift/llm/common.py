@@ -118,6 +118,18 @@ def whole_file(folder: str, name: str):
     system.move(own, f"{at}/{name}")
 
 
+def drawn(df: DataFrame, doc_id: str, rows: int, order: list[str]) -> DataFrame:
+    """At most ``rows`` rows of ``df``: those whose id has the smallest hash, sorted by it. ``order`` decides ties.
+
+    Rows are thinned out by a second hash first, as their number allows, so that each task sorts and returns few.
+    """
+    total = df.count()
+    if total > 2 * rows:
+        sieve = F.pmod(F.xxhash64(doc_id, F.lit("sieve")), F.lit(1 << 40))
+        df = df.where(sieve < int((1 << 40) * 1.5 * rows / total))
+    return df.withColumn("draw", F.xxhash64(doc_id, F.lit("draw"))).orderBy("draw", *order).limit(rows).drop("draw")
+
+
 def buckets_for(rows: int, each: int = RANK_ROWS) -> int:
     return max(1, -(-rows // each))
 

@@ -2,7 +2,7 @@
 
 Statistics are shares of byte classes, and measures of words and lines (``FEATURES``), taken in one pass. Trees are grown level by level from
 histograms of gradients over at most ``BINS`` quantile bins per statistic, on the driver, from at most ``TRAIN_ROWS`` labelled rows:
-those not held out, with the smallest hash of doc_id. A fitted model is three flat arrays, one entry per node of complete trees of equal depth; all trees of a
+those not held out, drawn by a hash of doc_id. A fitted model is three flat arrays, one entry per node of complete trees of equal depth; all trees of a
 batch of documents are walked at once, one numpy step per level.
 
 Null texts count as empty and get the score of their all-zero statistics. Without any labelled row every score is 0.5. Equal texts get equal
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagesift.llm.common import is_held_out, map_text, text_of
+from pagesift.llm.common import drawn, is_held_out, map_text, text_of
 
 #: labelled rows that the trees learn from, at most
 TRAIN_ROWS = 20_000
@@ -154,14 +154,10 @@ def learn(
     docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "quality", doc_id: str = "doc_id", rows: int = TRAIN_ROWS
 ) -> Trees | None:
     """Trees from at most ``rows`` labelled rows that are not held out. Their ids are few by that bound, so they are broadcast."""
-    chosen = (
-        labels.where(~is_held_out(doc_id) & F.col(label).isNotNull())
-        .select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("label"))
-        .orderBy(F.xxhash64("id"), "id", "label")
-        .limit(rows)
-    )
+    usable = labels.where(~is_held_out(doc_id) & F.col(label).isNotNull())
+    chosen = drawn(usable.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("label")), "id", rows, ["id", "label"])
     own = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id")
-    seen = scored(own, ["id", "label"], lambda x: x).orderBy(F.xxhash64("id"), "id", "label", "made").limit(rows).collect()
+    seen = scored(own, ["id", "label"], lambda x: x).orderBy("id", "label", "made").limit(rows).collect()
     x = np.array([r["made"] for r in seen], np.float64).reshape(len(seen), len(FEATURES))
     return train(x, np.array([r["label"] for r in seen], np.float64))
 
