@@ -115,14 +115,10 @@ class Codec:
             if leading == len(made):
                 return np.zeros(0, np.uint8), np.zeros(1, np.int64)
             first = int(source[leading])
-            trailing = len(made) - int(np.argmin(space[::-1]))
-            if trailing < len(made):
-                end = int(source[trailing])
-                keep[trailing:] = False
             made, source = made[keep], source[keep]
-        if self.prefix:
-            made = np.append(made, 32) if self.suffix else np.append(32, made)
-            source = np.append(source, end) if self.suffix else np.append(first, source)
+        if self.prefix and not self.suffix:
+            made, source = np.append(32, made), np.append(first, source)
+        mark = MARK if self.escape else b" "
         if self.escape:
             space = made == 32
             times = np.where(space, 3, 1)
@@ -130,6 +126,13 @@ class Codec:
             made, source = np.repeat(made, times), np.repeat(source, times)
             for j, byte in enumerate(MARK):
                 made[at[space] + j] = byte
+        if self.squeeze:
+            size = len(made.astype(np.uint8).tobytes().removesuffix(mark))
+            while size < len(made):  # marks that stood in the text go too
+                end, made, source = int(source[size]), made[:size], source[:size]
+                size = len(made.astype(np.uint8).tobytes().removesuffix(mark))
+        if self.prefix and self.suffix:
+            made, source = np.append(made, list(mark)), np.append(source, [end] * len(mark))
         return made.astype(np.uint8), np.append(source, end)
 
     def ids(self, text: str) -> np.ndarray:

@@ -1,0 +1,41 @@
+from __future__ import annotations
+
+import pytest
+
+SCHEMA = "doc_id long, text string, lang string, row string, kept int, doc string, score string, n_words int, sha string, length string"
+
+
+def word(i: int) -> str:
+    return "".join(chr(97 + (i * 7 + j * j * 3 + i // 26) % 26) for j in range(3 + i % 5))
+
+
+TEXTS = [
+    None,
+    "",
+    " ",
+    "\n\t ",
+    "one",
+    "Two words",
+    "a  b c d \n e",
+    "é\n\tü ▁x 日本語 🙂🙂",
+    "x" * 4000,
+    " ".join(word(i % 400) for i in range(30_000)),
+    "Copied text, word for word, with enough words in it to count as one of a group of copies.",
+    "Copied\ttext, word for\n\nword, with enough words in it to count as one of a group of copies.",
+    "copied text, word for word, with enough words in it to count as one of a group of copies.",
+    "| of | the | of | the | of | the | of | the | of | the | of | the | of | the |",
+    "<|endoftext|> 12 34 don't",
+]
+
+
+@pytest.fixture(scope="session")
+def odd_docs(spark):
+    """Nulls in every column, empty and long texts, copies, a row that occurs three times, columns named as results are."""
+    rows = [(i, t, "en" if i % 3 else None, "r", i, "d", None, None, "s", "l") for i, t in enumerate(TEXTS)]
+    rows += [rows[10]] * 2 + [(100, TEXTS[10], None, None, None, None, None, None, None, None)]
+    return spark.createDataFrame(rows, SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="session")
+def no_docs(spark):
+    return spark.createDataFrame([], SCHEMA)
