@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from pagesift.llm import byte_cnn, histogram_packing, repetition, simhash_bktree, stream_dedup
 from pagesift.session import materialize
 
-#: probability that a document's language must have
-LEAST_LANGUAGE = 0.5
+#: probability that a document's language must have; a text in two languages may have half for each
+LEAST_LANGUAGE = 0.3
 #: dropped ids (8 bytes each) that may be broadcast; more are joined by a shuffle
 BROADCAST_IDS = 1_000_000
 

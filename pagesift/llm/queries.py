@@ -141,12 +141,12 @@ ORACLES["op4_warc_members"] = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
 h AS (SELECT page_id, body, sha1(body) AS sha, max(page_id) OVER (PARTITION BY body) AS response FROM p),
 b AS (
-  SELECT *, list_aggregate(list_transform(range(40), i -> substr(
+  SELECT *, list_aggregate(list_transform(range(40), lambda i: substr(
     '0000000100100011010001010110011110001001101010111100110111101111', 4 * instr('123456789abcdef', sha[i + 1]) + 1, 4
   )), 'string_agg', '') AS bits FROM h
 )
 SELECT page_id, octet_length(encode(body))::BIGINT AS payload_bytes,
-  list_aggregate(list_transform(range(32), i -> 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[
+  list_aggregate(list_transform(range(32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[
     16 * bits[5 * i + 1]::INT + 8 * bits[5 * i + 2]::INT + 4 * bits[5 * i + 3]::INT + 2 * bits[5 * i + 4]::INT + bits[5 * i + 5]::INT + 1
   ]), 'string_agg', '') AS payload_digest,
   CASE WHEN response = page_id THEN 'response' ELSE 'revisit' END AS record_type,

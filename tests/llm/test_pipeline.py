@@ -19,7 +19,7 @@ def plain(rows, net):
         if n >= 10 and windows * 100 <= 20 * n and covered <= repetition.MOST_COVERED * n and longest <= repetition.MOST_LONGEST:
             kept.append(row)
     langs = byte_cnn.classify(net, [t.encode() for _, t in kept])
-    kept = [r for r, lang, score in zip(kept, langs["lang_pred"].to_pylist(), langs["score"].to_pylist()) if lang != "und" and score >= 0.5]
+    kept = [r for r, lang, score in zip(kept, langs["lang_pred"].to_pylist(), langs["score"].to_pylist()) if lang != "und" and score >= corpus_pipeline.LEAST_LANGUAGE]
     first = {}
     for doc_id, text in kept:
         first[squeezed(text)] = min(doc_id, first.get(squeezed(text), doc_id))
