@@ -16,20 +16,51 @@ from pyspark.sql import functions as F
 
 FLAGS = "(?idmU)"
 
-#: compiles in Java but means something else there
-_CHANGED_MEANING = {
-    r"\Z": r"\Z also matches before a final newline in Java; write \z",
-    "(?P<": "named groups are written (?<name>...)",
-    "(?P=": r"named references are written \k<name>",
-}
+#: an escape in full: code points, control characters, properties, named references and names, quotes
+_ESCAPE = re.compile(
+    r"\\(?:x\{[^}]*\}|x[0-9A-Fa-f]{2}|u[0-9A-Fa-f]{4}|0(?:[0-3][0-7]{2}|[0-7]{1,2})|c.|[pPN]\{[^}]*\}|[pP].|k<[^>]*>"
+    r"|Q.*?(?:\\E|$)|.)?",
+    re.DOTALL,
+)
+
+#: escaped letters that stand for themselves alone, so that what follows them is text
+_LONE_ESCAPES = set("dDwWsSbBAzGhHvVRntrf")
+
+_NAMED = re.compile(r"\(\?P<(\w+)>|\(\?P=(\w+)\)")
 
 
 class PatternError(ValueError):
     """A pattern that does not compile or would change its meaning."""
 
 
+def translated(pattern: str) -> str:
+    """The pattern in Java's spelling: ``(?P<name>``, ``(?P=name)`` and the end of the text, ``\\Z``.
+
+    Java's group names have no underscores, so groups are renamed by their order.
+    """
+    out, at, names = [], 0, {}
+    for i, token, in_class in _tokens(pattern):
+        if i < at:
+            continue
+        named = None if in_class else _NAMED.match(pattern, i)
+        if named:
+            opened, referred = named.groups()
+            if opened:
+                names[opened] = f"g{len(names) + 1}"
+                out.append(f"(?<{names[opened]}>")
+            elif referred in names:
+                out.append(f"\\k<{names[referred]}>")
+            else:
+                raise PatternError(f"unknown group {referred}: {pattern}")
+            at = named.end()
+        else:
+            out.append(r"\z" if token == r"\Z" and not in_class else token)
+            at = i + len(token)
+    return "".join(out)
+
+
 def flagged(pattern: str) -> str:
-    return FLAGS + pattern
+    return FLAGS + translated(pattern)
 
 
 def like(text: Column, pattern: str) -> Column:
@@ -38,26 +69,25 @@ def like(text: Column, pattern: str) -> Column:
 
 
 def _tokens(pattern: str) -> Iterator[tuple[int, str, bool]]:
-    """Yield (offset, token, inside a character class); an escape is one token."""
-    i, depth = 0, 0
+    """Yield (offset, token, inside a character class); an escape is one token, whatever its length."""
+    i, in_class = 0, False
     while i < len(pattern):
-        token = pattern[i : i + 2] if pattern[i] == "\\" else pattern[i]
-        yield i, token, depth > 0
-        i += len(token)
-        if token == "[" and not depth:
-            depth = 1
+        token = _ESCAPE.match(pattern, i).group() if pattern[i] == "\\" else pattern[i]
+        if token == "[" and not in_class:
             # a bracket straight after the opening one (or its caret) is a literal
-            for literal in ("^", "]"):
-                if pattern.startswith(literal, i):
-                    i += 1
-        elif token == "]" and depth:
-            depth = 0
+            token = re.compile(r"\[\^?\]?").match(pattern, i).group()
+            yield i, token, False
+            in_class = True
+        else:
+            yield i, token, in_class
+            in_class = in_class and token != "]"
+        i += len(token)
 
 
 def group_count(pattern: str) -> int:
     """Number of capturing groups."""
     return sum(
-        token == "(" and not in_class and bool(re.match(r"\((?!\?)|\(\?<(?![=!])", pattern[i:]))
+        token == "(" and not in_class and bool(re.match(r"\((?!\?)|\(\?P?<(?![=!])", pattern[i:]))
         for i, token, in_class in _tokens(pattern)
     )
 
@@ -78,17 +108,19 @@ def _literal_runs(pattern: str) -> Iterator[tuple[str, bool]]:
     """Yield (text, leading) for literal text that every match contains.
 
     ``leading`` text is what a match starts with. Only text outside groups and alternatives counts;
-    patterns that switch flags or quote give nothing.
+    patterns that switch flags, quote, or hold an escape of a character, a property or a reference give nothing.
     """
     tokens = []
     counted = False
     for _, token, in_class in _tokens(pattern):
+        if token[0] == "\\" and (len(token) != 2 or token[1].isalnum() and token[1] not in _LONE_ESCAPES):
+            return
         # what stands inside the braces of a repetition is no text
         if not counted:
             tokens.append((token, in_class))
         counted = not in_class and (token == "{" or counted and token != "}")
     outside = "".join(token for token, in_class in tokens if not in_class)
-    if "\\Q" in outside or re.search(r"\(\?[^:=!<]|\(\?<(?![=!])", outside):
+    if re.search(r"\(\?[^:=!<]|\(\?<(?![=!])", outside):
         return
     depth, run, leading = 0, "", True
     zero_width: list[bool] = []
@@ -121,9 +153,9 @@ def _literal_runs(pattern: str) -> Iterator[tuple[str, bool]]:
 
 
 def _is_literal(token: str) -> bool:
-    if len(token) == 2:
-        return not token[1].isalnum() and token[1].isascii()
-    return token.isascii() and token not in ".^$|()[]{}?*+\\"
+    if token[0] == "\\":
+        return len(token) == 2 and not token[1].isalnum() and token[1].isascii()
+    return len(token) == 1 and token.isascii() and token not in ".^$|()[]{}?*+\\"
 
 
 def literals(pattern: str) -> tuple[str, str]:
@@ -133,7 +165,7 @@ def literals(pattern: str) -> tuple[str, str]:
     of every text with a match.
     """
     try:
-        runs = list(_literal_runs(pattern))
+        runs = list(_literal_runs(translated(pattern)))
     except LookupError:
         return "", ""
     leading = runs[0][0] if runs and runs[0][1] else ""
@@ -184,17 +216,24 @@ def lint(pattern: str) -> None:
             raise PatternError(f"escape the bracket inside a character class: {pattern}")
         if in_class and re.match(r"&&|--|\|\||~~", rest):
             raise PatternError(f"set operation inside a character class: {pattern}")
-        if not in_class:
-            for construct, reason in _CHANGED_MEANING.items():
-                if rest.startswith(construct):
-                    raise PatternError(f"{reason}: {pattern}")
+    if group_count(pattern) > 1:
+        raise PatternError(f"more than one capturing group: {pattern}")
+    translated(pattern)
+
+
+def _compiles(spark: SparkSession, patterns: list[str]) -> bool:
+    try:
+        spark.range(1).select(*[F.regexp_like(F.lit(""), F.lit(flagged(p))) for p in patterns]).collect()
+    except PySparkException:
+        return False
+    return True
 
 
 def check_patterns(spark: SparkSession, patterns: Iterable[str]) -> None:
     """Every pattern must pass ``lint`` and compile; the first bad one stops the run."""
+    patterns = list(dict.fromkeys(patterns))
     for pattern in patterns:
         lint(pattern)
-        try:
-            spark.range(1).select(F.regexp_like(F.lit(""), F.lit(flagged(pattern)))).collect()
-        except PySparkException as error:
-            raise PatternError(f"does not compile: {pattern}") from error
+    if patterns and not _compiles(spark, patterns):
+        bad = next((p for p in patterns if not _compiles(spark, [p])), "together")
+        raise PatternError(f"does not compile: {bad}")

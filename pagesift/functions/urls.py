@@ -15,6 +15,12 @@ TEXT_FRAGMENT = "#:~:text="
 SCHEMES = ("http", "https", "socks4", "socks4h", "socks5", "socks5h")
 MIN_PORT, MAX_PORT = 1, 65535
 
+#: fixed values: schemes after which an empty network location is kept as ``//``
+LOCATED_SCHEMES = (
+    "ftp", "http", "gopher", "nntp", "telnet", "imap", "wais", "file", "mms", "https", "shttp", "snews", "prospero", "rtsp",
+    "rtsps", "rtspu", "rsync", "svn", "svn+ssh", "sftp", "nfs", "git", "git+ssh", "ws", "wss", "itms-services",
+)
+
 #: fixed values: pattern of the sites and words that mark a result as one about search tricks.
 #: The plus sign is not escaped and so repeats the letter before it; results depend on that.
 BLACKLIST = (
@@ -72,12 +78,22 @@ def _prefixed_scheme(url: Column) -> Column:
     return F.when(s == "", "").otherwise(F.concat(s, F.lit(":")))
 
 
+def _located(url: Column) -> Column:
+    """Network location and path. Without a location, ``//`` stands where the scheme or the path asks for one."""
+    p, n = path(url), netloc(url)
+    located = scheme(url).isin(*LOCATED_SCHEMES) & ((p == "") | p.startswith("/"))
+    return (
+        F.when(n != "", F.concat(F.lit("//"), n, p))
+        .when(p.startswith("//") | located, F.concat(F.lit("//"), p))
+        .otherwise(p)
+    )
+
+
 def normalize(url: Column) -> Column:
     """Split and rebuilt: lower-case scheme, no empty query or fragment mark."""
     return F.concat(
         _prefixed_scheme(url),
-        _prefixed("//", netloc(url)),
-        path(url),
+        _located(url),
         _prefixed("?", query(url)),
         _prefixed("#", fragment(url)),
     )
@@ -87,19 +103,32 @@ def redirected(url: Column, final_url: Column) -> Column:
     return normalize(url) != final_url
 
 
+def _recoded(part: Column) -> Column:
+    """A part of a query in one way of percent-coding; one that can't be decoded stays as it is."""
+    return F.coalesce(F.url_encode(F.try_url_decode(part)), part)
+
+
+def _recoded_path(part: Column) -> Column:
+    """A path in one way of percent-coding. Coded slashes and question marks are no separators, a plus sign is no blank."""
+    kept = F.regexp_replace(F.regexp_replace(part, r"\+", "%2B"), r"(?i)%(2f|3f)", "%25$1")
+    coded = F.url_encode(F.try_url_decode(kept))
+    plain = F.regexp_replace(F.replace(F.replace(coded, F.lit("%2F"), F.lit("/")), F.lit("+"), F.lit("%20")), r"(?i)%25(2f|3f)", "%$1")
+    return F.coalesce(F.regexp_replace(F.replace(plain, F.lit("%2f"), F.lit("%2F")), "%3f", "%3F"), part)
+
+
 def canonical(url: Column) -> Column:
-    """One form for URLs that lead to the same request: parameters sorted, no fragment."""
+    """One form for URLs that lead to the same request: percent-coding alike, parameters sorted, no fragment."""
     pairs = F.transform(
         F.filter(F.split(query(url), "&"), lambda p: p != ""),
         lambda p: F.struct(
-            F.substring_index(p, "=", 1).alias("name"),
-            F.regexp_replace(p, r"^[^=]*=?", "").alias("value"),
+            _recoded(F.substring_index(p, "=", 1)).alias("name"),
+            _recoded(F.regexp_replace(p, r"^[^=]*=?", "")).alias("value"),
         ),
     )
     sorted_query = F.array_join(
         F.transform(F.sort_array(pairs), lambda p: F.concat(p["name"], F.lit("="), p["value"])), "&"
     )
-    p = path(url)
+    p = _recoded_path(path(url))
     return F.concat(
         _prefixed_scheme(url),
         _prefixed("//", F.lower(netloc(url))),

@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagesift import schemas
-from pagesift.functions import patterns, text
+from pagesift.functions import patterns, text, urls
 from pagesift.operators import fetch
 from pagesift.session import materialize
-from pagesift.sources.tables import copy_order, one_per_url
+from pagesift.sources.tables import copy_order, latest
 from pagesift.sources.templates import Entry, Template, template_for_stage
 
 
@@ -102,20 +102,23 @@ def extract_pages(
 ) -> DataFrame:
     """(url, outcome, results): stage one, one row per input URL.
 
-    Pages are searched where they are read; only what was found is shuffled, reduced to one
-    response per URL (the latest by ``order_by``) and joined with the distinct input URLs. Those
-    are written once, to be measured and joined twice.
+    A URL meets the response of any URL that leads to the same request. Pages are searched where they are read; only what
+    was found is written, reduced to one response per request (the latest by ``order_by``) and joined with the distinct input
+    URLs. Those are written once, to be measured and joined twice.
     """
-    wanted = materialize(inputs.select("url").distinct(), "wanted")
+    wanted = inputs.select("url").distinct().withColumn("request", urls.canonical(F.col("url")))
+    wanted = materialize(wanted, "wanted")
     content = fetch.content()
-    pages = fetch.only_wanted(responses, wanted, max_broadcast).select(
-        "url",
+    fetched = responses.withColumn("request", urls.canonical(F.col("url")))
+    pages = fetch.only_wanted(fetched, wanted, max_broadcast, "request").select(
+        "request",
         copy_order(order_by, "status", "error", "text", "body").alias("copy"),
         content.isNotNull().alias("usable"),
         content.alias("text"),
     )
-    found = extract_results(pages, template, ["url", "copy", "usable"], excludes)
-    joined = wanted.join(one_per_url(found, F.col("copy")), "url", "left")
+    found = extract_results(pages, template, ["request", "copy", "usable"], excludes)
+    found = materialize(found.withColumn("number", F.monotonically_increasing_id()), "found")
+    joined = wanted.join(latest(found, "request", "copy"), "request", "left")
     results = F.coalesce("results", F.create_map().cast("map<string,array<string>>"))
     usable = F.coalesce("usable", F.lit(False))
     return joined.select(

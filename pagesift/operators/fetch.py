@@ -41,18 +41,25 @@ def content() -> Column:
 BROADCAST_BYTES = 64 * 1024 * 1024
 
 
-def only_wanted(responses: DataFrame, wanted: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def only_wanted(
+    responses: DataFrame, wanted: DataFrame, max_bytes: int = BROADCAST_BYTES, key: str = "url", with_columns: tuple[str, ...] = ()
+) -> DataFrame:
     """Drop responses nobody asked for, where that is cheap.
 
     ``wanted`` is measured. A small one is broadcast, so the content of other pages is not looked
-    at. Beyond ``max_bytes`` all responses stay: sending page bodies through a shuffle would cost
-    more than looking at them where they are, and the join of the small outcomes with the wanted
-    URLs drops the rest.
+    at; ``with_columns`` come along, one row per key. A larger one is broadcast as hashes of 8 bytes, as long as these stay within
+    ``max_bytes``: a page let through by chance falls out in the later join. Beyond that all responses stay: sending page
+    bodies through a shuffle would cost more than looking at them where they are. Without the columns, they are null.
     """
-    size = wanted.agg(F.sum(F.octet_length("url"))).first()[0] or 0
-    if size > max_bytes:
-        return responses
-    return responses.join(F.broadcast(wanted.select("url").distinct()), "url", "left_semi")
+    n, size = wanted.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(key)), F.lit(0))).first()
+    if size <= max_bytes:
+        if with_columns:
+            return responses.join(F.broadcast(wanted.select(key, *with_columns)), key)
+        return responses.join(F.broadcast(wanted.select(key).distinct()), key, "left_semi")
+    if 8 * n <= max_bytes:
+        hashes = F.broadcast(wanted.select(F.xxhash64(key).alias("hash")).distinct())
+        responses = responses.withColumn("hash", F.xxhash64(key)).join(hashes, "hash", "left_semi").drop("hash")
+    return responses.withColumns({c: F.lit(None).cast(wanted.schema[c].dataType) for c in with_columns})
 
 
 def attach_responses(inputs: DataFrame, responses: DataFrame) -> DataFrame:
@@ -64,11 +71,6 @@ def attach_responses(inputs: DataFrame, responses: DataFrame) -> DataFrame:
     return inputs.join(responses, "url", "left")
 
 
-def redirected_responses(fetched: DataFrame) -> DataFrame:
-    """Add ``redirected``: did the response come from another URL?"""
-    return fetched.withColumn("redirected", urls.redirected(F.col("url"), F.col("final_url")))
-
-
 def outcome(usable: Column, matched: Column) -> Column:
     """One of success, no match and error."""
     return (

@@ -110,7 +110,16 @@ def _validation_items(validation: DataFrame, by: Sequence[str]) -> DataFrame:
 
 def report_items(extraction: DataFrame, validation: DataFrame, page: str = "url") -> DataFrame:
     """(section, value, results): the content of the overall report; only ``full`` has results."""
-    return _extraction_items(_with_outcome(extraction), [], page).unionByName(_validation_items(validation, []))
+    pages = _with_outcome(extraction)
+    return _extraction_items(_one_per_file(pages) if page == "file" else pages, [], page).unionByName(_validation_items(validation, []))
+
+
+def _one_per_file(texts: DataFrame) -> DataFrame:
+    """A text that was given several times is one page of its report, with the larger of its results by hash."""
+    rest = [c for c in texts.columns if c != "file"]
+    digest = F.xxhash64(F.to_json("results"))
+    chosen = F.max_by(F.struct(*rest), digest)
+    return texts.groupBy("file").agg(chosen.alias("r")).select("file", *[F.col("r")[c].alias(c) for c in rest])
 
 
 def _with_outcome(extraction: DataFrame) -> DataFrame:
@@ -136,7 +145,7 @@ def file_items(
     by_file = _with_outcome(by_file)
     success, error = (by_file.where(F.col("outcome") == kind) for kind in (schemas.SUCCESS, schemas.ERROR))
     if page == "file":
-        shown = success.withColumn("page", F.col("file"))
+        shown = _one_per_file(success).withColumn("page", F.col("file"))
         items = _extraction_items(shown, ["file"], "page")
     else:
         failed = join_hot(error, select_files(success), "file", page, salt_rows=salt_rows)
@@ -146,6 +155,10 @@ def file_items(
     return items.unionByName(_validation_items(validated, ["file"]))
 
 
+#: ends of lists (a file has five at most) that may be broadcast, a few hundred bytes each; more are joined by a shuffle
+BROADCAST_ENDS = 100_000
+
+
 # --- lines ----------------------------------------------------------------------------------------
 
 
@@ -242,7 +255,8 @@ def report_lines(
     # joined on the value too, so that a long list is not one key
     group = [*by, "section_ord"]
     ends = last.select(*group, F.col("last.value").alias("value"), F.lit(True).alias("is_last"))
-    marked = keyed.join(ends if by else F.broadcast(ends), [*group, "value"], "left")
+    small = not by or ends.count() <= BROADCAST_ENDS
+    marked = keyed.join(F.broadcast(ends) if small else ends, [*group, "value"], "left")
     comma = F.when(F.col("is_last"), F.lit("")).otherwise(F.lit(","))
     body = marked.select(
         *group, F.lit(1).alias("slot"), "fold", "value", F.concat(_body(page, single), comma).alias("line")

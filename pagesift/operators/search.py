@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Sequence
-from functools import reduce
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -19,9 +20,6 @@ MAX_WORDS = 32
 MAX_RESULTS = 100
 PAGE_SIZE = 10
 
-#: queries evaluated in one scan; longer lists take one scan per batch, to bound the plan
-BATCH = 200
-
 #: beyond this Spark no longer cuts groups before the shuffle by itself
 _GROUP_LIMIT = 1000
 _SALTS = 64
@@ -73,47 +71,66 @@ def recency_filter(df: DataFrame, ts: str, asof, months: int) -> DataFrame:
 _TERM = re.compile(r'(-?)(?:(intext|intitle|ext|site):)?("[^"]*"|\S+)', re.IGNORECASE)
 
 
-def _term(found: re.Match) -> Column:
-    minus, operator, word = found.groups()
+@dataclass(frozen=True)
+class _Plan:
+    """Queries over numbered terms: each distinct term is looked for once per page, whatever the number of queries."""
+
+    terms: dict[str, list[str]]
+    queries: list[dict]
+
+
+def _kind(operator: str | None, word: str) -> tuple[str, str]:
+    kind = (operator or "any").lower()
     word = word.strip('"').lower()
-    match (operator or "").lower():
-        case "intext":
-            hit = F.contains("t_text", F.lit(word))
-        case "intitle":
-            hit = F.contains("t_title", F.lit(word))
-        case "ext":
-            hit = F.col("t_ext") == word
-        case "site":
-            domain = word.removeprefix("*.")
-            hit = F.endswith("t_host", F.lit("." + domain))
-            if domain == word:
-                hit = hit | (F.col("t_host") == domain)
-        case _:
-            hit = F.contains("t_url", F.lit(word)) | F.contains("t_title", F.lit(word)) | F.contains("t_text", F.lit(word))
-    return ~hit if minus else hit
-
-
-def query_predicate(query: str) -> Column:
-    """A query as a predicate over the columns added by ``_searchable``.
-
-    Terms are all required; OR joins its two neighbours first; a leading minus negates a term.
-    """
-    clauses: list[Column] = []
-    join_next = False
-    for found in _TERM.finditer(query):
-        if found.group(0) == "OR":
-            join_next = bool(clauses)
-            continue
-        hit = _term(found)
-        if join_next:
-            clauses[-1] = clauses[-1] | hit
-        else:
-            clauses.append(hit)
+    if kind == "site" and word.startswith("*."):
+        return "below", word.removeprefix("*.")
+    return kind, word
+
+
+def _plan(queries: Sequence[str]) -> _Plan:
+    """Terms are all required; OR joins its two neighbours first; a leading minus negates a term."""
+    terms: dict[str, dict[str, int]] = {kind: {} for kind in _HITS}
+    parsed = []
+    for query in queries:
+        clauses: list[list[tuple[str, int, bool]]] = []
         join_next = False
-    predicate = F.lit(True)
-    for clause in clauses:
-        predicate = predicate & clause
-    return predicate
+        for found in _TERM.finditer(query):
+            if found.group(0) == "OR":
+                join_next = bool(clauses)
+                continue
+            minus, operator, word = found.groups()
+            kind, word = _kind(operator, word)
+            term = (kind, terms[kind].setdefault(word, len(terms[kind])), bool(minus))
+            if join_next:
+                clauses[-1].append(term)
+            else:
+                clauses.append([term])
+            join_next = False
+        parsed.append((query, clauses))
+    first, starts = 1, {}
+    for kind, words in terms.items():
+        starts[kind] = first
+        first += len(words)
+    numbered = [
+        {"query": query, "clauses": [[{"term": starts[k] + n, "minus": m} for k, n, m in clause] for clause in clauses]}
+        for query, clauses in parsed
+    ]
+    return _Plan({kind: list(words) for kind, words in terms.items()}, numbered)
+
+
+#: how a term of each kind is looked for in the columns of ``_searchable``
+_HITS = {
+    "intext": lambda word: F.contains("t_text", word),
+    "intitle": lambda word: F.contains("t_title", word),
+    "ext": lambda word: F.col("t_ext") == word,
+    "site": lambda word: (F.col("t_host") == word) | F.endswith("t_host", F.concat(F.lit("."), word)),
+    "below": lambda word: F.endswith("t_host", F.concat(F.lit("."), word)),
+    "any": lambda word: F.contains("t_url", word) | F.contains("t_title", word) | F.contains("t_text", word),
+}
+
+
+def _constant(value: object, schema: str) -> Column:
+    return F.from_json(F.lit(json.dumps(value)), schema)
 
 
 def _text_words(queries: Sequence[str]) -> set[str]:
@@ -129,17 +146,17 @@ def _searchable(pages: DataFrame, queries: Sequence[str], url: str, html: str) -
     Tags are replaced by blanks, so a word of the visible text is in the page source as well. Where
     the source has none of the searched words, the visible text is not needed.
     """
-    lowered = pages.select("*", F.lower(html).alias("t_html"))
+    lowered = pages.select("*", F.lower(F.coalesce(html, F.lit(""))).alias("t_html"))
     visible = text.visible_text(F.col("t_html"))
     words = sorted(_text_words(queries))
     if words:
-        needed = reduce(Column.__or__, [F.contains("t_html", F.lit(word)) for word in words])
+        needed = F.exists(_constant(words, "array<string>"), lambda word: F.contains("t_html", word))
         visible = F.when(needed, visible).otherwise("")
     return lowered.withColumns(
         {
-            "t_url": F.lower(url),
-            "t_host": urls.host(F.col(url)),
-            "t_ext": urls.extension(F.col(url)),
+            "t_url": F.lower(F.coalesce(url, F.lit(""))),
+            "t_host": urls.host(F.coalesce(url, F.lit(""))),
+            "t_ext": urls.extension(F.coalesce(url, F.lit(""))),
             "t_title": text.title_text(F.col("t_html")),
             "t_text": visible,
         }
@@ -149,25 +166,28 @@ def _searchable(pages: DataFrame, queries: Sequence[str], url: str, html: str) -
 def search_pages(
     pages: DataFrame, queries: Sequence[str], pos: str = "page_id", url: str = "url", html: str = "html"
 ) -> DataFrame:
-    """(query, url, pos): the pages each query finds, in one scan and without a shuffle.
+    """(query, url, pos): the pages each query finds, in one scan for any number of queries and without a shuffle.
 
     ``pos`` is a column that ranks pages, unique per page.
     """
     if not queries:
         raise ValueError("no queries")
-    parts = [queries[i : i + BATCH] for i in range(0, len(queries), BATCH)]
-    batches = [_search_batch(_searchable(pages, part, url, html), part, pos, url) for part in parts]
-    found = batches[0]
-    for batch in batches[1:]:
-        found = found.union(batch)
-    return found
-
-
-def _search_batch(prepared: DataFrame, queries: Sequence[str], pos: str, url: str) -> DataFrame:
-    hits = F.array_compact(F.array(*[F.when(query_predicate(q), F.lit(q)) for q in queries]))
-    return prepared.select(
-        F.explode(hits).alias("query"), F.col(url).alias("url"), F.col(pos).cast("bigint").alias("pos")
+    plan = _plan(queries)
+    hits = [F.transform(_constant(words, "array<string>"), _HITS[kind]) for kind, words in plan.terms.items() if words]
+    hits = F.concat(*hits) if hits else F.array().cast("array<boolean>")
+    prepared = _searchable(pages, queries, url, html).select(
+        F.col(url).alias("url"),
+        F.col(pos).cast("bigint").alias("pos"),
+        # a generator, so that the terms aren't looked for again by each query
+        F.explode(F.array(hits)).alias("hits"),
     )
+    asked = _constant(plan.queries, "array<struct<query string, clauses array<array<struct<term int, minus boolean>>>>>")
+
+    def holds(clause: Column) -> Column:
+        return F.exists(clause, lambda t: F.element_at("hits", t["term"]) != t["minus"])
+
+    found = F.filter(asked, lambda q: F.forall(q["clauses"], holds))
+    return prepared.select(F.explode(F.transform(found, lambda q: q["query"])).alias("query"), "url", "pos")
 
 
 def cap_results(results: DataFrame, limit: int = MAX_RESULTS) -> DataFrame:

@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagesift import schemas
-from pagesift.functions import patterns
+from pagesift.functions import patterns, urls
 from pagesift.operators import fetch
 from pagesift.operators.extract import result_values
 from pagesift.operators.skew import SALT_ROWS, join_hot
 from pagesift.session import materialize
-from pagesift.sources.tables import copy_order, one_per_url
+from pagesift.sources.tables import copy_order, latest
 from pagesift.sources.templates import Template, template_for_stage, template_table
 
 
@@ -79,12 +79,16 @@ def validate_match(content: Column, key: Column, template: Template) -> Column:
     return matched
 
 
-def matched_keys(content: Column, lower: Column, template: Template) -> Column:
-    """The keys whose validation pattern the content matches."""
+def matched_keys(content: Column, lower: Column, template: Template, keys: Column | None = None) -> Column:
+    """The keys whose validation pattern the content matches; of ``keys`` alone, where they are known."""
+
+    def asked(key: str) -> Column:
+        return F.lit(True) if keys is None else keys.isNull() | F.array_contains(keys, key)
+
     return F.array_compact(
         F.array(
             *[
-                F.when(patterns.contains_match(content, lower, e.validate), F.lit(e.key))
+                F.when(asked(e.key) & patterns.contains_match(content, lower, e.validate), F.lit(e.key))
                 for e in template_for_stage(template, schemas.VALIDATION)
             ]
         )
@@ -101,20 +105,26 @@ def validate_urls(
 ) -> DataFrame:
     """(url, key, outcome): stage two, one row per extracted URL (and key, with ``per_key``).
 
-    Values are reduced to distinct URLs; files play no part. As in stage one, content is tested
-    where it is read: against every pattern, since its key is not known there, which is cheaper
-    than a shuffle of the content. Only the matching keys travel to the join. The URLs are written
+    Values are reduced to distinct URLs; files play no part. As in stage one, a URL meets the response of any URL that leads to
+    the same request, and content is tested where it is read. Where the URLs are few enough to be broadcast, their keys come along and only their
+    patterns run; otherwise all do, which is cheaper than a shuffle of the content. Only the matching keys travel to the join. The URLs are written
     once, to be measured and joined twice.
     """
     values = validation_values(extraction, template)
-    inputs = materialize(values if per_key else last_key(values, template), "targets")
-    pages = fetch.only_wanted(responses, inputs, max_broadcast).select(
-        "url", copy_order(order_by, "status", "error", "text", "body").alias("copy"), fetch.content().alias("text")
+    inputs = values if per_key else last_key(values, template)
+    inputs = materialize(inputs.withColumn("request", urls.canonical(F.col("url"))), "targets")
+    # as many keys as the template has entries
+    requests = inputs.groupBy("request").agg(F.collect_set("key").alias("keys"))
+    fetched = responses.withColumn("request", urls.canonical(F.col("url")))
+    pages = fetch.only_wanted(fetched, requests, max_broadcast, "request", ("keys",)).select(
+        "request", "keys", copy_order(order_by, "status", "error", "text", "body").alias("copy"), fetch.content().alias("text")
     )
     lowered = pages.withColumn("lower_text", F.lower("text"))
-    matches = F.when(F.col("text").isNotNull(), matched_keys(F.col("text"), F.col("lower_text"), template))
+    found = matched_keys(F.col("text"), F.col("lower_text"), template, F.col("keys"))
+    matches = F.when(F.col("text").isNotNull(), found)
     # a generator, so that nothing is pushed below the pattern work
-    tested = lowered.select("url", "copy", F.inline(F.array(F.struct(matches.alias("matches")))))
-    joined = inputs.join(one_per_url(tested, F.col("copy")), "url", "left")
+    tested = lowered.select("request", "copy", F.inline(F.array(F.struct(matches.alias("matches")))))
+    tested = materialize(tested.withColumn("number", F.monotonically_increasing_id()), "tested")
+    joined = inputs.join(latest(tested, "request", "copy"), "request", "left")
     matched = F.array_contains("matches", F.col("key"))
     return joined.select("url", "key", fetch.outcome(F.col("matches").isNotNull(), matched).alias("outcome"))

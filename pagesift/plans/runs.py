@@ -10,16 +10,13 @@ from pyspark.sql import functions as F
 
 from pagesift import schemas
 from pagesift.functions import urls
+from pagesift.functions.patterns import check_patterns, group_index
 from pagesift.operators import extract, fetch, report, results, search, validate
 from pagesift.session import materialize
 from pagesift.sinks import writers
 from pagesift.sources.templates import Template
 
 
-#: queries that the driver turns into one plan
-MAX_QUERIES = 10_000
-
-
 @dataclass(frozen=True)
 class SearchRun:
     """``results`` are clean (query, url, pos) rows; ``ignored`` the queries left out."""
@@ -52,17 +49,15 @@ def search_run(
 ) -> SearchRun:
     """Prepare the queries, search the pages, keep the first results and clean them.
 
-    The prepared queries are a list somebody wrote; they become predicates of one scan. A list too
-    long for that is refused, to be searched in several runs.
+    The prepared queries are a list somebody wrote; they become constants of one scan. What the search found, at most ``limit`` rows
+    per query, is written once, so that saving and counting don't search again.
     """
     prepared = search.prepare_queries(queries, site)
     recent = search.recency_filter(pages, ts, asof, months) if months else pages
-    texts = [row.query for row in prepared.orderBy("pos").limit(MAX_QUERIES + 1).collect()]
+    texts = [row.query for row in prepared.orderBy("pos").collect()]
     if not texts:
         raise ValueError("no valid queries")
-    if len(texts) > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries in one run")
-    capped = search.cap_results(search.search_pages(recent, texts, pos), limit)
+    capped = materialize(search.cap_results(search.search_pages(recent, texts, pos), limit), "searched")
     ranked = capped.select("query", "url", F.col("rank").cast("bigint").alias("pos"))
     clean = results.clean_result_urls(ranked, blacklist)
     return SearchRun(prepared, search.ignored_queries(queries, site), clean)
@@ -119,10 +114,11 @@ def extract_run(
 ) -> ExtractRun:
     """Extract from the pages of result rows (url, file), then validate the values.
 
-    Every stage is written once: later steps read it several times and never repeat the pattern
-    work. ``order_by`` tells the latest of several responses of a URL.
+    URLs that lead to the same request are one, with the files of all. Every stage is written once: later steps read it
+    several times and never repeat the pattern work. ``order_by`` tells the latest of several responses of a URL.
     """
-    files = materialize(result_rows.select("url", "file").distinct(), "files")
+    _check(responses, template, excludes)
+    files = materialize(results.fetch_dedup(result_rows.select("url", "file").distinct()), "files")
     extraction = materialize(
         extract.extract_pages(files, responses, template, excludes, order_by), "extraction"
     )
@@ -138,11 +134,20 @@ def plaintext_run(
     order_by: str | None = None,
 ) -> ExtractRun:
     """Extract from texts (file, text), then validate the values."""
+    _check(texts, template, excludes)
     found = extract.extract_plaintext(texts, template, excludes)
     extraction = materialize(found.withColumn("outcome", F.lit(schemas.SUCCESS)), "extraction")
     return ExtractRun(template, extraction, _validation(extraction, responses, template, per_key, order_by))
 
 
+def _check(df: DataFrame, template: Template, excludes: Sequence[str]) -> None:
+    """Bad patterns stop a run before it begins."""
+    given = [p for e in template for p in (e.extract, e.validate) if p]
+    check_patterns(df.sparkSession, [*given, *excludes])
+    for entry in template:
+        group_index(entry.extract)
+
+
 def _validation(
     extraction: DataFrame, responses: DataFrame, template: Template, per_key: bool, order_by: str | None
 ) -> DataFrame:

@@ -1,6 +1,6 @@
 """Table schemas, as DDL strings."""
 
-RESULTS_RAW = "ARRAY<STRUCT<query: STRING, user_agent: STRING, proxy: STRING, urls: ARRAY<STRING>>>"
+RESULTS_RAW = "ARRAY<STRUCT<query: STRING, user_agent: STRING, proxy: STRING, urls: ARRAY<STRING>, chunk: BIGINT>>"
 RESULTS_LINE = "query STRING, user_agent STRING, proxy STRING, urls ARRAY<STRING>"
 
 #: one row per (query, url); ``pos`` carries the rank order, since partitions have none

@@ -11,15 +11,18 @@ from pagesift.operators.report import LINE_ORDER
 from pagesift.operators.results import CHUNK, collect_urls_by_query, url_filename
 from pagesift.session import materialize
 from pagesift.sources.files import REPORT_EXTENSION
-from pagesift.sources.tables import copy_order, one_per_url
+from pagesift.sources.tables import copy_order, latest
 
 #: report entries per part file: later readers load a part as one text
 REPORT_PART_ROWS = 100_000
 
 
 def write_results(results: DataFrame, path: str, chunk: int = CHUNK, mode: str = "errorifexists") -> None:
-    """One JSON object per line: a query with its URLs in order (several lines for a long list)."""
-    grouped = collect_urls_by_query(results, chunk)
+    """One JSON object per line: a query with its URLs in order (several lines for a long list).
+
+    Rows that name their file keep the positions they have there, so a query of several files has lines of its own for each.
+    """
+    grouped = collect_urls_by_query(results, chunk, ("file", "query") if "file" in results.columns else ("query",))
     grouped.select(
         "query", F.lit("").alias("user_agent"), F.lit("").alias("proxy"), "urls", "chunk"
     ).write.mode(mode).json(path)
@@ -49,11 +52,14 @@ def downloads(
     fetched = fetch.only_wanted(responses, wanted).select(
         "url", "status", content.alias("content"), copy_order(order_by, "status", "text", "body").alias("copy")
     )
-    saved = (
-        fetch.attach_responses(wanted, one_per_url(fetched, F.col("copy")))
-        .where((F.col("status") == 200) & (F.length("content") > 0))
-    )
-    return saved.join(url_filename(saved.select("url"), directory), "url").select("filename", "url", "content")
+    # the copy is chosen on narrow columns; the content is written once and moved once at most, by the join with the names
+    fetched = materialize(fetched.withColumn("number", F.monotonically_increasing_id()), "fetched")
+    usable = F.col("status").eqNullSafe(200) & (F.coalesce(F.length("content"), F.lit(0)) > 0)
+    narrow = fetched.select("url", "copy", "number", usable.alias("usable"))
+    saved = latest(narrow.join(wanted, "url", "left_semi").withColumn("row", F.col("number")), "url", "copy")
+    saved = materialize(saved.where("usable").select("url", F.col("row").alias("number")), "saved")
+    named = saved.join(url_filename(saved.select("url"), directory), "url").select("number", "filename")
+    return fetched.join(named, "number").select("filename", "url", "content")
 
 
 def write_report(lines: DataFrame, outcomes: DataFrame, path: str, mode: str = "errorifexists") -> bool:
@@ -69,22 +75,25 @@ def write_report(lines: DataFrame, outcomes: DataFrame, path: str, mode: str = "
 
 
 def write_file_reports(lines: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """A directory per report name and file, with the parts of that file's report.
+    """A directory per file, with the parts of that file's report, and ``names``: which directory is whose.
 
+    Names of files may be longer than a directory's name can be, so directories go by a hash; ``names`` holds (report, report_name, file).
     Rows are sorted by file and then by place in the report, so a file with a third of all pages is
     written by many tasks and a task with many small files keeps one open at a time. Files whose
     names differ only in the extension share a report name and are kept apart by the file.
     """
-    keys = ["report_name", "file", *LINE_ORDER]
+    named = lines.withColumn("report", F.md5("file"))
+    names = named.select("report", report_name().alias("report_name"), "file").distinct()
+    names.write.mode(mode).parquet(f"{path}/names")
+    keys = ["report", *LINE_ORDER]
     (
-        lines.withColumn("report_name", report_name())
-        .repartitionByRange(*keys)
+        named.repartitionByRange(*keys)
         .sortWithinPartitions(*keys)
-        .select("line", "report_name", "file")
+        .select("line", "report")
         .write.mode(mode)
         .option("maxRecordsPerFile", REPORT_PART_ROWS)
-        .partitionBy("report_name", "file")
-        .text(path)
+        .partitionBy("report")
+        .text(f"{path}/reports")
     )
 
 

@@ -52,13 +52,19 @@ def read_excludes(spark: SparkSession, path: str) -> list[str]:
 def parse_result_files(files: DataFrame, encoding: str = text.ENCODING) -> DataFrame:
     """Add ``entries`` to (file, content): the parsed array, or null for a rejected file.
 
-    One bad element rejects its file, and so does a root that is not an array.
+    One bad element rejects its file, and so does anything but one array: another root, text behind it, single quotes. The
+    array is read as the only field of an object, since the parser would ignore what follows it. Lines of
+    objects with a ``chunk``, as ``write_results`` makes them, count as an array.
     """
     content = text.file_text(F.col("content"), encoding)
-    return files.select(
-        "file",
-        F.when(content.startswith("["), F.from_json(content, schemas.RESULTS_RAW)).alias("entries"),
-    )
+    lines = F.concat(F.lit("["), F.regexp_replace(content, "\\n", ","), F.lit("]"))
+    array = F.when(content.startswith("{"), lines).when(content.startswith("[") & content.endswith("]"), content)
+    schema = f"entries {schemas.RESULTS_RAW}, bad STRING"
+    options = {"allowSingleQuotes": "false", "columnNameOfCorruptRecord": "bad"}
+    read = F.from_json(F.concat(F.lit('{"entries":'), array, F.lit("}")), schema, options)
+    parsed = files.select("file", content.startswith("{").alias("lines"), read.alias("read"))
+    bad = F.exists("read.entries", lambda e: e.isNull() | (F.col("lines") & e["chunk"].isNull()))
+    return parsed.select("file", F.when(F.col("read.bad").isNull() & ~bad, F.col("read.entries")).alias("entries"))
 
 
 def _flat(entries: DataFrame, entry: Column, order: list[Column]) -> DataFrame:
@@ -81,8 +87,8 @@ def read_results(
 
 def flatten_results(parsed: DataFrame) -> DataFrame:
     entries = parsed.where(F.col("entries").isNotNull()).select("file", F.posexplode("entries").alias("e", "entry"))
-    # an entry holds fewer than 2^31 URLs, so the offset keeps the order across entries
-    offset = F.shiftleft(F.col("e").cast("bigint"), 31)
+    # an entry holds fewer than 2^31 URLs, so the offset keeps the order across entries, or across the rows of a long list
+    offset = F.shiftleft(F.coalesce(F.col("entry.chunk"), F.col("e").cast("bigint")), 31)
     return _flat(entries, F.col("entry"), [offset.alias("n")])
 
 
@@ -93,14 +99,19 @@ def rejected_results(spark: SparkSession, path: str | list[str], skip_reports: b
 
 
 def _result_files(spark: SparkSession, path: str | list[str], skip_reports: bool) -> DataFrame:
-    files = read_files(spark, path)
+    files = read_files(spark, path).withColumn("file", saved_name(F.col("file")))
     return files.where(~F.col("file").endswith(REPORT_EXTENSION)) if skip_reports else files
 
 
-def read_result_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Flat result rows of a table written by ``write_results``; ``chunk`` orders its lines."""
+def saved_name(file: Column) -> Column:
+    """The parts of a saved search go by the name of its folder; any other file by its own."""
+    return F.regexp_replace(file, r"/part-[^/]*$", "")
+
+
+def read_result_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Flat result rows of searches saved by ``write_results``, each under the name of its folder; ``chunk`` orders its lines."""
     lines = spark.read.schema(f"{schemas.RESULTS_LINE}, chunk BIGINT").json(path)
-    lines = lines.withColumn("file", F.lit(path))
+    lines = lines.withColumn("file", saved_name(F.col("_metadata.file_path")))
     return _flat(lines, F.struct("query", "urls"), [F.shiftleft("chunk", 31).alias("n")])
 
 
@@ -112,7 +123,10 @@ def read_plaintext(spark: SparkSession, path: str | list[str], encoding: str = t
 def read_report(spark: SparkSession, path: str, encoding: str = text.ENCODING) -> DataFrame:
     """(file, text) of an earlier report, to be tested again.
 
-    A report written here is a directory of part files cut between whole entries; each part is one
-    text. It is read like any plain text; name UTF-8 to get non-ASCII values back as they were.
+    A report written here is a directory of part files; in order they are one text, as any other file is. Name UTF-8 to
+    get non-ASCII values back as they were.
     """
-    return read_plaintext(spark, path, encoding)
+    parts = read_plaintext(spark, path, encoding)
+    ordered = F.sort_array(F.collect_list(F.struct("file", "text")))
+    joined = F.array_join(F.transform(ordered, lambda p: p["text"]), "\n")
+    return parts.groupBy(saved_name(F.col("file")).alias("name")).agg(joined.alias("text")).select(F.col("name").alias("file"), "text")

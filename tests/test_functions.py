@@ -52,6 +52,17 @@ URLS = [
     "?q",
     "#f",
     "a:b:c",
+    "https:///a/b",
+    "http:",
+    "http:a",
+    "http:/a?q",
+    "custom:///a",
+    "custom:",
+    "////a/b",
+    "http:////a/b",
+    "file:///etc",
+    "http://?q",
+    "http:?q#f",
 ]
 
 

@@ -55,7 +55,7 @@ def test_more_than_one_group_is_refused():
 
 @pytest.mark.parametrize(
     "pattern",
-    ["(?P<n>a)", "(?P=n)", "[[:alpha:]]", "[a--b]", "[a&&b]", r"a\Z", r"a\Kb", "(?R)", "(?|a)", "(?V1)a", "(a", "e{<=1}"],
+    ["(?P=n)", "(?P<n>a)(?P<m>b)", "[[:alpha:]]", "[a--b]", "[a&&b]", r"a\Kb", "(?R)", "(?|a)", "(?V1)a", "(a", "e{<=1}"],
 )
 def test_bad_patterns_are_refused(spark, pattern):
     with pytest.raises(PatternError):
@@ -111,6 +111,39 @@ def test_shortcuts_change_no_match(spark, texts):
         assert _all_matches(spark, pattern, texts) == expected
 
 
+_ATOMS = st.sampled_from([
+    "ab", "t.me", "x", r"\.", r"\x40", r"\x61b", r"\x{41}", r"\u0042", r"\0101b", r"\014", r"\cAb", r"\pLb", r"\p{Lu}m", r"\PLb", r"\N{LATIN SMALL LETTER B}",
+    r"\Qa.b\E", r"\d", r"\w", r"\x20", r"k\x2e", "[a-c]", r"[\x41-\x43]m", r"[^]a]", "(?:ab|me)", "(?:t)", "b?", "m+", "a{2}", r"\/", "@", r"\bm", "e",
+])
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.lists(_ATOMS, min_size=1, max_size=4).map("".join), min_size=25, max_size=25), st.lists(st.text(alphabet="abABmMtTeExX .@/k\x01\f0", max_size=30), min_size=40, max_size=40))
+def test_shortcuts_change_no_match_of_generated_patterns(spark, generated, texts):
+    texts += ["".join(p) for p in ("write to mail@example.com", "ab t.me A.B@b", "mmb k.ab \x01b", "not found a.b Bm xme")]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i INT, t STRING").withColumn("low", F.lower("t"))
+    plain = [F.regexp_extract_all("t", F.lit(patterns.flagged(p)), F.lit(0)) for p in generated]
+    short = [patterns.find_all(F.col("t"), F.col("low"), p) for p in generated]
+    held = [patterns.contains_match(F.col("t"), F.col("low"), p) for p in generated]
+    rows = df.select(F.array(*plain).alias("plain"), F.array(*short).alias("short"), F.array(*held).alias("held")).collect()
+    for i, pattern in enumerate(generated):
+        assert [r.short[i] for r in rows] == [r.plain[i] for r in rows], pattern
+        assert [r.held[i] for r in rows] == [bool(r.plain[i]) for r in rows], pattern
+
+
+@pytest.mark.parametrize(
+    ("pattern", "text"),
+    [
+        (r"mail\x40example\.com", "write to mail@example.com"), (r"k\x2eb", "k.b"), (r"not\x20found", "not found"),
+        (r"(?P<one_name>a)b", "xab"), (r"(?P<q>[\"'])x(?P=q)", "'x' \"x'"), (r"b\Z", "b\nb"), (r"b\Z", "b\n"), (r"[\Z]?b", "b"),
+    ],
+)
+def test_python_spelling(spark, pattern, text):
+    patterns.check_patterns(spark, [pattern]) if r"[\Z]" not in pattern else None
+    if r"[\Z]" not in pattern:
+        assert _all_matches(spark, pattern, [text]) == [regex.findall(pattern, text, flags=regex.MULTILINE | regex.IGNORECASE)]
+
+
 def test_dialect_equals_the_python_module(spark):
     texts = ["a.b\nc.D  é", "É x\r\ny", "", "line1\nline2", "ΑΒΓ αβγ", "under_score 12٣"]
     for pattern in (r"^\w+", r"\w$", r"[é]", r".+", r"\d+", r"\bx", r"(\w)\s"):

@@ -7,9 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
-from pagesift.operators import extract, fetch, validate
+from pagesift.operators import extract, fetch, search, validate
 from tests.conftest import SF
 from workload import inputs
+from workload.queries import REGISTRY
 
 
 def plan(df) -> str:
@@ -19,7 +20,7 @@ def plan(df) -> str:
 @pytest.fixture(scope="module")
 def plans(spark):
     small = SF.replace("0.01", "0.001")
-    return {name: plan(query(spark, small)) for name, query in entry_module.queries().items()}
+    return {name: plan(query(spark, small)) for name, query in REGISTRY.items()}
 
 
 def test_no_python_worker_and_no_cross_join(plans):
@@ -57,6 +58,32 @@ def _exchanged(text: str) -> list[str]:
     return [lines[i + 1] for i, line in enumerate(lines) if "Exchange hashpartitioning" in line]
 
 
+def test_any_number_of_queries_is_one_scan(spark, tmp_path):
+    table = str(tmp_path / "pages")
+    inputs.pages(spark, SF).write.parquet(table)
+    queries = [f'intext:"word{i}" OR intitle:"w{i}" -site:s{i}.com' for i in range(1000)]
+    assert plan(search.search_pages(spark.read.parquet(table), queries)).count("FileScan") == 1
+
+
+@pytest.mark.parametrize(("max_bytes", "joins"), [(1 << 20, "url"), (3000, "hash"), (100, None)])
+def test_wanted_pages_are_chosen_by_what_fits(spark, max_bytes, joins):
+    """URLs, then hashes of URLs, then all pages; the outcome is the same."""
+    pages = inputs.pages(spark, SF).select("url", F.lit(200).alias("status"), "html")
+    wanted = pages.select("url").limit(300)
+    keyed = pages.withColumnRenamed("url", "request")
+    chosen = fetch.only_wanted(keyed, wanted.withColumnRenamed("url", "request"), max_bytes, "request")
+    found = re.search(r"BroadcastHashJoin \[(\w+)#", plan(chosen))
+    assert (found and found.group(1)) == joins
+    assert chosen.count() == 250
+
+
+def test_copies_are_chosen_without_what_they_hold(spark):
+    """No sort and no shuffle of results or bodies before the one join that needs them."""
+    done = inputs.pages(spark, SF).select("url", F.lit("f").alias("file"))
+    text = plan(extract.extract_pages(done, inputs.responses(spark, SF), inputs.template(), order_by="fetched_at"))
+    assert not [line for line in text.splitlines() if "Aggregate" in line and re.search(r"results#|body#|text#", line)]
+
+
 @pytest.mark.parametrize("max_broadcast", [0, fetch.BROADCAST_BYTES])
 def test_page_bodies_are_not_shuffled(spark, tmp_path, max_broadcast):
     """In both stages, whether the wanted URLs are broadcast or not."""

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from pagesift.operators import results, search
 from pagesift.operators.distinct import deterministic_shuffle, sort_casefold
+from pagesift.plans.runs import search_run
 
 
 def queries(spark, *texts):
@@ -66,12 +67,53 @@ def test_search(spark, query, ids):
     assert sorted(r.pos for r in search.search_pages(pages, [query]).collect()) == ids
 
 
-def test_many_queries_are_searched_in_batches(spark, monkeypatch):
+def test_queries_searched_together_find_what_they_find_alone(spark):
     pages = spark.createDataFrame(PAGES, "page_id BIGINT, url STRING, html STRING")
-    together = search.search_pages(pages, ["links", "doc", "ext:pdf", "other", "t.me"]).collect()
-    monkeypatch.setattr(search, "BATCH", 2)
-    apart = search.search_pages(pages, ["links", "doc", "ext:pdf", "other", "t.me"]).collect()
-    assert sorted(together) == sorted(apart)
+    asked = ["links", "doc", "ext:pdf", "other", "t.me", "-doc OR intitle:links", "site:*.example.com", "OR"]
+    together = search.search_pages(pages, asked).collect()
+    alone = [row for query in asked for row in search.search_pages(pages, [query]).collect()]
+    assert sorted(together) == sorted(alone)
+
+
+def test_pages_without_content(spark):
+    pages = spark.createDataFrame([(1, "http://a.b/x", None), (2, None, "text")], "page_id BIGINT, url STRING, html STRING")
+    found = search.search_pages(pages, ["-intitle:x", "-tex", "text", "site:a.b"]).collect()
+    assert sorted((r.query, r.pos) for r in found) == [("-intitle:x", 1), ("-intitle:x", 2), ("-tex", 1), ("site:a.b", 1), ("text", 2)]
+
+
+def test_a_list_of_many_queries(spark):
+    """12,000 queries are one search; each finds its own page."""
+    pages = spark.range(300).selectExpr("id AS page_id", "concat('http://h/', id) AS url", "concat('<p>word', id, '.</p>') AS html")
+    queries = spark.range(12_000).selectExpr("concat('intext:\"word', id, '.\"') AS query", "id AS pos")
+    run = search_run(pages, queries)
+    rows = run.results.collect()
+    assert sorted((r.query, r.url) for r in rows) == sorted((f'intext:"word{i}."', f"http://h/{i}") for i in range(300))
+    assert run.links().where("links = 0").count() == 11_700
+
+
+def test_every_hit_of_a_query_is_ranked(spark):
+    rows = spark.range(5000).select(F.lit("q").alias("query"), F.concat(F.lit("u"), "id").alias("url"), (F.col("id") * 7).alias("pos"))
+    for span in (10, 1_000_000):
+        ranked = results.ranked(rows, span=span).orderBy("pos").collect()
+        assert [r["rank"] for r in ranked] == list(range(1, 5001))
+
+
+def test_long_lists_are_cut_by_count(spark):
+    far = [("q", f"u{i}", p) for i, p in enumerate((5, 1500, 999_999))]
+    df = spark.createDataFrame(far, "query STRING, url STRING, pos BIGINT")
+    assert [r.urls for r in results.collect_urls_by_query(df, 1000).collect()] == [["u0", "u1", "u2"]]
+    full = spark.range(1, 1001).select(F.lit("q").alias("query"), F.concat(F.lit("u"), "id").alias("url"), F.col("id").alias("pos"))
+    assert [len(r.urls) for r in results.collect_urls_by_query(full, 1000).collect()] == [1000]
+    assert sorted(len(r.urls) for r in results.collect_urls_by_query(full, 300).collect()) == [100, 300, 300, 300]
+
+
+def test_names_are_given_once(spark):
+    urls_ = ["http://a/x", "http://b/x", "http://c/x (1)", "http://d/x (1)", "http://e/y (3)", "http://f/z (1) (2)", "http://g/z"]
+    df = spark.createDataFrame([(u,) for u in urls_], "url STRING")
+    names = {r.url: r.filename for r in results.url_filename(df).collect()}
+    assert len(set(names.values())) == len(urls_)
+    assert names["http://e/y (3)"] == "y (3)"
+    assert {names[u] for u in urls_[:4]} == {"x", "x (1)", "x (2)", "x (3)"}
 
 
 def test_recency(spark):

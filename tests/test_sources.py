@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from pagesift import schemas
 from pagesift.functions.patterns import PatternError
+from pagesift.sinks import writers
 from pagesift.sources import files, social, tables, templates
 from pagesift.sources.templates import TemplateError
 
@@ -43,6 +44,10 @@ def result_folder(tmp_path):
     write(tmp_path, "object.json", json.dumps(good[0]))
     write(tmp_path, "element.json", json.dumps([good[0], "text"]))
     write(tmp_path, "text.json", "not json")
+    write(tmp_path, "trailing.json", json.dumps(good) + " trailing")
+    write(tmp_path, "two.json", json.dumps(good) * 2)
+    write(tmp_path, "single.json", json.dumps(good).replace('"', "'"))
+    write(tmp_path, "null.json", json.dumps([good[0], None]))
     write(tmp_path, "cut.json", '[{"query": "q1", "urls": ["u9"]}')
     write(tmp_path, "empty.json", "")
     write(tmp_path, "old.report.json", json.dumps(good))
@@ -60,7 +65,9 @@ def test_read_results(spark, result_folder):
 
 def test_rejected_results(spark, result_folder):
     rejected = files.rejected_results(spark, str(result_folder)).collect()
-    assert {r.file.rsplit("/", 1)[1] for r in rejected} == {"object.json", "element.json", "text.json", "cut.json"}
+    assert {r.file.rsplit("/", 1)[1] for r in rejected} == {
+        "object.json", "element.json", "text.json", "cut.json", "trailing.json", "two.json", "single.json", "null.json",
+    }
 
 
 def test_an_explicit_report_file_is_read(spark, result_folder):
@@ -149,3 +156,23 @@ def test_one_per_url_is_repeatable_without_an_order(spark):
     df = spark.createDataFrame([("u", f"t{i}") for i in range(20)], "url STRING, text STRING")
     first = tables.one_per_url(df).first().text
     assert tables.one_per_url(df.repartition(7).orderBy(F.desc("text"))).first().text == first
+
+
+def test_searches_saved_per_site_are_read_under_their_names(spark, tmp_path):
+    for site in ("one", "two"):
+        rows = [("q", f"http://{site}/{i}", i) for i in range(5)]
+        df = spark.createDataFrame(rows, "query STRING, url STRING, pos BIGINT").repartition(3)
+        writers.write_results(df, str(tmp_path / f"{site}.json"), chunk=2)
+    for read in (files.read_results, files.read_result_lines):
+        found = read(spark, f"{tmp_path}/*").orderBy("file", "pos").collect()
+        assert [(r.file.rsplit("/", 1)[1], r.url) for r in found] == [
+            (f"{site}.json", f"http://{site}/{i}") for site in ("one", "two") for i in range(5)
+        ]
+    assert files.rejected_results(spark, f"{tmp_path}/*").count() == 0
+
+
+def test_a_report_is_one_text(spark, tmp_path):
+    lines = spark.range(100).selectExpr("concat('line ', id) AS value")
+    lines.repartitionByRange(4, "value").sortWithinPartitions("value").write.text(str(tmp_path / "r"))
+    rows = files.read_report(spark, str(tmp_path / "r")).collect()
+    assert [(r.file.rsplit("/", 1)[1], r.text) for r in rows] == [("r", "\n".join(sorted(f"line {i}" for i in range(100))))]

@@ -6,7 +6,9 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from pagesift import schemas
+from pagesift import schemas, session
+from pagesift.functions import urls
+from pagesift.functions.patterns import PatternError
 from pagesift.operators import extract, fetch, report, skew, validate
 from pagesift.plans.runs import extract_run, plaintext_run, search_run
 from pagesift.sinks import writers
@@ -99,7 +101,40 @@ def test_extract_pages(spark, max_broadcast):
 
 def test_redirected(spark):
     df = spark.createDataFrame([("http://a", "http://a"), ("http://a?", "http://b")], "url STRING, final_url STRING")
-    assert [r.redirected for r in fetch.redirected_responses(df).collect()] == [False, True]
+    assert [r[0] for r in df.select(urls.redirected(F.col("url"), F.col("final_url"))).collect()] == [False, True]
+
+
+def test_forms_of_one_request_share_a_response(spark):
+    forms = ["http://h/a%20b?x=a%20b&y=%7E#1", "http://h/a b?y=~&x=a+b#2"]
+    rows = spark.createDataFrame([("q", forms[0], 0, "f"), ("q", forms[1], 1, "g")], schemas.RESULTS)
+    pages = responses(spark, (forms[0], 200, "n1"))
+    done = extract.extract_pages(rows, pages, TEMPLATE[:1]).collect()
+    assert [r.outcome for r in done] == ["success", "success"]
+    run = extract_run(rows, pages, TEMPLATE[:1])
+    assert [(r.url, r.outcome) for r in run.extraction.collect()] == [(min(forms), "success")]
+    assert {(r.url, r.file) for r in run.files.collect()} == {(min(forms), "f"), (min(forms), "g")}
+
+
+def test_bad_patterns_stop_a_run(spark):
+    texts = spark.createDataFrame([("f", "a")], "file STRING, text STRING")
+    for bad in ("[[:alpha:]]+", "(a)(b)"):
+        with pytest.raises(PatternError):
+            plaintext_run(texts, responses(spark), entries_of({"k": {"extract": bad}}))
+
+
+def test_stage_tables_are_deleted(spark):
+    with session.stage_tables(spark):
+        kept = session.materialize(spark.range(3), "short")
+        path = kept.inputFiles()[0].removeprefix("file:").rsplit("/", 1)[0]
+        assert Path(path).exists()
+    assert not Path(path).exists()
+
+
+def test_a_text_given_twice_is_one_page_of_its_report(spark):
+    texts = spark.createDataFrame([("f", "n1"), ("f", "n1"), ("g", "n2")], "file STRING, text STRING")
+    run = plaintext_run(texts, responses(spark), TEMPLATE[:1])
+    lines = [r.line for r in run.report().orderBy(*report.LINE_ORDER).collect()]
+    assert [x["file"] for x in json.loads("\n".join(lines))["full"]] == ["f", "g"]
 
 
 def extraction(spark, rows):
@@ -197,11 +232,9 @@ def read_parts(path):
     return "".join(p.read_text() for p in parts)
 
 
-def read_file_reports(path):
-    return {
-        (folder.parent.name.removeprefix("report_name="), folder.name.removeprefix("file=")): read_parts(folder)
-        for folder in Path(path).glob("report_name=*/file=*")
-    }
+def read_file_reports(spark, path):
+    names = {r.report: (r.report_name, r.file) for r in spark.read.parquet(f"{path}/names").collect()}
+    return {names[f.name.removeprefix("report=")]: read_parts(f) for f in Path(path).glob("reports/report=*")}
 
 
 @pytest.fixture(scope="module")
@@ -248,11 +281,11 @@ def test_report_document(social_run, tmp_path):
     assert read_parts(path) == json.dumps(expected, indent=4, ensure_ascii=False) + "\n"
 
 
-def test_file_reports(social_run, tmp_path):
+def test_file_reports(spark, social_run, tmp_path):
     path = tmp_path / "files"
     assert social_run.save(str(tmp_path / "report.json"), str(path))
-    written = {name: json.loads(text) for name, text in read_file_reports(path).items()}
-    assert set(written) == {("f%2Fone.report.json", "f%2Fone.json"), ("f%2Ftwo.report.json", "f%2Ftwo.json")}
+    written = {name: json.loads(text) for name, text in read_file_reports(spark, path).items()}
+    assert set(written) == {("f/one.report.json", "f/one.json"), ("f/two.report.json", "f/two.json")}
     one, two = (written[name] for name in sorted(written))
     assert one["full"] == two["full"] == FULL
     assert one["summary"]["validated"] == two["summary"]["validated"] == ["https://t.me/does_not_exist"]
@@ -305,7 +338,7 @@ def plain_run(spark):
     return plaintext_run(df, responses(spark, ("v:1!", 200, "gone"), ("v:2!", 500, "")), TEMPLATE[:2])
 
 
-def test_plaintext_report(plain_run, tmp_path):
+def test_plaintext_report(spark, plain_run, tmp_path):
     assert plain_run.save(str(tmp_path / "r"), str(tmp_path / "files"), "s", "e")
     expected = {
         "started_at": "s",
@@ -318,7 +351,7 @@ def test_plaintext_report(plain_run, tmp_path):
         ],
     }
     assert read_parts(tmp_path / "r") == json.dumps(expected, indent=4) + "\n"
-    written = read_file_reports(tmp_path / "files")
+    written = read_file_reports(spark, tmp_path / "files")
     own = {
         "started_at": "s",
         "ended_at": "e",
@@ -326,8 +359,8 @@ def test_plaintext_report(plain_run, tmp_path):
         "failed": {"validation": ["v:2!"]},
         "results": {"num": ["v:2!"]},
     }
-    assert set(written) == {("d.x%2FA.report.json", "d.x%2FA"), ("d.x%2Fb.report.json", "d.x%2Fb.txt")}
-    assert written["d.x%2FA.report.json", "d.x%2FA"] == json.dumps(own, indent=4) + "\n"
+    assert set(written) == {("d.x/A.report.json", "d.x/A"), ("d.x/b.report.json", "d.x/b.txt")}
+    assert written["d.x/A.report.json", "d.x/A"] == json.dumps(own, indent=4) + "\n"
 
 
 def test_a_written_report_can_be_tested_again(spark, plain_run, tmp_path):
@@ -401,7 +434,16 @@ def test_files_with_one_report_name_are_kept_apart(spark, tmp_path):
     by_file = report.page_files(done, sources)
     lines = report.file_reports(by_file, nothing, validate.validation_input(by_file, TEMPLATE))
     writers.write_file_reports(lines, str(tmp_path / "r"))
-    written = read_file_reports(tmp_path / "r")
+    written = read_file_reports(spark, tmp_path / "r")
     assert {k: json.loads(v)["summary"]["extracted"] for k, v in written.items()} == {
-        ("d%2Fa.report.json", "d%2Fa.json"): ["v"], ("d%2Fa.report.json", "d%2Fa.txt"): ["x"],
+        ("d/a.report.json", "d/a.json"): ["v"], ("d/a.report.json", "d/a.txt"): ["x"],
     }
+
+
+def test_reports_of_files_with_long_names(spark, tmp_path):
+    name = "/".join(["folder with a long name"] * 18) + ".json"
+    done = extraction(spark, [("u", "success", {"num": ["v"]})])
+    by_file = report.page_files(done, spark.createDataFrame([("u", name)], "url STRING, file STRING"))
+    nothing = spark.createDataFrame([], "url STRING, key STRING, outcome STRING")
+    writers.write_file_reports(report.file_reports(by_file, nothing, validate.validation_input(by_file, TEMPLATE)), str(tmp_path / "r"))
+    assert len(name) > 400 and [k[1] for k in read_file_reports(spark, tmp_path / "r")] == [name]

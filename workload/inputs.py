@@ -6,12 +6,15 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagesift.functions import text
 from pagesift.operators import search
+from pagesift.session import materialize, shared_dir
+from pagesift.sinks.writers import write_results
 from pagesift.sources.tables import read_pages
 from pagesift.sources.templates import Template, parse_template
 
@@ -38,7 +41,7 @@ TEMPLATE_JSON = json.dumps(
             "validate_headers": {"Accept": "text/html", "X-Test": "1", "COOKIE": "ignored"},
             "validate_cookies": {"Lang": "en", "b": "2"},
         },
-        "title": {"extract": "<title>([^<]*)</title>"},
+        "title": {"extract": r"<title>([^<]*)</t\x69tle>"},
         "heading": {"extract": "<h1>([^<]*)</h1>", "extract_append": " (h1)"},
         "email": {
             "extract": "[A-Za-z0-9._+-]+@[A-Za-z0-9-]+[.][A-Za-z0-9.-]+",
@@ -46,9 +49,9 @@ TEMPLATE_JSON = json.dumps(
             "validate": "welcome",
         },
         "nav": {
-            "extract": '<li><a href="(/[^"]*)"',
+            "extract": r'<li><a href=\x22(?P<path_part>/[^"]*)"',
             "extract_prepend": "https://example.org",
-            "validate": "not found|moved",
+            "validate": r"not\x20found|moved",
             "validate_browser": True,
             "validate_browser_wait": 1.5,
         },
@@ -66,6 +69,11 @@ TEXT_TEMPLATE_JSON = json.dumps(
     }
 )
 
+#: patterns that pass the check, and some that must not
+CANDIDATES = (
+    "<h1>", r"\x3ch1\x3e[A-Z]", r"\p{Lu}[a-z]+!", "(a)(b)", "[[:alpha:]]", r"(?P<one_word>the) (?:end|\x74he)", "(a", r"</html>\s*\Z", "[a&&b]",
+)
+
 EXCLUDES = ('<a href="/[^"]*">d[^<]*</a>', "<!--[^>]*-->")
 
 
@@ -82,10 +90,12 @@ def social_texts(spark: SparkSession, sf: str) -> DataFrame:
     n = F.col("page_id")
     account = F.format_string(
         ' <a href="https://t.me/User_%1$d">x</a> https://X.com/jack%1$d https://twitter.com/home'
-        " https://pic.twitter.com/zz facebook.com/sharer/x discord.gg/invite/i%1$d.",
+        " https://pic.twitter.com/zz facebook.com/sharer/x facebook.com/face%1$d discord.gg/invite/i%1$d. instagram.com/p/x instagram.com/in.%1$d",
         n,
     )
-    company = F.format_string(" linkedin.com/company/c&%1$d vt.tiktok.com/@no youtube.com/watch tiktok.com/@a.%1$d", n)
+    company = F.format_string(
+        " linkedin.com/company/c&%1$d linkedin.com/in/u-%1$d vt.tiktok.com/@no youtube.com/watch youtube.com/c/tube%1$d tiktok.com/@a.%1$d", n
+    )
     added = F.when(n % 3 == 0, account).when(n % 3 == 1, company).otherwise(" https://t.me/share?url=x")
     return page_texts(spark, sf).withColumn("text", F.concat("text", added))
 
@@ -149,14 +159,15 @@ def raw_results(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def odd_urls(spark: SparkSession, sf: str) -> DataFrame:
-    """(page_id, url): page URLs bent in eight ways."""
+    """(page_id, url): page URLs bent in nine ways."""
     n = F.col("page_id")
     bent = (
         F.when(n % 8 == 0, F.concat(F.lit("  "), "url", F.lit("?")))
         .when(n % 8 == 1, F.regexp_replace("url", "^https?", "HTTP"))
         .when(n % 8 == 2, F.regexp_replace("url", "^https?://", ""))
         .when(n % 8 == 3, F.regexp_replace("url", "^https?", "ftp"))
-        .when(n % 8 == 4, F.regexp_replace("url", "//[^/]*", "//"))
+        .when(n % 16 == 4, F.regexp_replace("url", "//[^/]*", "//"))
+        .when(n % 16 == 12, F.regexp_replace("url", "//.*", ""))
         .when(n % 8 == 5, F.regexp_replace("url", "(//[^/]*)", "$1:70000"))
         .when(n % 8 == 6, F.regexp_replace("url", "//([^/]*)", "//u:p@$1:8080"))
         .otherwise(F.concat("url", F.lit("#")))
@@ -207,3 +218,44 @@ def value_responses(values: DataFrame) -> DataFrame:
         F.lit(None).cast("string").alias("text"),
         F.lit(None).cast("string").alias("error"),
     )
+
+
+def numbered_urls(spark: SparkSession, sf: str) -> DataFrame:
+    """(url): raw result URLs, and copies whose last segment has a number in brackets already."""
+    raw = raw_results(spark, sf).select("url")
+    n = F.col("page_id") % 3
+    numbered = pages(spark, sf).select(F.concat(F.lit("http://n.example.com/"), F.col("page_id") % 5, F.lit("/index.html ("), n, F.lit(")")).alias("url"))
+    plain = pages(spark, sf).select(F.concat(F.lit("http://p.example.com/"), F.col("page_id"), F.lit("/index.html")).alias("url"))
+    return raw.union(numbered).union(plain)
+
+
+def written(df: DataFrame, name: str) -> str:
+    """A new folder of the shared folder for files of a round trip."""
+    return f"{shared_dir(df.sparkSession)}/pagesift/{name}-{uuid.uuid4().hex}"
+
+
+def document_files(spark: SparkSession, sf: str) -> str:
+    """A folder with a text file per thousand documents, each document followed by a line end, in order of id."""
+    documents = spark.read.parquet(f"{sf}/documents.parquet").select(F.floor(F.col("doc_id") / 1000).alias("part"), "doc_id", "text")
+    folder = written(documents, "documents")
+    ordered = documents.repartition("part").sortWithinPartitions("part", "doc_id").select("part", "text")
+    ordered.write.partitionBy("part").text(folder)
+    return folder
+
+
+def saved_searches(spark: SparkSession, sf: str) -> str:
+    """A folder with a saved search per file of ``results``."""
+    rows = materialize(results(spark, sf), "results")
+    folder = written(rows, "searches")
+    for i in range(4):
+        name = f"results_{i}.json"
+        write_results(rows.where(F.col("file") == name).drop("file"), f"{folder}/{name}", chunk=50)
+    return folder
+
+
+def text_file(spark: SparkSession, name: str, text_: str) -> str:
+    """A file in the shared folder with this text, in one part."""
+    df = spark.createDataFrame([(text_,)], "value STRING").coalesce(1)
+    folder = written(df, name)
+    df.write.text(folder)
+    return folder

@@ -4,16 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagesift.functions import text, urls
-from pagesift.operators import extract, fetch, report, results, search, validate
+from pagesift import schemas
+from pagesift.functions import patterns, text, urls
+from pagesift.operators import distinct, extract, fetch, report, results, search, validate
 from pagesift.operators.distinct import distinct_keep_first
 from pagesift.plans.runs import ExtractRun
 from pagesift.session import materialize
+from pagesift.sinks import writers
+from pagesift.sources import files
 from pagesift.sources.social import social_template
 from pagesift.sources.tables import one_per_url
+from pagesift.sources.templates import read_template as read_template_file
+from pagesift.sources.templates import template_for_stage as stage_template
 from workload import inputs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,7 +78,7 @@ def decode_body(spark, sf):
     pages = inputs.page_texts(spark, sf).select("url", F.encode("text", "UTF-8").alias("body"))
     none = F.lit(None).cast("string")
     default, own = (fetch.decode_body(none, F.col("body"), e) for e in (text.ENCODING, "UTF-8"))
-    return pages.select("url", F.length(default).alias("default_length"), F.md5(own).alias("own_digest"))
+    return pages.select("url", F.length(default).alias("default_length"), F.md5(default).alias("default_digest"), F.md5(own).alias("own_digest"))
 
 
 # --- search ---------------------------------------------------------------------------------------
@@ -112,7 +117,8 @@ def cap_results(spark, sf):
 
 @registered
 def page_number(spark, sf):
-    return search.page_number(search.cap_results(inputs.results(spark, sf), 2000), 7).select("query", "url", "page")
+    """The result page of every result of every query."""
+    return search.page_number(results.ranked(inputs.results(spark, sf), span=500), 7).select("query", "url", "page")
 
 
 # --- results --------------------------------------------------------------------------------------
@@ -156,10 +162,10 @@ def collect_urls_by_query(spark, sf):
 
 @registered
 def links_per_query(spark, sf):
-    """Prepared queries with the results of a search that only the capitalised ones have."""
-    queries = inputs.queries(spark, sf)
-    found = queries.where(F.col("query").rlike("^[A-Z]")).select("query", F.col("query").alias("url"), "pos")
-    return results.links_per_query(queries, found)
+    """The searches and the documents' lines as queries, with the results of the searches."""
+    searches = spark.createDataFrame([(q,) for q in inputs.SEARCHES], "query STRING")
+    queries = inputs.queries(spark, sf).select("query").union(searches)
+    return results.links_per_query(queries, inputs.results(spark, sf))
 
 
 @registered
@@ -178,7 +184,14 @@ def url_validate(spark, sf):
 
 @registered
 def url_filename(spark, sf):
-    return results.url_filename(inputs.raw_results(spark, sf), "downloads")
+    return results.url_filename(inputs.numbered_urls(spark, sf), "downloads")
+
+
+@registered
+def filename_unique(spark, sf):
+    """How many URLs got each file name: one."""
+    named = results.url_filename(inputs.numbered_urls(spark, sf))
+    return named.groupBy("filename").agg(F.count(F.lit(1)).alias("urls")).groupBy("urls").agg(F.count(F.lit(1)).alias("names"))
 
 
 @registered
@@ -372,3 +385,150 @@ def build_report(spark, sf):
 def file_reports(spark, sf):
     lines = _run(spark, sf).file_reports(STARTED_AT, ENDED_AT)
     return lines.select("file", "section_ord", "slot", "value", "line")
+
+
+# --- sources and sinks: round trips through files -------------------------------------------------
+
+
+@registered
+def read_queries(spark, sf):
+    """The documents' lines, written as text files and read as query lists."""
+    return files.read_queries(spark, f"{inputs.document_files(spark, sf)}/part=*", "UTF-8").select("query")
+
+
+@registered
+def read_plaintext(spark, sf):
+    """The documents, written as text files and read whole."""
+    texts = files.read_plaintext(spark, f"{inputs.document_files(spark, sf)}/part=*", "UTF-8")
+    part = F.regexp_extract("file", "part=([0-9]+)/", 1).cast("bigint")
+    return texts.select(part.alias("part"), F.length("text").alias("length"), F.md5("text").alias("digest"))
+
+
+@registered
+def read_results(spark, sf):
+    """Searches saved per site, all read together: every result under the file it was saved in, in its place."""
+    read = files.read_results(spark, f"{inputs.saved_searches(spark, sf)}/*", encoding="UTF-8")
+    named = read.withColumn("file", F.element_at(F.split("file", "/"), -1))
+    return results.ranked(named, ("file", "query")).select("file", "query", "url", F.col("rank").cast("bigint").alias("rank"))
+
+
+@registered
+def write_results(spark, sf):
+    """Saved searches line by line: how many lines a query takes, and how many URLs in all."""
+    lines = spark.read.json(f"{inputs.saved_searches(spark, sf)}/*")
+    return lines.groupBy("query").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.size("urls")).alias("urls"))
+
+
+@registered
+def read_template(spark, sf):
+    """The template read from a file, and how often each of its patterns matches."""
+    template = read_template_file(spark, inputs.text_file(spark, "template", inputs.TEMPLATE_JSON), "UTF-8")
+    return _match_counts(spark, sf, template)
+
+
+def _match_counts(spark, sf, template):
+    found = extract.extract_matches(inputs.page_texts(spark, sf), template, ["url"])
+    return found.groupBy("key").agg(F.count(F.lit(1)).alias("matches"))
+
+
+@registered
+def template_for_stage(spark, sf):
+    """How often the patterns of the entries that take part in validation match."""
+    return _match_counts(spark, sf, stage_template(inputs.template(), schemas.VALIDATION))
+
+
+@registered
+def read_excludes(spark, sf):
+    """Exclude patterns read from a file, applied to every page."""
+    excludes = files.read_excludes(spark, inputs.text_file(spark, "excludes", "\n".join(inputs.EXCLUDES)))
+    cleaned = extract.exclude_content(inputs.page_texts(spark, sf), excludes)
+    return cleaned.select("url", F.length("text").alias("length"), F.md5("text").alias("digest"))
+
+
+def _written_report(spark, sf):
+    run = _run(spark, sf)
+    folder = inputs.written(run.extraction, "report")
+    run.save(f"{folder}/all", f"{folder}/by_file", STARTED_AT, ENDED_AT)
+    return folder
+
+
+@registered
+def write_report(spark, sf):
+    """The lines of the written report, and how often each stands in it."""
+    lines = spark.read.text(f"{_written_report(spark, sf)}/all").withColumnRenamed("value", "line")
+    return lines.groupBy("line").agg(F.count(F.lit(1)).alias("n"))
+
+
+@registered
+def read_report(spark, sf):
+    """The written report read back as one text."""
+    texts = files.read_report(spark, f"{_written_report(spark, sf)}/all", "UTF-8")
+    return texts.select(F.length("text").alias("length"), F.md5("text").alias("digest"))
+
+
+@registered
+def write_file_reports(spark, sf):
+    """The lines of each file's written report, and how often each stands in it."""
+    folder = f"{_written_report(spark, sf)}/by_file"
+    lines = spark.read.text(f"{folder}/reports").withColumnRenamed("value", "line")
+    counted = lines.groupBy("report", "line").agg(F.count(F.lit(1)).alias("n"))
+    return counted.join(spark.read.parquet(f"{folder}/names"), "report").select("file", "report_name", "line", "n")
+
+
+@registered
+def write_downloads(spark, sf):
+    """Every fetched page under its file name, read back from the written table."""
+    wanted, fetched = inputs.pages(spark, sf).select("url"), inputs.responses(spark, sf)
+    folder = inputs.written(wanted, "downloads")
+    writers.write_downloads(wanted, fetched, folder, "downloads", order_by="fetched_at")
+    return spark.read.parquet(folder).select("filename", "url", F.md5("content").alias("digest"))
+
+
+@registered
+def check_patterns(spark, sf):
+    """Which of these patterns pass the check, and how many pages each of those matches."""
+    passed = []
+    for pattern in inputs.CANDIDATES:
+        try:
+            patterns.check_patterns(spark, [pattern])
+            passed.append(pattern)
+        except patterns.PatternError:
+            continue
+    pages = inputs.page_texts(spark, sf)
+    hits = F.array_compact(F.array(*[F.when(patterns.like(F.col("text"), p), F.lit(inputs.CANDIDATES.index(p))) for p in passed]))
+    return pages.select(F.explode(hits).alias("pattern")).groupBy("pattern").agg(F.count(F.lit(1)).alias("pages"))
+
+
+def _places(df: DataFrame) -> DataFrame:
+    """``df`` with ``place``, the number of each row in the order of the frame, from 1. The frame is written to keep its order."""
+    numbered = materialize(df.withColumn("number", F.monotonically_increasing_id()), "ordered")
+    numbered = numbered.withColumn("part", F.shiftright("number", 33))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    # as many rows as the frame has partitions
+    starts = numbered.groupBy("part").agg(F.count(F.lit(1)).alias("n")).withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    place = F.col("start") + F.col("number").bitwiseAND((1 << 33) - 1) + 1
+    return numbered.join(F.broadcast(starts.select("part", "start")), "part").withColumn("place", place).drop("number", "part", "start")
+
+
+@registered
+def sort_casefold(spark, sf):
+    """All extracted values in order, with their places."""
+    values = _page_values(spark, sf)[1].select("value").distinct()
+    return _places(distinct.sort_casefold(values, "value")).select("value", "place")
+
+
+@registered
+def deterministic_shuffle(spark, sf):
+    """Page URLs in random order: two runs agree on every place, another seed on few, and no place is left out."""
+    urls_ = inputs.pages(spark, sf).select("url").distinct()
+    first, again, other = (
+        _places(distinct.deterministic_shuffle(table, "url", seed)).withColumnRenamed("place", name)
+        for table, seed, name in ((urls_, 1, "first"), (urls_.repartition(3), 1, "again"), (urls_, 2, "other"))
+    )
+    joined = first.join(again, "url").join(other, "url")
+    return joined.agg(
+        F.count(F.lit(1)).alias("urls"),
+        F.sum((F.col("first") == F.col("again")).cast("bigint")).alias("same"),
+        (F.sum((F.col("first") == F.col("other")).cast("bigint")) < 10).alias("mixed"),
+        F.sum("first").cast("bigint").alias("places"),
+    )
