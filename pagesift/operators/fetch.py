@@ -109,8 +109,9 @@ def browser_keys(values: DataFrame, template: Template) -> DataFrame:
 
 
 def fetch_plan(inputs: DataFrame, template: Template, seed: int = 0) -> DataFrame:
-    """Work list for an outside fetcher, one row per (url, key), in random but repeatable order.
+    """Work list for an outside fetcher, one row per request and key, in random but repeatable order.
 
+    Of the URLs that lead to the same request the first is listed; its response counts for all.
     The template is broadcast: it comes from the driver and is as small there. A cookie among the
     headers is ignored; cookies are given as a map and as one header value.
     """
@@ -120,7 +121,8 @@ def fetch_plan(inputs: DataFrame, template: Template, seed: int = 0) -> DataFram
     pairs = F.transform(
         F.map_entries("validate_cookies"), lambda e: F.concat(e["key"], F.lit("="), e["value"])
     )
-    planned = inputs.select("url", "key").distinct().join(F.broadcast(table), "key", "left").select(
+    requests = inputs.groupBy(urls.canonical(F.col("url")).alias("request"), "key").agg(F.min("url").alias("url"))
+    planned = requests.join(F.broadcast(table), "key", "left").select(
         "url",
         "key",
         urls.host(F.col("url")).alias("host"),

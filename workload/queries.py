@@ -199,6 +199,14 @@ def fetch_dedup(spark, sf):
     return results.fetch_dedup(inputs.same_requests(spark, sf))
 
 
+@registered
+def request_forms(spark, sf):
+    """Pages asked for in several forms: one row per request, and whether it failed."""
+    asked = materialize(results.fetch_dedup(inputs.same_requests(spark, sf)), "asked")
+    found = extract.extract_pages(asked, inputs.responses(spark, sf), inputs.template(), order_by="fetched_at")
+    return found.select("url", (F.col("outcome") == schemas.ERROR).alias("failed"))
+
+
 # --- fetched content ------------------------------------------------------------------------------
 
 
