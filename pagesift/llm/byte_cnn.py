@@ -160,4 +160,4 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
 
 def identify(docs: DataFrame, keep: list[str], net: Network | None, text: str = "text") -> DataFrame:
     """``keep`` columns with ``lang_pred`` and ``score`` of the whole text."""
-    return map_text(docs, keep, text_of(text), lambda bodies: classify(net, bodies), "lang_pred string, score double")
+    return map_text(docs, keep, text, lambda bodies: classify(net, bodies), "lang_pred string, score double")

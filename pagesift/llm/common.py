@@ -19,7 +19,10 @@ from pyspark.sql import functions as F
 from pagesift.session import shared_dir
 
 #: bytes of text that a task turns over at a time
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
+#: rows that are sent to a Python worker at a time, unless the session says otherwise; texts are long
+BATCH_ROWS = 1_000
+_BATCH_SETTING, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
 #: rows that are ranked together in one task
 RANK_ROWS = 20_000
 
@@ -27,7 +30,12 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once per application; workers keep it, and so its caches, between tasks."""
+    """Send this package to the executors, once per application; workers keep it, and so its caches, between tasks.
+
+    A session that leaves the number of rows per batch at Spark's default gets ``BATCH_ROWS``.
+    """
+    if spark.conf.get(_BATCH_SETTING, _BATCH_DEFAULT) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH_SETTING, BATCH_ROWS)
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
@@ -59,7 +67,7 @@ def is_held_out(doc_id: str = "doc_id") -> Column:
 def text_chunks(batches: Iterator[pa.RecordBatch], text: str, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about ``most`` bytes of text each, one row at least."""
     for batch in batches:
-        sizes = pc.binary_length(batch.column(text)).to_numpy(zero_copy_only=False)
+        sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
         start, held = 0, 0
         for i, n in enumerate(sizes):
             if held and held + n > most:
@@ -71,25 +79,29 @@ def text_chunks(batches: Iterator[pa.RecordBatch], text: str, most: int = CHUNK_
 
 
 def map_text(
-    df: DataFrame, keep: list[str], text: Column, compute: Callable[[list], dict[str, pa.Array]], schema: str
+    df: DataFrame, keep: list[str], text: str | Column, compute: Callable[[list], dict[str, pa.Array]], schema: str
 ) -> DataFrame:
     """``keep`` columns of ``df`` with what ``compute`` makes of the text, row by row, in slices of bounded size.
 
-    ``compute`` gets a list of UTF-8 byte strings and returns equally long arrays. ``schema`` holds the added columns. If it also
+    ``text`` is a column or its name; one that is kept is sent once. Null counts as empty. ``compute`` gets a list of UTF-8 byte strings and returns equally long arrays. ``schema`` holds the added columns. If it also
     returns ``take``, numbers of rows, the other arrays are as long as that, and ``keep`` is repeated accordingly.
     """
     ship(df.sparkSession)
     names = [f"k{i}" for i in range(len(keep))]
-    narrow = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)], text.cast("binary").alias("body"))
+    body = names[keep.index(text)] if isinstance(text, str) and text in keep else "body"
+    own = [F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)]
+    added = [(text_of(text) if isinstance(text, str) else text).cast("binary").alias("body")] if body == "body" else []
+    narrow = df.select(*own, *added)
     kept = ", ".join(f"{n} {narrow.schema[n].dataType.simpleString()}" for n in names)
 
     def run(batches):
-        for part in text_chunks(batches, "body"):
-            made = compute(part.column("body").to_pylist())
+        for part in text_chunks(batches, body):
+            made = compute([t or b"" for t in part.column(body).cast(pa.binary()).to_pylist()])
             own = part.select(names)
             if "take" in made:
                 own = own.take(made.pop("take"))
             yield pa.RecordBatch.from_arrays([*own.columns, *made.values()], names=[*names, *made])
+            pa.default_memory_pool().release_unused()
 
     out = narrow.mapInArrow(run, ", ".join(filter(None, [kept, schema])))
     return out.withColumnsRenamed(dict(zip(names, keep)))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagesift.llm.common import drawn, is_held_out, map_text, text_of
+from pagesift.llm.common import drawn, is_held_out, map_text
 
 #: labelled rows that the trees learn from, at most
 TRAIN_ROWS = 20_000
@@ -168,7 +168,7 @@ def scored(docs: DataFrame, keep: list[str], made, text: str = "text") -> DataFr
         return {"made": pa.array(list(values), pa.list_(pa.float64()) if values.ndim > 1 else pa.float64())}
 
     kind = "array<double>" if made(np.zeros((1, len(FEATURES)))).ndim > 1 else "double"
-    return map_text(docs, keep, text_of(text), compute, f"made {kind}")
+    return map_text(docs, keep, text, compute, f"made {kind}")
 
 
 def quality(docs: DataFrame, keep: list[str], trees: Trees | None, text: str = "text") -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagesift.llm.byte_bpe import byte_bpe
-from pagesift.llm.common import map_text, ranked, text_of
+from pagesift.llm.common import map_text, ranked
 from pagesift.session import materialize
 
 SIZE = 1024
@@ -55,7 +55,7 @@ def pieces(
     made = map_text(
         docs,
         keep,
-        text_of(text),
+        text,
         lambda bodies: cut(bodies, path, pattern, size, separator),
         "start long, length long, doc_tokens long, ids binary",
     )

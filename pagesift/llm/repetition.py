@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagesift.llm.common import map_text, text_of
+from pagesift.llm.common import map_text
 
 #: words of the windows that the base rule counts
 WINDOW = 5
@@ -178,7 +178,7 @@ def repetition_rules(
     most_longest: int = MOST_LONGEST,
 ) -> DataFrame:
     """``keep`` columns with MEASURES, ``base_failed`` and ``kept``; ``spans`` are the repeated word ranges, end exclusive."""
-    found = map_text(docs, keep, text_of(text), lambda bodies: measure(bodies, least_repeat), MEASURES)
+    found = map_text(docs, keep, text, lambda bodies: measure(bodies, least_repeat), MEASURES)
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_WINDOW_PERCENT * F.col("n_words"))
     fine = (F.col("covered_words") <= most_covered * F.col("n_words")) & (F.col("longest_repeat") <= most_longest)
     return found.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & fine)
