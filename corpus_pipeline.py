@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagesift.llm import byte_cnn, histogram_packing, repetition, simhash_bktree, stream_dedup
+from pagesift.llm import byte_cnn, histogram_packing, jaccard_links, repetition, stream_dedup
 from pagesift.session import materialize
 
 #: probability that a document's language must have; a text in two languages may have half for each
@@ -48,12 +48,18 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document per component of linked fingerprints, the one with the smallest id; rows without an id stay."""
-    found = simhash_bktree.near_duplicates(docs.select("doc_id", "text"))
-    dropped = materialize(found.where("component_id <> doc_id").select("doc_id").distinct(), "near_duplicates")
+    """One document per group that near copies connect, the one with the smallest id; rows without an id stay."""
+    own, names, text = _own_names(docs)
+    doc_id = names[docs.columns.index("doc_id")]
+    numbered = materialize(own.withColumn("node", F.monotonically_increasing_id()), "numbered")
+    groups = materialize(jaccard_links.near_copies(numbered.select("node", F.col(text).alias("text"))), "near_copies")
+    groups = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
+    ids = groups.join(numbered.select("node", F.col(doc_id).alias("id")), "node")
+    least = ids.groupBy("root").agg(F.min("id").alias("least"))
+    dropped = materialize(ids.join(least, "root").where("id <> least").select(F.col("id").alias(doc_id)).distinct(), "near_duplicates")
     if dropped.count() <= BROADCAST_IDS:
         dropped = F.broadcast(dropped)
-    return docs.join(dropped, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return numbered.join(dropped, doc_id, "left_anti").select(*names).toDF(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

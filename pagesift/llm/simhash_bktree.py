@@ -182,9 +182,11 @@ def with_fingerprint(docs: DataFrame, keep: list[str], text: Column | None = Non
     )
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: Column | None = None, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, doc_id: str = "doc_id", text: Column | None = None, radius: int = RADIUS, shard: int = SHARD, words: int = WORDS
+) -> DataFrame:
     """(doc_id, print, component_id) of every document; component_id is the smallest id in its component."""
-    seen = materialize(with_fingerprint(docs, [doc_id], text), "prints")
+    seen = materialize(with_fingerprint(docs, [doc_id], text, words), "prints")
     prints = materialize(seen.groupBy("print").agg(F.min(doc_id).alias("first")), "distinct_prints")
     links = shard_links(prints, "print", radius, shard)
     roots = materialize(components(links, "a", "b"), "roots")

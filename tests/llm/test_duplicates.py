@@ -11,7 +11,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from pagesift.llm import label_shards, stream_dedup
+import corpus_pipeline
+from pagesift.llm import jaccard_links, label_shards, stream_dedup
 from pagesift.llm.components import components
 from pagesift.llm.queries import REGISTRY
 from pagesift.llm.simhash_bktree import fingerprints, linked, near_duplicates, shard_links, shard_masks
@@ -229,3 +230,42 @@ def test_exchanges_keep_sizes():
 
 def test_schema_has_clashing_names():
     assert {"row", "kept", "doc", "sha", "score", "length"} <= {c.split()[0] for c in SCHEMA.split(", ")}
+
+
+# --- near copies by similarity --------------------------------------------------------------------
+
+
+def jaccard_shingles(text):
+    words = (text or "").lower().split()
+    return {" ".join(words[i : i + 5]) for i in range(len(words) - 4)} or {" ".join(words)}
+
+
+def altered_texts():
+    """Texts with copies in which some of the words are others, between 0 and a tenth of them."""
+    rng = random.Random(6)
+    texts = []
+    for i in range(60):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(5, 200))]
+        texts.append(" ".join(words))
+        for _ in range(rng.randrange(6)):
+            copy = list(words)
+            for at in rng.sample(range(len(copy)), rng.randrange(1 + len(copy) // 20)):
+                copy[at] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(copy))
+    return texts
+
+
+def test_near_copies_by_similarity(spark, no_docs):
+    texts = list(dict.fromkeys(altered_texts()))
+    sets = [jaccard_shingles(t) for t in texts]
+    pairs = [(a, b) for b in range(len(sets)) for a in range(b) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    far = [p for p in pairs if (plain_print(texts[p[0]]) ^ plain_print(texts[p[1]])).bit_count() > 3]
+    assert len(far) > len(pairs) / 5
+    want = roots(range(len(texts)), pairs)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for part_bytes in (jaccard_links.PART_BYTES, 300):
+        found = {r.node: r.root for r in jaccard_links.near_copies(docs, "doc_id", part_bytes).collect()}
+        assert {i: found.get(i, i) for i in want} == want
+    kept = {r.doc_id for r in corpus_pipeline.simhash_near_dedup(spark, docs, SF).collect()}
+    assert kept == set(want.values())
+    assert jaccard_links.near_copies(no_docs.select(F.col("doc_id").alias("node"), "text")).collect() == []

@@ -6,7 +6,7 @@ import corpus_pipeline
 from pagesift.llm import byte_cnn, repetition
 from pagesift.session import materialize
 from tests.conftest import SF
-from tests.llm.test_duplicates import plain_print, roots, squeezed
+from tests.llm.test_duplicates import jaccard_shingles, plain_print, roots, squeezed
 from tests.llm.test_tokens import check_packing
 
 
@@ -53,3 +53,12 @@ def test_stages_on_odd_documents(spark, odd_docs, no_docs):
         assert {r.doc_id for r in packed} == {r.doc_id for r in docs.collect()}
     assert [r.doc_id for r in corpus_pipeline.exact_dedup(spark, odd_docs, SF).collect()].count(10) == 1
     assert {r.doc_id for r in corpus_pipeline.simhash_near_dedup(spark, odd_docs, SF).collect()}.isdisjoint({12, 100})
+
+
+def test_near_copies_of_real_documents(spark):
+    """What the near-duplicate stage keeps, against brute-force Jaccard similarity."""
+    docs = materialize(corpus_pipeline.exact_dedup(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF), "exact")
+    sets = {r.doc_id: jaccard_shingles(r.text) for r in docs.collect()}
+    pairs = [(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    kept = [r.doc_id for r in corpus_pipeline.simhash_near_dedup(spark, docs, SF).collect()]
+    assert pairs and sorted(kept) == sorted(set(roots(sets, pairs).values()))
