@@ -4,11 +4,12 @@ Links are given as memberships (doc, key): documents with a key in common are ne
 hold is the count per (key, shard), at most one row per key and shard. The law is ``rows``: shards differ by one document at most.
 
 Documents start in a shard by their rank in hash order, so sizes are even from the start, and every move keeps them: in each round each document
-finds the shard in which most of its neighbours are, among those that still hold documents without links; and the documents that would gain by going
-from shard i to shard j are exchanged with as many that go from j to i. First come those that gain themselves, then documents without any link, for which
-all shards are alike. How many may go each way follows from a
+finds the shard in which most of its neighbours are, among those that are open; and the documents that would gain by going
+from shard i to shard j are exchanged with as many that go from j to i. First come those that gain themselves, in pairs of shards and then around longer
+cycles of them, then documents without any link, for which all shards are alike. How many may go each way follows from a
 table of shards times shards, the only thing the driver sees. Where more want to go than may, those that gain most go first, by exact ranks that are taken in
-parts. Rounds end when nothing moves any more or the cut no longer falls. Each round is a table in the shared folder.
+parts. Shards are open at first if they hold documents without links, and, once that lowers the cut no further, also if some of their documents would gain
+elsewhere; so tables without unlinked documents are placed too. Each of the two ends when nothing moves any more or the cut no longer falls. Each round is a table in the shared folder.
 
 Documents are told apart by a number of their own, so repeated rows are placed each. An empty table gives an empty result.
 """
@@ -22,7 +23,7 @@ from pagesift.llm.common import ranked
 from pagesift.operators.skew import join_hot
 from pagesift.session import materialize
 
-#: rounds at most
+#: rounds at most, with each kind of open shards
 ROUNDS = 6
 
 
@@ -46,32 +47,65 @@ def cut_links(held: DataFrame) -> int:
     return int(row["cut"] or 0) // 2
 
 
-def wishes(members: DataFrame, held: DataFrame, open_shards: list[int]) -> DataFrame:
+def sights(members: DataFrame, held: DataFrame) -> DataFrame:
+    """(doc, shard, at, n, least): how many of its kind a document sees in each shard, itself included, and its least key."""
+    near = join_hot(members, held, "key", "doc").select("doc", "shard", "key", F.explode("held").alias("h"))
+    return near.groupBy("doc", "shard", F.col("h.shard").alias("at")).agg(F.sum("h.n").alias("n"), F.min("key").alias("least"))
+
+
+def wishes(seen: DataFrame, open_shards: list[int], turn: int = 0) -> DataFrame:
     """(doc, shard, target, gain) of the documents that see more of their kind in another, open shard.
 
     A document counts itself where it is. So of two shards with equally many, all who share a key see the same two, and
-    agree on the one that a hash of their least key prefers; otherwise they would change places for ever.
+    agree on the one that a hash of their least key and the round prefers; otherwise they would change places for ever.
     """
-    near = join_hot(members, held, "key", "doc").select("doc", "shard", "key", F.explode("held").alias("h"))
-    near = near.where((F.col("h.shard") == F.col("shard")) | F.col("h.shard").isin(open_shards))
-    sums = near.groupBy("doc", "shard", F.col("h.shard").alias("at")).agg(F.sum("h.n").alias("n"), F.min("key").alias("least"))
-    best = F.max(F.struct("n", F.xxhash64("least", "at").alias("taste"), "at")).alias("best")
+    sums = seen.where((F.col("at") == F.col("shard")) | F.col("at").isin(open_shards))
+    best = F.max(F.struct("n", F.xxhash64("least", "at", F.lit(turn)).alias("taste"), "at")).alias("best")
     found = sums.groupBy("doc", "shard").agg(best, F.max(F.when(F.col("at") == F.col("shard"), F.col("n"))).alias("here"))
     found = found.select("doc", "shard", F.col("best.at").alias("target"), (F.col("best.n") - F.col("here")).alias("gain"))
     return found.where("target <> shard")
 
 
+def _cycle(left: dict[tuple[int, int], int], start: int) -> list[tuple[int, int]]:
+    """The shortest cycle of ways with movers left through ``start``; empty if there is none."""
+    came, todo = {}, [start]
+    for at in todo:
+        for (i, j), n in left.items():
+            if i == at and n and j not in came:
+                came[j] = at
+                todo.append(j)
+    way, at = [], start
+    while at in came and (not way or at != start):
+        way.append((came[at], at))
+        at = came[at]
+    return way if start in came else []
+
+
+def around(left: dict[tuple[int, int], int], shards: int) -> dict[tuple[int, int], int]:
+    """How many more may go each way around cycles of shards; taken from ``left``."""
+    more = {}
+    for start in range(shards):
+        while way := _cycle(left, start):
+            n = min(left[w] for w in way)
+            for w in way:
+                left[w] -= n
+                more[w] = more.get(w, 0) + n
+    return more
+
+
 def exchanges(wanted: dict[tuple[int, int], int], free: dict[int, int], shards: int) -> tuple[dict, dict]:
-    """How many go from i to j, of those that gain and of those without links; as many come back."""
+    """How many go from i to j, of those that gain and of those without links; as many enter each shard as leave it."""
+    few = {(i, j): min(n, wanted.get((j, i), 0)) for (i, j), n in wanted.items()}
+    more = around({way: n - few[way] for way, n in wanted.items()}, shards)
     left = dict(free)
     movers, fillers = {}, {}
     for i in range(shards):
         for j in range(i + 1, shards):
-            there, back = wanted.get((i, j), 0), wanted.get((j, i), 0)
-            (more, few, a, b) = (there, back, i, j) if there >= back else (back, there, j, i)
-            extra = min(more - few, left.get(b, 0))
+            there, back = (wanted.get(way, 0) - more.get(way, 0) for way in ((i, j), (j, i)))
+            (extra, a, b) = (there - back, i, j) if there >= back else (back - there, j, i)
+            extra = min(extra, left.get(b, 0))
             left[b] = left.get(b, 0) - extra
-            movers[a, b], movers[b, a], fillers[b, a] = few + extra, few, extra
+            movers[a, b], movers[b, a], fillers[b, a] = min(there, back) + extra + more.get((a, b), 0), min(there, back) + more.get((b, a), 0), extra
     return movers, fillers
 
 
@@ -89,19 +123,35 @@ def propagate(docs: DataFrame, doc: str, links: DataFrame, shards: int, rounds:
     held_by = linked.select("doc").distinct().withColumn("linked", F.lit(True))
     placed = start(docs, doc, shards, rows).withColumnRenamed(doc, "doc").join(held_by, "doc", "left")
     placed = materialize(placed.select("doc", "shard", F.coalesce("linked", F.lit(False)).alias("linked")), "shards")
-    best, least = placed, None
-    for _ in range(rounds):
+    free = _tally(placed.where("not linked"), "shard")
+    best, least, any_shard, turn, begun = placed, None, not free, 0, 0
+    while True:
         members = materialize(linked.join(placed.where("linked").select("doc", "shard"), "doc"), "members")
         held = materialize(_counts(members), "held")
         cut = cut_links(held)
-        if least is not None and cut >= least:
-            break
-        best, least = placed, cut
+        stuck = least is not None and cut >= least
+        if not stuck:
+            best, least = placed, cut
+        if stuck or turn - begun == rounds:
+            if any_shard:
+                break
+            any_shard, begun = True, turn
+            if stuck:
+                placed, least = best, None
+                continue
+        turn += 1
         free = _tally(placed.where("not linked"), "shard")
-        wish = materialize(wishes(members, held, sorted(free)), "wishes")
+        seen = materialize(sights(members, held), "sights")
+        opened = set(free)
+        if any_shard:
+            opened |= set(_tally(wishes(seen, list(range(shards)), turn), "shard"))
+        wish = materialize(wishes(seen, sorted(opened), turn), "wishes")
         movers, fillers = exchanges(_tally(wish, "shard", "target"), free, shards)
         if not any(movers.values()):
-            break
+            if any_shard:
+                break
+            any_shard, begun, placed, least = True, turn, best, None
+            continue
         ahead = before_gain([(*way, n) for way, n in _tally(wish, "shard", "target", "gain").items()])
         most = [(i, j, gain, max(0, movers[i, j] - before)) for i, j, gain, before in ahead]
         limit = F.broadcast(spark.createDataFrame(most, "shard int, target int, gain long, most long"))

@@ -216,6 +216,27 @@ def test_neighbours_by_several_keys(spark):
     assert split <= 5
 
 
+def test_tables_in_which_every_text_has_copies(spark):
+    """No document is without links: each text occurs two or three times."""
+    for seed, sizes in ((1, (2,)), (2, (2, 3))):
+        rng, pairs = random.Random(seed), []
+        while len(pairs) < 1200:
+            pairs += [(len(pairs) + i, f"g{len(pairs)}") for i in range(rng.choice(sizes))]
+        placed = placed_in(spark, pairs, len(pairs), 16)
+        assert len(placed) == len(pairs) and even(placed, 16)
+        groups = defaultdict(list)
+        for doc, key in pairs:
+            groups[key].append(placed[doc])
+        cut = sum(len(set(g)) > 1 for g in groups.values())
+        assert cut <= len(groups) / 10
+
+
+def test_exchanges_around_a_cycle():
+    movers, fillers = label_shards.exchanges({(0, 1): 5, (1, 2): 4, (2, 0): 6, (1, 0): 1}, {}, 3)
+    assert {w: n for w, n in movers.items() if n} == {(0, 1): 5, (1, 0): 1, (1, 2): 4, (2, 0): 4}
+    assert not any(fillers.values())
+
+
 def test_shards_without_links_or_documents(spark, no_docs):
     assert even(placed_in(spark, [], 50, 7), 7)
     assert label_shards.propagate(no_docs, "doc_id", spark.createDataFrame([], "doc_id long, key string"), 4).collect() == []
