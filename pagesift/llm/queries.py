@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagesift.llm import byte_cnn, gbt_quality, histogram_packing, label_shards, piece_codec, repetition, separator_scan, simhash_bktree, stream_dedup, warc_members
+from pagesift.llm import byte_cnn, chat_layouts, gbt_quality, histogram_packing, label_shards, periodic_runs, piece_codec, repetition, separator_scan
+from pagesift.llm import simhash_bktree, stream_dedup, turn_repair, warc_members
 from pagesift.llm.common import documents, fresh_dir, is_held_out, text_of
 from pagesift.session import materialize
 
@@ -153,3 +154,89 @@ SELECT page_id, octet_length(encode(body))::BIGINT AS payload_bytes,
   CASE WHEN response <> page_id THEN response END AS refers_to
 FROM b
 """
+
+
+def with_loops(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): every tenth document, by a hash of its id, gets into a loop of its own words from some word on."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    split = docs.select("doc_id", "text", h.alias("h"), F.floor(h / 10).alias("g"), F.when(h % 10 == 0, words).alias("words"))
+    sized = split.withColumn("n", F.size("words").cast("long")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    rest = F.col("n") - F.col("a")
+    period = sized.withColumn("p", 1 + F.expr("(n - a) div (3 + g % 8)"))
+    # whole copies of one period, cut to what is left
+    copies = F.flatten(F.array_repeat(F.slice("words", (F.col("a") + 1).cast("int"), F.col("p").cast("int")), F.ceil(rest / F.col("p")).cast("int")))
+    looped = F.concat(F.slice("words", F.lit(1), F.col("a").cast("int")), F.slice(copies, F.lit(1), rest.cast("int")))
+    return period.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(looped, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@registered
+def op11_periodic_runs(spark, sf):
+    """The runs of every document, some of which loop, and digests of runs and collapsed text."""
+    found = periodic_runs.periodic_runs(with_loops(documents(spark, sf)), ["doc_id"])
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("back"), (-r["period"]).alias("short"))))
+    best = found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("best"), "runs_sha256", F.sha2("collapsed", 256).alias("collapsed_sha256")
+    )
+    start, length, period = -F.col("best.back"), F.col("best.length"), -F.col("best.short")
+    own = best.select("doc_id", "n_runs", start.alias("start"), length.alias("length"), period.alias("period"), "runs_sha256", "collapsed_sha256")
+    return own.withColumn("exponent_milli", F.expr("1000 * length div period"))
+
+
+@registered
+def op12_chat_layouts(spark, sf):
+    """Every conversation as a record of some layout, made turns, formatted with a loss mask, and read back."""
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    marks = spark.range(2).select(
+        F.lit(-7).alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("</s>[INST] ok [/INST]").alias("text"),
+    )
+    records = chat_layouts.conversation_records(rows.unionByName(marks))
+    read = chat_layouts.read_back(chat_layouts.formatted(chat_layouts.canonical(records)))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(said, 256).alias("turns_sha256"),
+        F.char_length("trained").cast("long").alias("loss_chars"),
+        F.sha2("trained", 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+ORACLES["op12_chat_layouts"] = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), t AS (
+  SELECT *, role || chr(10) || text || chr(10) AS said, CASE WHEN role = 'assistant' THEN text ELSE '' END AS trained,
+    CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 13 WHEN 'assistant' THEN 7 ELSE 26 + length(role) + length(regexp_replace(role, '[^\\]', '', 'g'))
+      + len(regexp_extract_all(role, '\[/?INST\]|</?s>|<</?SYS>>|<</?ROLE>>|<</TURN>>')) END
+      + length(text) + length(regexp_replace(text, '[^\\]', '', 'g')) + len(regexp_extract_all(text, '\[/?INST\]|</?s>|<</?SYS>>|<</?ROLE>>|<</TURN>>')) AS chars
+  FROM c
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(said, '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  sum(length(trained))::BIGINT AS loss_chars, sha256(string_agg(trained, '' ORDER BY turn NULLS FIRST, role, text)) AS loss_sha256,
+  sum(chars)::BIGINT AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
+
+@registered
+def op13_turn_repair(spark, sf):
+    """Every conversation, damaged by a hash of its rows, with its faults and its cheapest repair."""
+    rows = table(spark, sf, "conversations")
+    space = F.lit(" ")
+    key = F.concat(F.coalesce(F.col("conv_id").cast("string"), space), F.lit(":"), F.coalesce(F.col("turn").cast("string"), space))
+    hit = rows.select("conv_id", "turn", F.coalesce("role", space).alias("role"), F.coalesce("text", space).alias("text"), (F.crc32(key) % 20).alias("hit"))
+    damaged = hit.select(
+        "conv_id",
+        "turn",
+        F.when(F.col("hit") == 4, "user").otherwise(F.col("role")).alias("role"),
+        F.when(F.col("hit") == 1, "").when(F.col("hit") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text")).alias("text"),
+        (F.col("hit") == 0).alias("gone"),
+        F.explode(F.sequence(F.lit(1), F.when(F.col("hit") == 3, 2).otherwise(1))),
+    )
+    return turn_repair.repaired(damaged, gone=F.col("gone"))
