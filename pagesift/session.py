@@ -18,10 +18,15 @@ SETTINGS = {
 }
 
 
-#: tables written by ``materialize``, for ``stage_tables``
+#: folders written by ``materialize`` or named by ``written``, for ``stage_tables``
 _written: list[str] = []
 
 
+def written(path: str) -> None:
+    """Name a folder that ``stage_tables`` is to delete with the tables."""
+    _written.append(path)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder named by the cluster in ``spark.checkpoint.dir``.
 
@@ -53,7 +58,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 @contextmanager
 def stage_tables(spark: SparkSession) -> Iterator[None]:
-    """Delete the tables that ``materialize`` has written meanwhile, once what was made of them is saved.
+    """Delete the tables that were written meanwhile, once what was made of them is saved.
 
     ``with stage_tables(spark): run = extract_run(...); run.save(...)``
     """
@@ -61,8 +66,11 @@ def stage_tables(spark: SparkSession) -> Iterator[None]:
     try:
         yield
     finally:
-        jvm = spark.sparkContext._jvm
         for path in _written[before:]:
-            place = jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+            delete_folder(spark, path)
         del _written[before:]
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
