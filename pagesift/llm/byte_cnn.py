@@ -6,6 +6,9 @@ language. A text's probabilities are the mean over all its windows, weighted by
 text counts. The network is trained in numpy on the driver, on one window from each of at most ``TRAIN_ROWS`` labelled
 rows (drawn by a hash of doc_id), so training is bounded whatever the size of the table.
 
+``clear`` is the part of a text's bytes that lies in windows which some language claims clearly; a text in two languages may be all clear. With one learned
+language every lettered text is.
+
 Null texts and texts without a letter are ``und`` with score 0, and so is every text if there was nothing to learn from. Ties go to the
 language that sorts first. Equal texts get equal results. Columns of the input other than those named are not read.
 """
@@ -31,6 +34,8 @@ TRAIN_ROWS = 6_000
 EPOCHS = 12
 BATCH = 64
 NONE = "und"
+#: a window is clear if its most probable language is so far from chance, on the way to certainty
+CLEAR = 0.25
 
 _LETTER = regex.compile(r"\p{L}")
 _FOLD = bytes(range(256)).lower()
@@ -134,17 +139,21 @@ def train(windows: np.ndarray, labels: list[str], seed: int = 7) -> Network | No
 
 def classify(net: Network | None, bodies: list[bytes]) -> dict[str, pa.Array]:
     if net is None:
-        return {"lang_pred": pa.array([NONE] * len(bodies)), "score": pa.array([0.0] * len(bodies))}
+        return {"lang_pred": pa.array([NONE] * len(bodies), pa.string()), **{c: pa.array([0.0] * len(bodies)) for c in ("score", "clear")}}
     windows, counts = windows_of(bodies)
     starts = np.cumsum(counts) - counts
     sizes = np.full(len(windows), WINDOW)
     sizes[starts + counts - 1] = [max(1, len(b) - (n - 1) * WINDOW) for b, n in zip(bodies, counts.tolist())]
-    weighted = window_scores(net, windows).astype(np.float64) * sizes[:, None]
-    mean = np.add.reduceat(weighted, starts, axis=0) / np.add.reduceat(sizes, starts)[:, None]
+    scores = window_scores(net, windows).astype(np.float64)
+    total = np.add.reduceat(sizes, starts)
+    mean = np.add.reduceat(scores * sizes[:, None], starts, axis=0) / total[:, None]
+    chance = 1 / len(net.langs)
+    claimed = scores.max(axis=1) >= chance + CLEAR * (1 - chance) - 1e-6
+    clear = np.add.reduceat(claimed * sizes, starts) / total
     lettered = np.array([_LETTER.search(b.decode("utf-8", "replace")) is not None for b in bodies])
     best = mean.argmax(axis=1)
     score = np.where(lettered, np.clip(mean.max(axis=1), 0, 1), 0.0)
-    return {"lang_pred": pa.array([net.langs[i] if ok else NONE for i, ok in zip(best, lettered)]), "score": pa.array(score)}
+    return {"lang_pred": pa.array([net.langs[i] if ok else NONE for i, ok in zip(best, lettered)]), "score": pa.array(score), "clear": pa.array(np.where(lettered, clear, 0.0))}
 
 
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", rows: int = TRAIN_ROWS) -> Network | None:
@@ -159,5 +168,5 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
 
 
 def identify(docs: DataFrame, keep: list[str], net: Network | None, text: str = "text") -> DataFrame:
-    """``keep`` columns with ``lang_pred`` and ``score`` of the whole text."""
-    return map_text(docs, keep, text, lambda bodies: classify(net, bodies), "lang_pred string, score double")
+    """``keep`` columns with ``lang_pred``, ``score`` and ``clear`` of the whole text."""
+    return map_text(docs, keep, text, lambda bodies: classify(net, bodies), "lang_pred string, score double, clear double")

@@ -127,7 +127,10 @@ def whole_file(folder: str, name: str):
     own = f"{at}/.{name}.{uuid.uuid4().hex}"
     with system.open_output_stream(own) as out:
         yield out
-    system.move(own, f"{at}/{name}")
+    target = f"{at}/{name}"
+    if system.get_file_info(target).type != fs.FileType.NotFound:  # of an attempt whose result was lost
+        system.delete_file(target)
+    system.move(own, target)
 
 
 def drawn(df: DataFrame, doc_id: str, rows: int, order: list[str]) -> DataFrame:

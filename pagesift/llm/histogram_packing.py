@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagesift.llm.byte_bpe import byte_bpe
+from pagesift.llm.byte_bpe import Specials, byte_bpe
 from pagesift.llm.common import map_text, ranked
 from pagesift.session import materialize
 
@@ -28,9 +28,9 @@ SIZE = 1024
 SEPARATOR = 0
 
 
-def cut(bodies: list[bytes], path: str, pattern: str, size: int, separator: int) -> dict[str, pa.Array]:
+def cut(bodies: list[bytes], path: str, pattern: str, size: int, separator: int, specials: Specials = ()) -> dict[str, pa.Array]:
     """Pieces of all texts: which text, where in it, its ids as unsigned 32-bit little-endian numbers."""
-    encoder = byte_bpe(path, pattern)
+    encoder = byte_bpe(path, pattern, specials)
     take, start, length, total, ids = [], [], [], [], []
     for i, body in enumerate(bodies):
         own = np.append(encoder.ids(body), np.uint32(separator)).astype("<u4")
@@ -49,14 +49,14 @@ def cut(bodies: list[bytes], path: str, pattern: str, size: int, separator: int)
 
 
 def pieces(
-    docs: DataFrame, keep: list[str], path: str, pattern: str, text: str = "text", size: int = SIZE, separator: int = SEPARATOR
+    docs: DataFrame, keep: list[str], path: str, pattern: str, text: str = "text", size: int = SIZE, separator: int = SEPARATOR, specials: Specials = ()
 ) -> DataFrame:
     """A table in the shared folder with a row per piece: ``keep``, piece, start, length, doc_tokens, ids, ids_crc32."""
     made = map_text(
         docs,
         keep,
         text,
-        lambda bodies: cut(bodies, path, pattern, size, separator),
+        lambda bodies: cut(bodies, path, pattern, size, separator, specials),
         "start long, length long, doc_tokens long, ids binary",
     )
     numbered = made.withColumn("piece", F.monotonically_increasing_id()).withColumn("ids_crc32", F.crc32("ids"))

@@ -9,7 +9,7 @@ from shard i to shard j are exchanged with as many that go from j to i. First co
 cycles of them, then documents without any link, for which all shards are alike. How many may go each way follows from a
 table of shards times shards, the only thing the driver sees. Where more want to go than may, those that gain most go first, by exact ranks that are taken in
 parts. Shards are open at first if they hold documents without links, and, once that lowers the cut no further, also if some of their documents would gain
-elsewhere; so tables without unlinked documents are placed too. Each of the two ends when nothing moves any more or the cut no longer falls. Each round is a table in the shared folder.
+elsewhere; so tables without unlinked documents are placed too. Each of the two ends when nothing moves any more or the cut no longer falls, however many rounds that takes. Each round is a table in the shared folder.
 
 Documents are told apart by a number of their own, so repeated rows are placed each. An empty table gives an empty result.
 """
@@ -23,9 +23,6 @@ from pagesift.llm.common import ranked
 from pagesift.operators.skew import join_hot
 from pagesift.session import materialize
 
-#: rounds at most, with each kind of open shards
-ROUNDS = 6
-
 
 def start(docs: DataFrame, doc: str, shards: int, rows: int) -> DataFrame:
     """(doc, shard): every document in a shard by its rank in hash order."""
@@ -115,7 +112,7 @@ def _tally(df: DataFrame, *by: str) -> dict:
     return {r[0] if len(by) == 1 else tuple(r)[:-1]: r["n"] for r in rows}
 
 
-def propagate(docs: DataFrame, doc: str, links: DataFrame, shards: int, rounds: int = ROUNDS) -> DataFrame:
+def propagate(docs: DataFrame, doc: str, links: DataFrame, shards: int) -> DataFrame:
     """(doc, shard) of every document. ``links``: (doc, key), keys of at least two documents, each pair once; ``doc`` is unique."""
     spark = docs.sparkSession
     rows = docs.count()
@@ -124,7 +121,7 @@ def propagate(docs: DataFrame, doc: str, links: DataFrame, shards: int, rounds:
     placed = start(docs, doc, shards, rows).withColumnRenamed(doc, "doc").join(held_by, "doc", "left")
     placed = materialize(placed.select("doc", "shard", F.coalesce("linked", F.lit(False)).alias("linked")), "shards")
     free = _tally(placed.where("not linked"), "shard")
-    best, least, any_shard, turn, begun = placed, None, not free, 0, 0
+    best, least, any_shard, turn = placed, None, not free, 0
     while True:
         members = materialize(linked.join(placed.where("linked").select("doc", "shard"), "doc"), "members")
         held = materialize(_counts(members), "held")
@@ -132,13 +129,11 @@ def propagate(docs: DataFrame, doc: str, links: DataFrame, shards: int, rounds:
         stuck = least is not None and cut >= least
         if not stuck:
             best, least = placed, cut
-        if stuck or turn - begun == rounds:
+        if stuck:
             if any_shard:
                 break
-            any_shard, begun = True, turn
-            if stuck:
-                placed, least = best, None
-                continue
+            any_shard, placed, least = True, best, None
+            continue
         turn += 1
         free = _tally(placed.where("not linked"), "shard")
         seen = materialize(sights(members, held), "sights")
@@ -150,7 +145,7 @@ def propagate(docs: DataFrame, doc: str, links: DataFrame, shards: int, rounds:
         if not any(movers.values()):
             if any_shard:
                 break
-            any_shard, begun, placed, least = True, turn, best, None
+            any_shard, placed, least = True, best, None
             continue
         ahead = before_gain([(*way, n) for way, n in _tally(wish, "shard", "target", "gain").items()])
         most = [(i, j, gain, max(0, movers[i, j] - before)) for i, j, gain, before in ahead]

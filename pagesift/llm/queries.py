@@ -79,8 +79,10 @@ FROM t WINDOW w AS (PARTITION BY text_sha256)
 """
 
 
-#: end-of-document id of the byte vocabulary, which no text's ids hold
+#: end-of-document id of the byte vocabulary; where it ends documents, its name in a text is ordinary text, so no text's ids hold it
 END_OF_DOCUMENT = 50256
+#: names that are one id in a text, as the vocabulary's tokenizer has it
+SPECIALS = (("<|endoftext|>", END_OF_DOCUMENT),)
 
 
 @registered
@@ -96,7 +98,7 @@ def op6_separator_scan(spark, sf):
 def op9_histogram_packing(spark, sf):
     """The pieces of every document and where they are in which sequence."""
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    cut = histogram_packing.pieces(documents(spark, sf), ["doc_id"], ranks, public_tokenizers.PATTERN)
+    cut = histogram_packing.pieces(documents(spark, sf), ["doc_id"], ranks, public_tokenizers.PATTERN, specials=SPECIALS)
     keep = ["doc_id", "start", "ids_crc32", "doc_tokens"]
     return histogram_packing.place(spark, cut, keep).drop("piece")
 
@@ -150,8 +152,8 @@ SELECT page_id, octet_length(encode(body))::BIGINT AS payload_bytes,
   list_aggregate(list_transform(range(32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[
     16 * bits[5 * i + 1]::INT + 8 * bits[5 * i + 2]::INT + 4 * bits[5 * i + 3]::INT + 2 * bits[5 * i + 4]::INT + bits[5 * i + 5]::INT + 1
   ]), 'string_agg', '') AS payload_digest,
-  CASE WHEN response = page_id THEN 'response' ELSE 'revisit' END AS record_type,
-  CASE WHEN response <> page_id THEN response END AS refers_to
+  CASE WHEN response IS NOT DISTINCT FROM page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN response IS DISTINCT FROM page_id THEN response END AS refers_to
 FROM b
 """
 

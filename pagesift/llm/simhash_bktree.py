@@ -17,6 +17,8 @@ left out. Equal texts have equal fingerprints and meet as one. Null texts have n
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from itertools import combinations, repeat
 
 import numpy as np
@@ -27,6 +29,7 @@ from xxhash import xxh64_intdigest
 
 from pagesift.llm.common import map_text, ship, text_of
 from pagesift.llm.components import components
+from pagesift.operators.skew import join_hot
 from pagesift.session import materialize
 
 WORDS = 3
@@ -34,33 +37,58 @@ SEED = 42
 RADIUS = 3
 #: fingerprints in one part of a shard
 SHARD = 20_000
-#: shards that are cut; any other has less than one of so many of the rows
-HOT_SHARDS = 20_000
+#: shards that are cut and may be broadcast (20 bytes each); more are joined by a shuffle
+HOT_SHARDS = 1_000_000
 #: fingerprints a shard may have on average before more bits are used to deal them
 MEAN_SHARD = 256
+#: bytes of a text that are split into words at a time, and hashes whose bits are counted at a time
+BLOCK_BYTES, SLICE = 1 << 20, 1 << 16
+
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def word_blocks(body: bytes, most: int = BLOCK_BYTES) -> Iterator[list[bytes]]:
+    """The lower-cased words of a text, in lists from about ``most`` bytes each."""
+    at = 0
+    while at < len(body):
+        cut = _BLANK.search(body, at + most)
+        end = cut.start() if cut else len(body)
+        yield body[at:end].lower().split()
+        at = end
+
+
+def shingle_hashes(body: bytes, words: int = WORDS, seed: int = SEED) -> np.ndarray:
+    """The hashes of a text's shingles, repeats included; fewer words than a shingle has are one, no words none."""
+    out, held = [], []
+    for block in word_blocks(body):
+        held += block
+        if len(held) >= words:
+            runs = map(b" ".join, zip(*(held[i:] for i in range(words))))
+            out.append(np.fromiter(map(xxh64_intdigest, runs, repeat(seed)), np.uint64))
+            del held[: len(held) - words + 1]
+    if not out:
+        return np.array([xxh64_intdigest(b" ".join(held), seed)] if held else [], np.uint64)
+    return np.concatenate(out)
+
+
+def prints_of(hashes: list[np.ndarray]) -> np.ndarray:
+    """The fingerprint of each array of hashes; 0 for an empty one. Bits are counted in slices of ``SLICE`` hashes."""
+    size = np.fromiter(map(len, hashes), np.int64, len(hashes))
+    ends = np.cumsum(size)
+    sums = np.zeros((len(hashes), 64), np.int64)
+    flat = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
+    for at in range(0, len(flat), SLICE):
+        part = flat[at : at + SLICE]
+        bits = np.unpackbits(part.astype(">u8").view(np.uint8)).reshape(-1, 64)
+        first, last = np.searchsorted(ends, [at, at + len(part) - 1], side="right")
+        owners = first + np.flatnonzero(size[first : last + 1])
+        sums[owners] += np.add.reduceat(bits, np.maximum(ends[owners] - size[owners] - at, 0), axis=0, dtype=np.int64)
+    return np.packbits(2 * sums > size[:, None], axis=1).view(">u8").reshape(-1).astype(np.uint64)
 
 
 def fingerprints(bodies: list[bytes], words: int = WORDS) -> np.ndarray:
     """The fingerprint of each text, as unsigned 64-bit numbers."""
-    hashes, counts = [], []
-    for body in bodies:
-        found = body.lower().split()
-        if len(found) > words:
-            shingles = map(b" ".join, zip(*(found[i:] for i in range(words))))
-            counts.append(len(found) - words + 1)
-        else:
-            shingles = [b" ".join(found)] if found else []
-            counts.append(len(shingles))
-        hashes.append(np.fromiter(map(xxh64_intdigest, shingles, repeat(SEED)), np.uint64, counts[-1]))
-    size = np.array(counts)
-    out = np.zeros(len(bodies), np.uint64)
-    some = np.flatnonzero(size)
-    if len(some):
-        bits = np.unpackbits(np.concatenate(hashes).astype(">u8").view(np.uint8)).reshape(-1, 64)
-        starts = (np.cumsum(size) - size)[some]
-        sums = np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
-        out[some] = np.packbits(2 * sums > size[some, None], axis=1).view(">u8").reshape(-1)
-    return out
+    return prints_of([shingle_hashes(body, words) for body in bodies])
 
 
 def linked(values: list[int], radius: int = RADIUS) -> list[tuple[int, int]]:
@@ -135,8 +163,9 @@ def shard_links(prints: DataFrame, column: str, radius: int = RADIUS, shard: int
     keys = F.array(*[F.col(column).bitwiseAND(F.lit(_signed(m))) for m in masks])
     dealt = prints.select(F.col(column).alias("value"), F.posexplode(keys).alias("choice", "shared"))
     sizes = dealt.groupBy("choice", "shared").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > shard)
-    large = sizes.orderBy(F.desc("n"), "choice", "shared").limit(HOT_SHARDS)
-    large = F.broadcast(large.select("choice", "shared", F.ceil(F.col("n") / shard).cast("int").alias("parts")))
+    large = materialize(sizes.select("choice", "shared", F.ceil(F.col("n") / shard).cast("int").alias("parts")), "large_shards")
+    if large.count() <= HOT_SHARDS:
+        large = F.broadcast(large)
     own = F.pmod(F.xxhash64("value"), F.col("parts")).cast("int")
     others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: x != F.col("own"))
     pairs = F.transform(others, lambda x: F.least(x, "own") * F.col("parts") + F.greatest(x, "own"))
@@ -186,11 +215,16 @@ def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: Column | None = None, radius: int = RADIUS, shard: int = SHARD, words: int = WORDS
 ) -> DataFrame:
     """(doc_id, print, component_id) of every document; component_id is the smallest id in its component."""
-    seen = materialize(with_fingerprint(docs, [doc_id], text, words), "prints")
+    return near_prints(materialize(with_fingerprint(docs, [doc_id], text, words), "prints"), doc_id, radius, shard)
+
+
+def near_prints(seen: DataFrame, doc_id: str, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
+    """(doc_id, print, component_id) of rows (doc_id, print)."""
     prints = materialize(seen.groupBy("print").agg(F.min(doc_id).alias("first")), "distinct_prints")
     links = shard_links(prints, "print", radius, shard)
     roots = materialize(components(links, "a", "b"), "roots")
     members = prints.join(roots.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
+    members = materialize(members, "members")
     least = members.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_print = members.join(least, "root").select("print", "component_id")
-    return seen.join(by_print, "print").select(doc_id, "print", "component_id")
+    by_print = materialize(join_hot(members, least, "root", "print").select("print", "component_id"), "components")
+    return join_hot(seen, by_print, "print", doc_id).select(doc_id, "print", "component_id")

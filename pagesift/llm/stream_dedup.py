@@ -23,10 +23,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagesift.llm.common import text_of
-from pagesift.session import shared_dir
+from pagesift.operators.skew import join_hot
+from pagesift.session import shared_dir, written
 
 #: groups of copies whose keys may be broadcast (under 100 bytes each); more are joined by a shuffle
 BROADCAST_KEYS = 200_000
+#: copies of one text that are compared in one task
+SALT_ROWS = 50_000
 LAST_ID = 2**63 - 1
 
 _STATE = {
@@ -97,39 +100,48 @@ def dedup(
     doc_id: str = "doc_id",
     digest: Callable[[Column], Column] = lambda sha: sha,
     max_files: int = 10_000,
+    broadcast_keys: int = BROADCAST_KEYS,
 ) -> DataFrame:
     """One row per row of ``docs``: ``doc`` (struct of the ``carry`` columns), ``keep_id``, ``group_size``, ``kept``, ``sha``."""
     spark = docs.sparkSession
     folder = f"{shared_dir(spark)}/pagesift/dedup-{uuid.uuid4().hex}"
+    written(folder)
     store = f"{folder}/store"
     write_store(docs, carry, store, text, doc_id)
     body = F.col(f"doc.`{text}`") if text in carry else F.col("text")
-    return _rounds(spark, folder, store, body, digest, max_files)
+    return _rounds(spark, folder, store, body, digest, max_files, broadcast_keys)
 
 
-def _rounds(spark: SparkSession, folder: str, store: str, body: Column, digest: Callable[[Column], Column], max_files: int) -> DataFrame:
+def _rounds(spark: SparkSession, folder: str, store: str, body: Column, digest: Callable[[Column], Column], max_files: int, broadcast_keys: int) -> DataFrame:
     rows = spark.read.parquet(store)
     if rows.isEmpty():
         return _result(rows.withColumns({"keep_id": F.lit(0), "n": F.lit(0), "keep_row": F.col("row")}))
     stream_keys(spark, store, f"{folder}/keys", f"{folder}/checkpoint", digest, max_files)
     latest_copies(spark, f"{folder}/keys").write.parquet(f"{folder}/copies")
     copies = spark.read.parquet(f"{folder}/copies")
-    if copies.count() <= BROADCAST_KEYS:
-        copies = F.broadcast(copies)
+    few = copies.count() <= broadcast_keys
+
+    def with_copies(keyed: DataFrame, copies: DataFrame, how: str = "left") -> DataFrame:
+        return keyed.join(F.broadcast(copies), "digest", how) if few else join_hot(keyed, copies, "digest", "row", how, SALT_ROWS)
+
     keyed = rows.withColumn("digest", digest(F.col("sha")))
-    hits = keyed.join(copies, "digest").select("row", "keep_row", normalised(F.coalesce(body, F.lit(""))).alias("content"))
-    first = hits.where("row = keep_row").select("keep_row", F.col("content").alias("located"))
-    compared = hits.where("row <> keep_row").join(first, "keep_row").select("row", (F.col("content") != F.col("located")).alias("differs"))
+    hits = with_copies(keyed, copies, "inner").withColumn("salts", F.ceil(F.col("n") / SALT_ROWS).cast("int"))
+    content = normalised(F.coalesce(body, F.lit("")))
+    salts = F.explode(F.sequence(F.lit(0), F.col("salts") - 1))
+    first = hits.where("row = keep_row").select("keep_row", content.alias("located"), salts.alias("salt"))
+    salt = F.pmod(F.xxhash64("row"), F.col("salts")).cast("int")
+    others = hits.where("row <> keep_row").select("row", "keep_row", salt.alias("salt"), content.alias("content"))
+    compared = others.join(first, ["keep_row", "salt"]).select("row", (F.col("content") != F.col("located")).alias("differs"))
     differing = compared.where("differs").select("row")
     if differing.isEmpty():
-        return _result(keyed.join(copies, "digest", "left"))
+        return _result(with_copies(keyed, copies))
     differing.write.parquet(f"{folder}/differing")
     differing = spark.read.parquet(f"{folder}/differing")
     rows.join(differing, "row", "left_semi").write.parquet(f"{folder}/next/store")
-    same = keyed.join(differing, "row", "left_anti").join(copies.drop("n"), "digest", "left")
+    same = with_copies(keyed.join(differing, "row", "left_anti"), copies.drop("n"))
     sizes = same.where("keep_row is not null").groupBy("keep_row").agg(F.count(F.lit(1)).alias("n"))
-    others = _rounds(spark, f"{folder}/next", f"{folder}/next/store", body, digest, max_files)
-    return _result(same.join(sizes, "keep_row", "left")).unionByName(others)
+    others = _rounds(spark, f"{folder}/next", f"{folder}/next/store", body, digest, max_files, broadcast_keys)
+    return _result(join_hot(same, sizes, "keep_row", "row", "left", SALT_ROWS)).unionByName(others)
 
 
 def _result(rows: DataFrame) -> DataFrame:

@@ -3,11 +3,11 @@
 ``write_archives`` writes a record per page into files that are one gzip stream each, as some crawlers do; such a file can only be read from its
 start. ``normalise`` inflates every such stream once, block by block, writes each record as a member of its own into a new file, and beside that file
 an index with a line per record: offset, length, type, record id. ``read_records`` seeks by the index and inflates single members. Files are written under
-another name first and then renamed, so a repeated task leaves no half file.
+another name first and then renamed, so a repeated task leaves no half file; it replaces what an earlier attempt had finished.
 
-Of records with equal payloads the one with the largest page_id is a response with the payload; the others are revisits that
+A page without an id gets a record id made of its archive and place, and is read back without one. Of records with equal payloads the one with the largest page_id is a response with the payload; the others are revisits that
 refer to it and hold the HTTP header only. Payloads are told apart by SHA-256 and length. A null html is an empty payload; a null url leaves out the
-target field, line breaks in a url are percent-encoded. Rows with the same page_id and html are all responses or all revisits. An empty table gives no files and an empty
+target field, line breaks in a url are percent-encoded. Rows with the same page_id and html are all responses or all revisits, and so are pages with equal payloads of which none has an id. An empty table gives no files and an empty
 result. Columns other than page_id, url and html are not read.
 """
 
@@ -17,6 +17,7 @@ import base64
 import gzip
 import hashlib
 import io
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -26,25 +27,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagesift.llm.common import file_system, ship, text_chunks, text_of, whole_file
+from pagesift.operators.skew import join_hot
 from pagesift.session import materialize
 
 #: uncompressed bytes after which the next archive is begun
 ARCHIVE_BYTES = 16 << 20
-#: groups of equal payloads that may be broadcast (about 60 bytes each); more are joined by a shuffle
+#: groups of equal payloads that may be broadcast (about 60 bytes each); more are joined by a shuffle in which
+#: a payload with more pages than ``SALT_PAGES`` is split
 BROADCAST_GROUPS = 200_000
+SALT_PAGES = 20_000
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _READ = 1 << 20
 
 
-def record(page_id: int, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
-    """A response with its payload, or a revisit of the response ``refers_to``."""
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, place: str = "") -> bytes:
+    """A response with its payload, or a revisit of the response ``refers_to``; ``place`` names a record without a page_id."""
+    own = f"urn:page:{page_id}" if page_id is not None else uuid.uuid5(uuid.NAMESPACE_URL, place).urn
     digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + payload if refers_to is None else http
     fields = {
         "WARC-Type": "response" if refers_to is None else "revisit",
-        "WARC-Record-ID": f"<urn:page:{page_id}>",
+        "WARC-Record-ID": f"<{own}>",
         "WARC-Date": DATE,
         "WARC-Target-URI": url and url.replace("\r", "%0D").replace("\n", "%0A"),
         "WARC-Payload-Digest": f"sha1:{digest}",
@@ -97,7 +102,7 @@ def fields_of(head: bytes) -> dict[str, str]:
 
 
 def _number(uri: str | None) -> int | None:
-    return int(uri.strip("<>").rpartition(":")[2]) if uri else None
+    return int(uri.strip("<>").removeprefix("urn:page:")) if uri and uri.startswith("<urn:page:") else None
 
 
 def parsed(data: bytes) -> dict:
@@ -116,16 +121,19 @@ def parsed(data: bytes) -> dict:
     }
 
 
-def assigned(pages: DataFrame) -> DataFrame:
+def assigned(pages: DataFrame, broadcast_groups: int = BROADCAST_GROUPS, salt_pages: int = SALT_PAGES) -> DataFrame:
     """(page_id, url, body, refers_to): which response each page with a copied payload refers to."""
     body = text_of("html").cast("binary")
     keyed = pages.select(F.col("page_id").cast("long"), "url", body.alias("body"), F.unhex(F.sha2(body, 256)).alias("sha"), F.length(body).alias("size"))
-    groups = keyed.groupBy("sha", "size").agg(F.max("page_id").alias("response"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    keyed = keyed.withColumn("payload", F.struct("sha", "size")).drop("sha", "size")
+    groups = keyed.groupBy("payload").agg(F.max("page_id").alias("response"), F.count(F.lit(1)).alias("n")).where("n > 1 and response is not null")
     groups = materialize(groups.drop("n"), "payloads")
-    if groups.count() <= BROADCAST_GROUPS:
-        groups = F.broadcast(groups)
-    other = F.when(F.col("response") != F.col("page_id"), F.col("response"))
-    return keyed.join(groups, ["sha", "size"], "left").select("page_id", "url", "body", other.alias("refers_to"))
+    if groups.count() <= broadcast_groups:
+        joined = keyed.join(F.broadcast(groups), "payload", "left")
+    else:
+        joined = join_hot(keyed.withColumn("row", F.monotonically_increasing_id()), groups, "payload", "row", "left", salt_pages)
+    other = F.when(~F.col("response").eqNullSafe(F.col("page_id")), F.col("response"))
+    return joined.select("page_id", "url", "body", other.alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
@@ -144,7 +152,7 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
             with whole_file(folder, name) as out, gzip.GzipFile(fileobj=out, mode="wb", compresslevel=6, mtime=0) as stream:
                 while row is not None and size < archive_bytes:
                     page_id, url, body, refers_to = row
-                    size += stream.write(record(page_id, url, body, refers_to))
+                    size += stream.write(record(page_id, url, body, refers_to, f"{folder}/{name}/{count}"))
                     count += 1
                     row = next(rows, None)
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([count], pa.int64())], names=["archive", "records"])

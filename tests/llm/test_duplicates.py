@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pagesift.llm import jaccard_links, label_shards, stream_dedup
+from pagesift.llm import jaccard_links, label_shards, simhash_bktree, stream_dedup
 from pagesift.llm.components import components
 from pagesift.llm.queries import REGISTRY
 from pagesift.llm.simhash_bktree import fingerprints, linked, near_duplicates, shard_links, shard_masks
@@ -59,6 +59,7 @@ def test_copies(odd_docs, no_docs):
     rows = [(r.doc_id, r.text) for r in odd_docs.collect()]
     assert outcome(stream_dedup.dedup(odd_docs, odd_docs.columns)) == expected_copies(rows)
     assert outcome(stream_dedup.dedup(odd_docs, ["doc_id"], max_files=1)) == expected_copies(rows)
+    assert outcome(stream_dedup.dedup(odd_docs, ["doc_id"], broadcast_keys=0)) == expected_copies(rows)
     assert stream_dedup.dedup(no_docs, ["doc_id"]).collect() == []
 
 
@@ -290,3 +291,51 @@ def test_near_copies_by_similarity(spark, no_docs):
     kept = {r.doc_id for r in corpus_pipeline.simhash_near_dedup(spark, docs, SF).collect()}
     assert kept == set(want.values())
     assert jaccard_links.near_copies(no_docs.select(F.col("doc_id").alias("node"), "text")).collect() == []
+
+
+def test_hot_copies_are_compared_in_parts(spark, monkeypatch):
+    """A text that most rows share is compared in groups; the result is the same, also where digests meet by chance."""
+    monkeypatch.setattr(stream_dedup, "SALT_ROWS", 7)
+    rows = [(i, "hot" if i % 3 else f"text {i % 10}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for n in (0, 1000):
+        assert outcome(stream_dedup.dedup(docs, ["doc_id"], broadcast_keys=n)) == expected_copies(rows)
+    weak = stream_dedup.dedup(docs, ["doc_id"], digest=lambda sha: F.substring(sha, 1, 0), broadcast_keys=0)
+    assert outcome(weak) == expected_copies(rows)
+
+
+def plain_bits(body):
+    """A five-word fingerprint, bit by bit."""
+    words = body.lower().split()
+    hashes = [xxhash.xxh64_intdigest(b" ".join(words[i : i + 5]), 42) for i in range(max(1, len(words) - 4))] if words else []
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_blocks_and_slices_change_nothing(monkeypatch):
+    bodies = [b"", b" ", b"one", b"a b c d e", b"a b c d e f", b" ".join(b"%d" % (i * i % 97) for i in range(400)), b"x" * 90 + b" y z"]
+    want = [plain_bits(b) for b in bodies]
+    for block, size in ((1 << 20, 1 << 16), (1, 1), (7, 3), (64, 50)):
+        monkeypatch.setattr(simhash_bktree, "SLICE", size)
+        monkeypatch.setattr(simhash_bktree.word_blocks, "__defaults__", (block,))
+        assert fingerprints(bodies, 5).tolist() == want
+
+
+def test_groups_of_near_copies_in_parts(spark):
+    """Two hundred variants of two texts that share half of their words, in parts of a few texts: the same links as at once."""
+    draw = random.Random(4)
+    base = [f"w{draw.randrange(10_000)}" for _ in range(120)]
+    other = base[:60] + [f"v{draw.randrange(10_000)}" for _ in range(60)]
+    texts = []
+    for i in range(200):
+        words = list(base if i % 3 else other)
+        for _ in range(draw.randrange(5)):
+            words[draw.randrange(len(words))] = f"x{draw.randrange(10_000)}"
+        texts.append(" ".join(words))
+    sets = [jaccard_shingles(t) for t in texts]
+    pairs = [(a, b) for a in range(200) for b in range(a) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    want = roots(range(200), pairs)
+    linked_nodes = {x for p in pairs for x in p}
+    docs = spark.createDataFrame(list(enumerate(texts)), "node long, text string").repartition(3)
+    for part_bytes in (1 << 20, 4_000):
+        found = {r.node: r.root for r in jaccard_links.near_copies(docs, part_bytes=part_bytes).collect()}
+        assert {**{n: n for n in linked_nodes}, **found} == {n: want[n] for n in linked_nodes}

@@ -11,16 +11,26 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from pagesift.llm import histogram_packing, separator_scan
-from pagesift.llm.queries import END_OF_DOCUMENT, REGISTRY
+from pagesift.llm.byte_bpe import byte_bpe
+from pagesift.llm.queries import END_OF_DOCUMENT, REGISTRY, SPECIALS
 from tests.conftest import SF
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 LIBRARY = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-LIBRARY.encode_special_tokens = True
+ORDINARY = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+ORDINARY.encode_special_tokens = True
 
 
-def ids_of(text):
-    return LIBRARY.encode(text or "", add_special_tokens=False).ids
+def ids_of(text, library=LIBRARY):
+    return library.encode(text or "", add_special_tokens=False).ids
+
+
+def test_special_names():
+    """A special token's name is its id where the library makes it that, and ordinary text where that id ends documents."""
+    for text in ("<|endoftext|> x", "a<|endoftext|><|endoftext|>", " <|endoftext|>\n", "<|endoftext|", "|><|endoftext|>é"):
+        assert byte_bpe(RANKS, public_tokenizers.PATTERN, SPECIALS).ids(text.encode()).tolist() == ids_of(text)
+        assert byte_bpe(RANKS, public_tokenizers.PATTERN).ids(text.encode()).tolist() == ids_of(text, ORDINARY)
+    assert len(ids_of("<|endoftext|> x")) == 2 or END_OF_DOCUMENT in ids_of("<|endoftext|> x")
 
 
 def check_packing(docs, rows):
@@ -57,7 +67,7 @@ def test_packing_of_odd_documents(spark, odd_docs, no_docs):
     docs = defaultdict(list)
     for r in odd_docs.collect():
         docs[r.doc_id].append(r.text)
-    cut = histogram_packing.pieces(odd_docs, ["doc_id"], RANKS, public_tokenizers.PATTERN)
+    cut = histogram_packing.pieces(odd_docs, ["doc_id"], RANKS, public_tokenizers.PATTERN, specials=SPECIALS)
     placed = histogram_packing.place(spark, cut, ["doc_id", "start", "ids_crc32", "doc_tokens"])
     rows = placed.collect()
     found = check_packing(docs, rows)
@@ -93,13 +103,13 @@ def test_patterns_hold_the_histogram(histogram):
 def test_scan_query(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     rows = REGISTRY["op6_separator_scan"](spark, SF).collect()
-    assert Counter((r.doc_id, r.n_tokens) for r in rows) == Counter((i, len(ids_of(t))) for i, t in docs.items())
+    assert Counter((r.doc_id, r.n_tokens) for r in rows) == Counter((i, len(ids_of(t, ORDINARY))) for i, t in docs.items())
 
 
 def test_scan_of_odd_documents(spark, odd_docs, no_docs):
     folder = separator_scan.flat_dir(spark)
     places = separator_scan.write_flat(odd_docs, RANKS, public_tokenizers.PATTERN, END_OF_DOCUMENT, folder)
-    want = Counter((r.doc_id, len(ids_of(r.text))) for r in odd_docs.collect())
+    want = Counter((r.doc_id, len(ids_of(r.text, ORDINARY))) for r in odd_docs.collect())
     for block in (1, 5, 1 << 20):
         counts = separator_scan.token_counts(spark, folder, END_OF_DOCUMENT, block=block if block > 1 else 7)
         rows = places.join(counts, ["file", "ordinal"]).collect()

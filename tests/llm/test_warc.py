@@ -8,8 +8,10 @@ from collections import Counter
 
 import pytest
 
-from pagesift.llm.common import fresh_dir
-from pagesift.llm.warc_members import inflated, normalise, parsed, read_index, read_records, record, records, write_archives
+from pyarrow import fs
+
+from pagesift.llm.common import file_system, fresh_dir, whole_file
+from pagesift.llm.warc_members import assigned, inflated, normalise, parsed, read_index, read_records, record, records, write_archives
 
 PAGES = [
     (1, "http://a/", "<p>same</p>"),
@@ -21,13 +23,17 @@ PAGES = [
     (7, "http://f/", "<p>same</p>"),
     (7, "http://f/", "<p>same</p>"),
     (8, "", "WARC/1.1\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"),
+    (None, "http://g/", "<p>same</p>"),
+    (None, None, "alone"),
+    (None, "http://h/", "twice, no id"),
+    (None, "http://h/", "twice, no id"),
 ]
 
 
 def expected():
     response = {}
     for page_id, _, html in PAGES:
-        response[html or ""] = max(page_id, response.get(html or "", page_id))
+        response[html or ""] = max((i for i in (page_id, response.get(html or "")) if i is not None), default=None)
     out = Counter()
     for page_id, _, html in PAGES:
         body, first = (html or "").encode(), response[html or ""]
@@ -53,6 +59,32 @@ def test_round_trip(spark, size):
     assert got == expected()
 
 
+@pytest.mark.parametrize("groups", [0, 1000])
+def test_responses_beyond_what_may_be_broadcast(spark, groups):
+    """A payload that most pages share, with and without a broadcast of the groups."""
+    rows = [*PAGES, *((100 + i, "http://hot/", "hot") for i in range(200))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    want = {}
+    for page_id, _, html in rows:
+        want[html or ""] = max((i for i in (page_id, want.get(html or "")) if i is not None), default=None)
+    found = assigned(pages, groups, 50).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        first = want[bytes(r.body).decode()]
+        assert r.refers_to == (None if first == r.page_id else first)
+
+
+def test_a_repeated_task_replaces_its_file(spark):
+    folder = fresh_dir(spark, "warc")
+    for content in (b"first attempt", b"second"):
+        with whole_file(folder, "part") as out:
+            out.write(content)
+    system, at = file_system(folder)
+    assert [f.base_name for f in system.get_file_info(fs.FileSelector(at))] == ["part"]
+    with system.open_input_stream(f"{at}/part") as file:
+        assert file.read() == b"second"
+
+
 def test_no_pages(spark):
     source, target = fresh_dir(spark, "warc"), fresh_dir(spark, "warc")
     archives = write_archives(spark.createDataFrame([], "page_id long, url string, html string"), source)
