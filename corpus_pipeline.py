@@ -9,17 +9,24 @@ rows and empty tables are treated as the operators' docstrings say.
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagesift.llm import byte_cnn, histogram_packing, jaccard_links, repetition, stream_dedup
-from pagesift.session import materialize
+from pagesift.llm.queries import SPECIALS
+from pagesift.operators.skew import join_hot
+from pagesift.session import delete_folder, materialize, shared_dir, stage_tables
 
-#: probability that a document's language must have; a text in two languages may have half for each
-LEAST_LANGUAGE = 0.3
-#: dropped ids (8 bytes each) that may be broadcast; more are joined by a shuffle
-BROADCAST_IDS = 1_000_000
+#: part of a document's bytes that some language must claim clearly
+LEAST_CLEAR = 0.3
+#: dropped rows (8 bytes each) that may be broadcast; more are joined by a shuffle
+BROADCAST_ROWS = 1_000_000
+#: files whose names may be broadcast (some 200 bytes each) to number rows where they are; rows of more files are numbered in a copy
+NUMBERED_FILES = 100_000
 
 
 def _own_names(docs: DataFrame) -> tuple[DataFrame, list[str], str]:
@@ -35,11 +42,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text is in a learned language; the network learns from the stage's own input."""
+    """Documents of which enough is clearly in some learned language; the network learns from the stage's own input.
+
+    Documents without a letter go. Where no row has a language to learn, all others stay.
+    """
     own, names, text = _own_names(docs)
-    found = byte_cnn.identify(own, names, byte_cnn.learn(docs.select("doc_id", "text", "lang")), text)
-    known = (F.col("lang_pred") != byte_cnn.NONE) & (F.col("score") >= LEAST_LANGUAGE)
-    return found.where(known).select(*names).toDF(*docs.columns)
+    net = byte_cnn.learn(docs.select("doc_id", "text", "lang"))
+    if net is None:
+        return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    found = byte_cnn.identify(own, names, net, text)
+    return found.where((F.col("lang_pred") != byte_cnn.NONE) & (F.col("clear") >= LEAST_CLEAR)).select(*names).toDF(*docs.columns)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,25 +59,46 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return stream_dedup.dedup(docs, docs.columns).where("kept").select("doc.*")
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``node``, a number of each row that is the same whenever the table is read.
+
+    Rows of files are numbered by file and place, without a copy of them; other rows are written with their number.
+    """
+    try:
+        placed = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    except AnalysisException:  # not read from files
+        placed = None
+    files = materialize(placed.select("_file").distinct(), "files") if placed else None
+    if not files or files.count() > NUMBERED_FILES:
+        return materialize(docs.withColumn("node", F.monotonically_increasing_id()), "numbered")
+    names = sorted(r["_file"] for r in files.collect())
+    table = docs.sparkSession.createDataFrame(list(enumerate(names)), "_number long, _file string")
+    node = F.shiftleft("_number", 40) + F.col("_row")
+    return placed.join(F.broadcast(table), "_file").withColumn("node", node).drop("_file", "_row", "_number")
+
+
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document per group that near copies connect, the one with the smallest id; rows without an id stay."""
+    """One document per group that near copies connect: the one with the smallest id, rows without an id last.
+
+    Rows count, not ids: of rows that share an id each is kept or dropped by its own text.
+    """
     own, names, text = _own_names(docs)
-    doc_id = names[docs.columns.index("doc_id")]
-    numbered = materialize(own.withColumn("node", F.monotonically_increasing_id()), "numbered")
-    groups = materialize(jaccard_links.near_copies(numbered.select("node", F.col(text).alias("text"))), "near_copies")
+    rows = numbered(docs.toDF(*names))
+    groups = materialize(jaccard_links.near_copies(rows.select("node", F.col(text).alias("text"))), "near_copies")
     groups = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
-    ids = groups.join(numbered.select("node", F.col(doc_id).alias("id")), "node")
-    least = ids.groupBy("root").agg(F.min("id").alias("least"))
-    dropped = materialize(ids.join(least, "root").where("id <> least").select(F.col("id").alias(doc_id)).distinct(), "near_duplicates")
-    if dropped.count() <= BROADCAST_IDS:
+    doc_id = F.col(names[docs.columns.index("doc_id")])
+    ids = materialize(groups.join(rows.select("node", F.struct(doc_id.isNull(), doc_id, "node").alias("rank")), "node"), "ranks")
+    stays = ids.groupBy("root").agg(F.min_by("node", "rank").alias("stays"))
+    dropped = materialize(join_hot(ids.drop("rank"), stays, "root", "node").where("node <> stays").select("node"), "near_duplicates")
+    if dropped.count() <= BROADCAST_ROWS:
         dropped = F.broadcast(dropped)
-    return numbered.join(dropped, doc_id, "left_anti").select(*names).toDF(*docs.columns)
+    return rows.join(dropped, "node", "left_anti").select(*names).toDF(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of every document, and where they are in which sequence."""
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    cut = histogram_packing.pieces(docs.select("doc_id", "text"), ["doc_id"], ranks, public_tokenizers.PATTERN)
+    cut = histogram_packing.pieces(docs.select("doc_id", "text"), ["doc_id"], ranks, public_tokenizers.PATTERN, specials=SPECIALS)
     return histogram_packing.place(spark, cut, ["doc_id", "start", "ids_crc32", "doc_tokens"]).drop("piece")
 
 
@@ -82,7 +115,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's table. What a stage wrote for itself, and what it read, is deleted once its result is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        path = f"{shared_dir(spark)}/pagesift/{name}-{uuid.uuid4().hex}"
+        with stage_tables(spark):
+            made = stage(spark, docs, sf_dir)
+            made.write.parquet(path)
+        if before:
+            delete_folder(spark, before)
+        docs, before = spark.read.schema(made.schema).parquet(path), path
     return docs
