@@ -1,8 +1,8 @@
 """User patterns are written for a Python-style regex dialect and run on Java's.
 
 ``FLAGS`` gives Java the same defaults (ignore case, multiline, Unicode classes, only a newline
-ends a line). What cannot be carried over by flags is refused by ``lint`` rather than run with
-another meaning.
+ends a line). Classes that Java would read in another way are printed anew (``dialect``); what has no spelling there is refused by
+``lint`` rather than run with another meaning.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from pyspark.errors import PySparkException
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from pagesift.functions import dialect
+
 FLAGS = "(?idmU)"
 
 #: an escape in full: code points, control characters, properties, named references and names, quotes
@@ -33,11 +35,25 @@ class PatternError(ValueError):
     """A pattern that does not compile or would change its meaning."""
 
 
+def _reads_classes_differently(pattern: str) -> bool:
+    """Does Java see a nested class or a set operation where a bracket or a sign is meant?"""
+    return any(
+        in_class and (token == "[" or bool(re.match(r"&&|--|\|\||~~", pattern[i:])))
+        for i, token, in_class in _tokens(pattern)
+    )
+
+
 def translated(pattern: str) -> str:
     """The pattern in Java's spelling: ``(?P<name>``, ``(?P=name)`` and the end of the text, ``\\Z``.
 
-    Java's group names have no underscores, so groups are renamed by their order.
+    Java's group names have no underscores, so groups are renamed by their order. A pattern whose classes Java would read
+    differently is printed anew from its syntax tree.
     """
+    if _reads_classes_differently(pattern):
+        try:
+            return dialect.java(pattern)
+        except dialect.Unreadable as error:
+            raise PatternError(str(error)) from None
     out, at, names = [], 0, {}
     for i, token, in_class in _tokens(pattern):
         if i < at:
@@ -209,13 +225,9 @@ def contains_match(content: Column, lower: Column, pattern: str) -> Column:
 
 
 def lint(pattern: str) -> None:
-    """Refuse what Java would read differently."""
-    for i, token, in_class in _tokens(pattern):
-        rest = pattern[i:]
-        if in_class and token == "[":
-            raise PatternError(f"escape the bracket inside a character class: {pattern}")
-        if in_class and re.match(r"&&|--|\|\||~~", rest):
-            raise PatternError(f"set operation inside a character class: {pattern}")
+    """Refuse what has no spelling in Java, and more than one group."""
+    if any(in_class and pattern.startswith("[:", i) for i, _, in_class in _tokens(pattern)):
+        raise PatternError(f"named class inside a character class: {pattern}")
     if group_count(pattern) > 1:
         raise PatternError(f"more than one capturing group: {pattern}")
     translated(pattern)

@@ -120,13 +120,29 @@ def read_plaintext(spark: SparkSession, path: str | list[str], encoding: str = t
     return read_files(spark, path).select("file", text.file_text(F.col("content"), encoding).alias("text"))
 
 
+def read_text_parts(spark: SparkSession, path: str | list[str], encoding: str = text.ENCODING) -> DataFrame:
+    """(file, part, text): the lines of texts of any size, read by many tasks; ``part`` sorts them.
+
+    Files that are the parts of one saved text go by the name of its folder. The encoding must keep ASCII as it is; ``operators.parts`` finds patterns in such rows.
+    """
+    if "\n".encode(encoding) != b"\n":
+        raise ValueError(f"lines can't be told apart in {encoding}; read the whole text")
+    lines = spark.read.text(path).select(
+        saved_name(F.col("_metadata.file_path")).alias("file"),
+        F.struct(
+            F.col("_metadata.file_path").alias("path"),
+            F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("n"),
+        ).alias("part"),
+        text.decode(F.col("value").cast("binary"), encoding).alias("text"),
+    )
+    return lines
+
+
 def read_report(spark: SparkSession, path: str, encoding: str = text.ENCODING) -> DataFrame:
-    """(file, text) of an earlier report, to be tested again.
+    """(file, part, text) of an earlier report, to be tested again with ``parts.extract_parts``.
 
-    A report written here is a directory of part files; in order they are one text, as any other file is. Name UTF-8 to
+    A report written here is a folder of part files; in order their lines are one text, as any other file's are. Name UTF-8 to
     get non-ASCII values back as they were.
     """
-    parts = read_plaintext(spark, path, encoding)
-    ordered = F.sort_array(F.collect_list(F.struct("file", "text")))
-    joined = F.array_join(F.transform(ordered, lambda p: p["text"]), "\n")
-    return parts.groupBy(saved_name(F.col("file")).alias("name")).agg(joined.alias("text")).select(F.col("name").alias("file"), "text")
+    return read_text_parts(spark, path, encoding)

@@ -1,0 +1,118 @@
+"""Patterns over cut texts against the whole text, and the trees behind it."""
+
+import random
+
+import pytest
+import regex
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from pagesift.functions import dialect, patterns
+from pagesift.operators import extract, parts
+from pagesift.sources.templates import entries_of
+
+PART = "struct<path:string,block:long,n:long>"
+
+PATTERNS = [
+    '"([^"]+)"', r"a+b", r"a\s+b", r"\bab\b", r"(?<!a)b", r"b(?=\s*a)", r"b(?!\s)", r"(?s)a.*?b", r"a[^b]*b|ab", r"^a.*$", r"\n", r"[^ab]", r"(?:a\n)+",
+    r"(?<=\n)a", r"\Aa", r"b\Z", r'(["a])b\1', r"(?>a+)\n?b", r"a{2,3}\n", r"(?i:A)\s*?(b+)", r"b$\s^a", r"\w+", r"\S+\s\S+", r"a*\n?b", r"\pLb",
+]
+
+
+def whole_values(spark, texts, template, excludes=()):
+    df = spark.createDataFrame([(f, "".join(line + "\n" for line in lines)) for f, lines in texts.items()], "file string, text string")
+    found = extract.extract_results(df, template, ["file"], excludes, only_matched=True)
+    return {tuple(r) for r in extract.result_values(found, ["file"]).collect()}
+
+
+def cut(spark, texts, draw):
+    """Lines as parts, in blocks and files of part files that end anywhere."""
+    rows = []
+    for file, lines in texts.items():
+        path, block, n = 0, 0, 0
+        for line in lines:
+            path, block = path + draw.choice([0, 0, 0, 1]), block + draw.choice([0, 0, 1])
+            n += 1
+            rows.append((file, (f"{file}/part-{path:04d}", block, n), line))
+    draw.shuffle(rows)
+    return spark.createDataFrame(rows, f"file string, part {PART}, text string")
+
+
+def template_of(chosen):
+    return entries_of({f"k{i}": {"extract": p} for i, p in enumerate(chosen)})
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_values_of_cut_texts(spark, seed):
+    """Texts cut at every line end give what they give whole, for patterns that cross lines and that don't."""
+    draw = random.Random(seed)
+    texts = {f"f{i}": ["".join(draw.choice('aabb" ') for _ in range(draw.choice([0, 1, 2, 6]))) for _ in range(draw.randint(1, 12))] for i in range(60)}
+    rows = cut(spark, texts, draw)
+    single = [p for p in PATTERNS if p != r'(["a])b\1']
+    for chosen in ([p for p in single if not dialect.needs_whole_text(p)], [p for p in single if dialect.needs_whole_text(p)]):
+        got = [tuple(r) for r in parts.extract_parts(rows, template_of(chosen)).collect()]
+        assert len(got) == len(set(got)) and set(got) == whole_values(spark, texts, template_of(chosen))
+
+
+def test_excludes_across_cuts(spark):
+    draw = random.Random(9)
+    texts = {f"f{i}": ["".join(draw.choice('ab" ') for _ in range(draw.choice([0, 1, 3]))) for _ in range(9)] for i in range(40)}
+    rows = cut(spark, texts, draw)
+    for excludes in (["a+"], [r"b\s+a", "a"], ['"[^"]*"'], [r"\s+"]):
+        got = {tuple(r) for r in parts.extract_parts(rows, template_of(['"([^"]+)"', "[ab]+"]), excludes).collect()}
+        assert got == whole_values(spark, texts, template_of(['"([^"]+)"', "[ab]+"]), excludes)
+
+
+def test_only_what_a_match_may_cross_is_joined(spark):
+    """An open quote is joined with the lines up to the one that closes it, and few more; a long one takes few rounds."""
+    lines = ['"one"', "plain", '"two', "lines", 'end"', "x", '"three"'] * 50
+    rows = cut(spark, {"f": lines}, random.Random(1))
+    joined = [r.text for r in parts.joined_parts(rows, ['"([^"]+)"']).orderBy("part").collect()]
+    assert "\n".join(joined) == "\n".join(lines) and len(joined) >= 50
+    assert max(t.count("\n") for t in joined) < 40
+    long = ['"open', *["line"] * 500, 'end"', "x"]
+    joined = [r.text for r in parts.joined_parts(cut(spark, {"f": long}, random.Random(2)), ['"([^"]+)"']).collect()]
+    assert any(t.startswith('"open\n') and 'end"' in t for t in joined)
+    assert parts.joined_parts(rows, ["[a-z]+"]) is rows
+    assert [r.text for r in parts.joined_parts(rows, [r"\Ax"]).collect()] == ["\n".join(lines)]
+    assert parts.extract_parts(rows.limit(0), template_of(['"([^"]+)"', "a"])).collect() == []
+
+
+_SETS = st.lists(
+    st.one_of(st.sampled_from(["&&", "||", "~~", "[", "[a", "&", "|", r"\]", r"\d", r"\s", r"\w", "a-c", "é", " ", "^", r"\-", "{", "(", ".", "$", "#"])), min_size=1, max_size=5
+).map("".join)
+_PIECES = st.one_of(
+    st.tuples(st.sampled_from(["[", "[^", "[]"]), _SETS, st.sampled_from(["]", "]+", "]*?", "]{1,2}"])).map("".join),
+    st.sampled_from(["a", "b+", r"\.", "(?:a|b)", "(?=a)", "(?<!b)", r"\b", "^", "$", "x?", r"(?i:É)", "-"]),
+)
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.lists(_PIECES, min_size=1, max_size=4).map("".join), min_size=20, max_size=20), st.lists(st.text(alphabet="aAbcé[]&|~ .-^{($#\n1", max_size=25), min_size=30, max_size=30))
+def test_printed_patterns_equal_the_library(spark, generated, texts):
+    """Brackets and set signs in classes, printed from the tree, mean what they mean in the library."""
+    usable = []
+    for p in generated:
+        try:
+            patterns.lint(p)
+            usable.append((p, regex.compile(p, regex.I | regex.M), dialect.java(p)))
+        except (regex.error, patterns.PatternError, dialect.Unreadable):
+            continue
+    if not usable:
+        return
+    df = spark.createDataFrame(list(enumerate(texts)), "i INT, t STRING").withColumn("low", F.lower("t"))
+    found = [patterns.find_all(F.col("t"), F.col("low"), p) for p, _, _ in usable]
+    printed = [F.regexp_extract_all("t", F.lit(patterns.FLAGS + j), F.lit(0)) for _, _, j in usable]
+    for r in df.select("i", F.array(*found).alias("found"), F.array(*printed).alias("printed")).collect():
+        for (p, own, _), got, again in zip(usable, r.found, r.printed):
+            want = [m.group() for m in own.finditer(texts[r.i])]
+            # after an empty match the two engines go on at different places
+            if "" not in want:
+                assert got == again == want, p
+
+
+def test_what_has_no_tree_needs_the_whole_text():
+    assert dialect.needs_whole_text(r"\p{L}+") and dialect.crosses_lines(r"\p{L}+")
+    with pytest.raises(dialect.Unreadable):
+        dialect.java(r"(?a)\w")

@@ -171,8 +171,23 @@ def test_searches_saved_per_site_are_read_under_their_names(spark, tmp_path):
     assert files.rejected_results(spark, f"{tmp_path}/*").count() == 0
 
 
-def test_a_report_is_one_text(spark, tmp_path):
-    lines = spark.range(100).selectExpr("concat('line ', id) AS value")
+def test_a_report_is_read_in_parts(spark, tmp_path):
+    """The lines of a folder's part files are one text, in order, whatever blocks they are read in."""
+    lines = spark.range(3000).selectExpr("concat('line é ', lpad(id, 5, '0')) AS value")
     lines.repartitionByRange(4, "value").sortWithinPartitions("value").write.text(str(tmp_path / "r"))
-    rows = files.read_report(spark, str(tmp_path / "r")).collect()
-    assert [(r.file.rsplit("/", 1)[1], r.text) for r in rows] == [("r", "\n".join(sorted(f"line {i}" for i in range(100))))]
+    whole = [f"line é {i:05d}" for i in range(3000)]
+    for size in ("128m", "1000"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            rows = files.read_report(spark, str(tmp_path / "r"), "UTF-8").orderBy("file", "part").collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert {r.file.rsplit("/", 1)[1] for r in rows} == {"r"} and [r.text for r in rows] == whole
+        assert (len({r.part.block for r in rows}) > 1) == (size == "1000")
+
+
+def test_text_parts_are_decoded(spark, tmp_path):
+    write(tmp_path, "a.txt", b"one\r\ntwo\xe9\rthree")
+    assert [r.text for r in files.read_text_parts(spark, str(tmp_path)).orderBy("part").collect()] == ["one", "twoé", "three"]
+    with pytest.raises(ValueError):
+        files.read_text_parts(spark, str(tmp_path), "UTF-16")

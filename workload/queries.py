@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pagesift import schemas
 from pagesift.functions import patterns, text, urls
-from pagesift.operators import distinct, extract, fetch, report, results, search, validate
+from pagesift.operators import distinct, extract, fetch, parts, report, results, search, validate
 from pagesift.operators.distinct import distinct_keep_first
 from pagesift.plans.runs import ExtractRun
 from pagesift.session import materialize
@@ -17,6 +17,7 @@ from pagesift.sinks import writers
 from pagesift.sources import files
 from pagesift.sources.social import social_template
 from pagesift.sources.tables import one_per_url
+from pagesift.sources.templates import entries_of
 from pagesift.sources.templates import read_template as read_template_file
 from pagesift.sources.templates import template_for_stage as stage_template
 from workload import inputs
@@ -467,11 +468,17 @@ def write_report(spark, sf):
     return lines.groupBy("line").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: values between quotes, names with the first line of what they hold, and lines that end a list
+_AGAIN = entries_of(
+    {"address": {"extract": r'https?:\/\/[^" \n]+'}, "opens": {"extract": r'"\w+": [\[{]\s+"[^"]+"'}, "closes": {"extract": r'[^\n"]*"\n +\]'}}
+)
+
+
 @registered
 def read_report(spark, sf):
-    """The written report read back as one text."""
-    texts = files.read_report(spark, f"{_written_report(spark, sf)}/all", "UTF-8")
-    return texts.select(F.length("text").alias("length"), F.md5("text").alias("digest"))
+    """The written report searched again, line by line, where patterns cross lines across its cuts."""
+    found = parts.extract_parts(files.read_report(spark, f"{_written_report(spark, sf)}/all", "UTF-8"), _AGAIN)
+    return found.select("key", "value")
 
 
 @registered
