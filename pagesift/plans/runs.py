@@ -11,12 +11,16 @@ from pyspark.sql import functions as F
 from pagesift import schemas
 from pagesift.functions import urls
 from pagesift.functions.patterns import check_patterns, group_index
-from pagesift.operators import extract, fetch, report, results, search, validate
+from pagesift.operators import extract, fetch, report, results, search, terms, validate
 from pagesift.session import materialize
 from pagesift.sinks import writers
 from pagesift.sources.templates import Template
 
 
+#: prepared queries that become part of the plan
+LISTED_QUERIES = 500
+
+
 @dataclass(frozen=True)
 class SearchRun:
     """``results`` are clean (query, url, pos) rows; ``ignored`` the queries left out."""
@@ -46,21 +50,27 @@ def search_run(
     asof=None,
     months: int = 0,
     ts: str = "ts",
+    listed: int = LISTED_QUERIES,
 ) -> SearchRun:
     """Prepare the queries, search the pages, keep the first results and clean them.
 
-    The prepared queries are a list somebody wrote; they become constants of one scan. What the search found, at most ``limit`` rows
-    per query, is written once, so that saving and counting don't search again.
+    Up to ``LISTED_QUERIES`` prepared queries are a list somebody wrote and become constants of one scan; more stay a table and are
+    searched with an automaton. What the search found, at most ``limit`` rows per query, is written once, so that saving and counting don't search again.
     """
     prepared = search.prepare_queries(queries, site)
     recent = search.recency_filter(pages, ts, asof, months) if months else pages
-    texts = [row.query for row in prepared.orderBy("pos").collect()]
-    if not texts:
+    asked = materialize(prepared, "queries")
+    count = asked.count()
+    if not count:
         raise ValueError("no valid queries")
-    capped = materialize(search.cap_results(search.search_pages(recent, texts, pos), limit), "searched")
+    if count <= listed:
+        found = search.search_pages(recent, [row.query for row in asked.orderBy("pos").collect()], pos)
+    else:
+        found = terms.search_table(recent, asked, pos)
+    capped = materialize(search.cap_results(found, limit), "searched")
     ranked = capped.select("query", "url", F.col("rank").cast("bigint").alias("pos"))
     clean = results.clean_result_urls(ranked, blacklist)
-    return SearchRun(prepared, search.ignored_queries(queries, site), clean)
+    return SearchRun(asked, search.ignored_queries(queries, site), clean)
 
 
 @dataclass(frozen=True)

@@ -1,11 +1,13 @@
+import time
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
-from pagesift.operators import results, search
+from pagesift.operators import results, search, terms
 from pagesift.operators.distinct import deterministic_shuffle, sort_casefold
 from pagesift.plans.runs import search_run
+from pagesift.session import materialize
 
 
 def queries(spark, *texts):
@@ -75,6 +77,53 @@ def test_queries_searched_together_find_what_they_find_alone(spark):
     assert sorted(together) == sorted(alone)
 
 
+ASKED = [
+    "links", "doc", "ext:pdf", "other", "t.me", "-doc OR intitle:links", "site:*.example.com", "OR", "OR doc", "links OR other OR doc", "-intext:\"t.me/\" -ext:pdf",
+    'intext:"links  join"', 'intext:""', '-intext:"parent directory"', "ext:pdf OR ext:docx", "site:example.com -site:*.example.com", "OR OR", "-links -doc", 'a OR OR links',
+    "-links OR -doc", 'INTEXT:"Links" t.me', "-", "intext: doc", "site:", 'doc "doc" doc',
+]
+
+
+@pytest.mark.parametrize("group_terms", [100_000, 3])
+def test_a_table_of_queries_finds_what_a_list_does(spark, group_terms):
+    pages = spark.createDataFrame([*PAGES, (9, None, None)], "page_id BIGINT, url STRING, html STRING")
+    queries = spark.createDataFrame([(q, i) for i, q in enumerate([*ASKED, ASKED[0]])], "query STRING, pos BIGINT")
+    found = terms.search_table(pages, queries, group_terms=group_terms).collect()
+    assert sorted(map(tuple, found), key=str) == sorted(map(tuple, search.search_pages(pages, ASKED).collect()), key=str)
+    assert terms.search_table(pages.limit(0), queries).collect() == []
+    assert terms.search_table(pages, queries.limit(0)).collect() == []
+
+
+def test_runs_with_a_list_and_a_table_agree(spark):
+    pages = spark.createDataFrame(PAGES, "page_id BIGINT, url STRING, html STRING")
+    queries = spark.createDataFrame([(q, i) for i, q in enumerate(ASKED)], "query STRING, pos BIGINT")
+    listed, table = (sorted(map(tuple, search_run(pages, queries, listed=n).results.collect())) for n in (500, 0))
+    assert listed == table and listed
+
+
+def test_a_hundred_thousand_queries(spark):
+    """Each finds its own pages; one word is in a third of the queries, and one on every page."""
+    pages = spark.range(200).selectExpr("id AS page_id", "concat('http://h/', id) AS url", "concat('<p>common word', id, 'x ', id % 7, 'y</p>') AS html")
+    asked = spark.range(100_000).selectExpr("concat('word', id, 'x', CASE WHEN id % 3 = 0 THEN ' common' ELSE '' END) AS query", "id AS pos")
+    found = terms.search_table(pages, asked).collect()
+    assert sorted((r.query, r.pos) for r in found) == sorted((f"word{i}x" + " common" * (i % 3 == 0), i) for i in range(200))
+
+
+def test_time_of_a_page_hardly_grows_with_the_terms(spark):
+    """The automaton reads a page once, whatever the number of terms."""
+    texts = spark.range(400).selectExpr("id AS page_id", "concat('http://h/', id) AS url", "repeat(concat('<p>some text of page ', id, ' and more words</p>'), 200) AS html")
+    prepared = materialize(terms.searchable(texts, "page_id", "url", "html").repartition(4), "searchable")
+    seconds = {}
+    for n in (10, 10_000):
+        listed = [(i, "intext", f"text of page {i} and") for i in range(n)]
+        for _ in range(2):
+            begun = time.perf_counter()
+            hits = terms.held_terms(prepared, listed).selectExpr("sum(size(hits)) AS n").first()["n"]
+            seconds[n] = time.perf_counter() - begun
+        assert hits == min(n, 400)
+    assert seconds[10_000] < 5 * seconds[10] + 2
+
+
 def test_pages_without_content(spark):
     pages = spark.createDataFrame([(1, "http://a.b/x", None), (2, None, "text")], "page_id BIGINT, url STRING, html STRING")
     found = search.search_pages(pages, ["-intitle:x", "-tex", "text", "site:a.b"]).collect()

@@ -100,6 +100,14 @@ def social_texts(spark: SparkSession, sf: str) -> DataFrame:
     return page_texts(spark, sf).withColumn("text", F.concat("text", added))
 
 
+def phrases(spark: SparkSession, sf: str) -> DataFrame:
+    """(query, pos): for each page a query for two words of its visible text, in the text or the title of pages that aren't PDF files."""
+    words = F.regexp_extract_all(text.visible_text(F.lower("html")), F.lit(r"\S+"), F.lit(0))
+    phrase = F.array_join(F.slice(words, 20, 2), " ")
+    found = pages(spark, sf).select(F.col("page_id").alias("pos"), phrase.alias("p")).where((F.col("p") != "") & ~F.contains("p", F.lit('"')))
+    return found.select(F.concat(F.lit('intext:"'), "p", F.lit('" OR intitle:"'), "p", F.lit('" -ext:pdf')).alias("query"), "pos")
+
+
 def pages(spark: SparkSession, sf: str) -> DataFrame:
     return read_pages(spark, f"{sf}/pages.parquet")
 

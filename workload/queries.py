@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pagesift import schemas
 from pagesift.functions import patterns, text, urls
-from pagesift.operators import distinct, extract, fetch, parts, report, results, search, validate
+from pagesift.operators import distinct, extract, fetch, parts, report, results, search, terms, validate
 from pagesift.operators.distinct import distinct_keep_first
 from pagesift.plans.runs import ExtractRun
 from pagesift.session import materialize
@@ -105,6 +105,12 @@ def search_pages(spark, sf):
     return search.search_pages(inputs.pages(spark, sf), inputs.SEARCHES)
 
 
+@registered
+def search_table(spark, sf):
+    """A query for a phrase of every page, searched as a table of queries."""
+    return terms.search_table(inputs.pages(spark, sf), inputs.phrases(spark, sf))
+
+
 @registered
 def recency_filter(spark, sf):
     events = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "ts")
