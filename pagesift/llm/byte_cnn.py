@@ -85,6 +85,27 @@ def window_scores(net: Network, windows: np.ndarray, most: int = 64) -> np.ndarr
     return np.concatenate(parts)
 
 
+def gradients(p: list[np.ndarray], mask: np.ndarray, windows: np.ndarray, y: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
+    """Of the mean weighted cross-entropy, by embedding, filters, bias, output weights and output bias; ``mask`` holds the narrow filters' widths."""
+    x = _patches(p[0], windows)
+    n, places, k = x.shape
+    total = p[1].shape[1]
+    made = (x.reshape(-1, k) @ p[1]).reshape(n, places, total)
+    where = made.argmax(axis=1)
+    top = np.take_along_axis(made, where[:, None, :], 1)[:, 0] + p[2]
+    active = np.maximum(top, 0)
+    g = _softmax(active @ p[3] + p[4])
+    g[np.arange(n), y] -= 1
+    g *= weight[:, None] / n
+    back = (g @ p[3].T) * (top > 0)
+    chosen = np.take_along_axis(x, where[:, :, None], 1)
+    d_patch = (back[:, :, None] * p[1].T[None]).reshape(n, total, _WIDEST, EMBEDDING)
+    seen = np.take_along_axis(windows[:, None, :], where[:, :, None] + np.arange(_WIDEST), 2)
+    d_embedding = np.zeros_like(p[0])
+    np.add.at(d_embedding, seen.reshape(-1), d_patch.reshape(-1, EMBEDDING))
+    return [d_embedding, np.einsum("bfk,bf->kf", chosen, back) * mask, back.sum(0), active.T @ g, g.sum(0)]
+
+
 def train(windows: np.ndarray, labels: list[str], seed: int = 7) -> Network | None:
     """Fit by Adam on the cross-entropy, each language weighing alike; None without labels."""
     if not labels:
@@ -112,22 +133,7 @@ def train(windows: np.ndarray, labels: list[str], seed: int = 7) -> Network | No
         order = rng.permutation(len(y))
         for at in range(0, len(y), BATCH):
             pick = order[at : at + BATCH]
-            x = _patches(p[0], windows[pick])
-            n, places, k = x.shape
-            made = (x.reshape(-1, k) @ p[1]).reshape(n, places, total)
-            where = made.argmax(axis=1)
-            top = np.take_along_axis(made, where[:, None, :], 1)[:, 0] + p[2]
-            active = np.maximum(top, 0)
-            g = _softmax(active @ p[3] + p[4])
-            g[np.arange(n), y[pick]] -= 1
-            g *= weight[pick, None] / n
-            back = (g @ p[3].T) * (top > 0)
-            chosen = np.take_along_axis(x, where[:, :, None], 1)
-            d_patch = (back[:, :, None] * p[1].T[None]).reshape(n, total, _WIDEST, EMBEDDING)
-            seen = np.take_along_axis(windows[pick][:, None, :], where[:, :, None] + np.arange(_WIDEST), 2)
-            d_embedding = np.zeros_like(p[0])
-            np.add.at(d_embedding, seen.reshape(-1), d_patch.reshape(-1, EMBEDDING))
-            grads = [d_embedding, np.einsum("bfk,bf->kf", chosen, back) * mask, back.sum(0), active.T @ g, g.sum(0)]
+            grads = gradients(p, mask, windows[pick], y[pick], weight[pick])
             step += 1
             rate = 0.01 * (1 - 0.9 * epoch / EPOCHS) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
             for v, m, s, d in zip(p, first, second, grads):
