@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,9 +30,24 @@ def file_text(content: Column, encoding: str = ENCODING) -> Column:
     return strip(F.regexp_replace(decode(content, encoding), r"\r\n?", "\n"))
 
 
+@cache
+def foldings() -> tuple[str, str, dict[str, str]]:
+    """Characters that full case folding turns into one other, those others, and what becomes of the rest that it changes."""
+    changed = {c: c.casefold() for c in map(chr, [*range(0xD800), *range(0xE000, 0x110000)]) if c != c.casefold()}
+    single = [(c, f) for c, f in changed.items() if len(f) == 1]
+    return "".join(c for c, _ in single), "".join(f for _, f in single), {c: f for c, f in changed.items() if len(f) > 1}
+
+
 def casefold_key(text: Column) -> Column:
-    """Sort key of the case-insensitive order; use the text itself to break ties."""
-    return F.lower(text)
+    """Sort key of the case-insensitive order, by full case folding: ``ß`` is ``ss``. Use the text itself to break ties.
+
+    ASCII text, told by its length in bytes, is put in lower case only.
+    """
+    given, folded, longer = foldings()
+    expanded = F.create_map(*[F.lit(x) for pair in longer.items() for x in pair])
+    letters = F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(expanded, c), c))
+    whole = F.when(text.rlike(f"[{''.join(longer)}]"), F.array_join(letters, "")).otherwise(text)
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(whole, given, folded))
 
 
 def casefold_order(text: Column) -> list[Column]:

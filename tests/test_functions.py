@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagesift.functions import text, urls
+from pagesift.operators.distinct import sort_casefold
 
 
 def column(spark, values, function):
@@ -118,3 +119,15 @@ def test_canonical(spark):
 def test_strip_text_fragment(spark):
     values = ["http://h/#:~:text=a#:~:text=b", "http://h/#x"]
     assert column(spark, values, urls.strip_text_fragment) == ["http://h/", "http://h/#x"]
+
+
+def test_full_case_folding(spark):
+    """The key of every character, and of texts with folded ones, is Python's; so the order is."""
+    characters = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (chr(c) != chr(c).casefold() or c < 0x250)]
+    values = characters + [f"a{c}B" for c in characters[::7]] + ["", "STRASSE", "straße", "STRAẞE", "ﬁn", "FIN", "İ", "i̇", "ΌΣΟΣ", "όσος", "😀É"]
+    df = spark.createDataFrame([(v,) for v in values], "v STRING")
+    assert all(r.key == r.v.casefold() for r in df.select("v", text.casefold_key(F.col("v")).alias("key")).collect())
+    assert [r.v for r in sort_casefold(df, "v").collect()] == sorted(values, key=lambda v: (v.casefold(), v))
+    arrays = df.groupBy().agg(F.collect_list("v").alias("all")).select(text.sorted_distinct(F.col("all")).alias("sorted"))
+    folded = [v.casefold() for v in arrays.first()["sorted"]]
+    assert folded == sorted(folded) and len(folded) == len(set(values))

@@ -71,7 +71,7 @@ TEXT_TEMPLATE_JSON = json.dumps(
 
 #: patterns that pass the check, and some that must not
 CANDIDATES = (
-    "<h1>", r"\x3ch1\x3e[A-Z]", r"\p{Lu}[a-z]+!", "(a)(b)", "[[:alpha:]]", r"(?P<one_word>the) (?:end|\x74he)", "(a", r"</html>\s*\Z", "[a&&b]",
+    "<h1>", r"\x3ch1\x3e[A-Z]", r"\p{Lu}[a-z]+!", "(a)(b)", "[[:alpha:]]", r"(?P<one_word>the) (?:end|\x74he)", "(a", r"</html>\s*\Z", "[a&&b]", "[[<]h1[>||~]",
 )
 
 EXCLUDES = ('<a href="/[^"]*">d[^<]*</a>', "<!--[^>]*-->")
