@@ -8,8 +8,9 @@ ends a line). Classes that Java would read in another way are printed anew (``di
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -202,6 +203,32 @@ def with_leading_check(pattern: str) -> str:
     return f"(?={re.sub(r'([^A-Za-z0-9])', r'\\\1', leading)}){pattern}"
 
 
+def held_words(lower: Column, words: Sequence[str]) -> Column:
+    """The numbers of the words that a text contains, found in one pass by one automaton, however many words there are.
+
+    Texts go to Python workers in Arrow batches; only the numbers come back.
+    """
+
+    @F.pandas_udf("array<int>")
+    def find(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import ahocorasick
+        import pandas
+
+        automaton = ahocorasick.Automaton()
+        for number, word in enumerate(words):
+            automaton.add_word(word, number)
+        automaton.make_automaton()
+        for batch in texts:
+            yield pandas.Series([sorted({n for _, n in automaton.iter(t)}) if t else [] for t in batch])
+
+    return find(lower)
+
+
+def required_words(patterns: Iterable[str]) -> list[str]:
+    """The literal texts that matches of the patterns must contain, without repeats."""
+    return sorted({literals(p)[1] for p in patterns} - {""})
+
+
 def find_all(content: Column, lower: Column, pattern: str) -> Column:
     """All matches of a pattern, in order: the only group of each, or the whole of it.
 

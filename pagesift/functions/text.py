@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import cache
 
 from pyspark.sql import Column
@@ -44,7 +45,7 @@ def casefold_key(text: Column) -> Column:
     ASCII text, told by its length in bytes, is put in lower case only.
     """
     given, folded, longer = foldings()
-    expanded = F.create_map(*[F.lit(x) for pair in longer.items() for x in pair])
+    expanded = F.from_json(F.lit(json.dumps(longer)), "map<string,string>")
     letters = F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(expanded, c), c))
     whole = F.when(text.rlike(f"[{''.join(longer)}]"), F.array_join(letters, "")).otherwise(text)
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(whole, given, folded))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from functools import reduce
 
@@ -27,9 +28,43 @@ def exclude_content(df: DataFrame, excludes: Sequence[str], column: str = "text"
 _LOWER = "lower_text"
 
 
-def _with_lower(df: DataFrame, column: str) -> DataFrame:
-    """Add the lower-case text, computed once for all patterns."""
-    return df.withColumn(_LOWER, F.lower(column))
+_HELD = "held_words"
+
+#: patterns that become expressions of their own; more are data of one expression
+MANY_PATTERNS = 64
+
+_PLANNED = "array<struct<key string, ord int, pattern string, idx int, word int, prepend string, append string>>"
+
+
+def _searched(df: DataFrame, column: str, entries: Sequence[Entry], many: int) -> DataFrame:
+    """``df`` with the lower-case text, computed once for all patterns, or, for many patterns, with the numbers of the required texts that it holds."""
+    lowered = df.withColumn(_LOWER, F.lower(column))
+    if len(entries) <= many:
+        return lowered
+    return lowered.withColumn(_HELD, patterns.held_words(F.col(_LOWER), patterns.required_words(e.extract for e in entries)))
+
+
+def _possible(entries: Sequence[Entry]) -> Column:
+    """The entries, as structs, whose required text is among those held; their patterns alone are compiled for a text."""
+    numbers = {word: i for i, word in enumerate(patterns.required_words(e.extract for e in entries))}
+    rows = [
+        {
+            "key": e.key,
+            "ord": e.ord,
+            "pattern": patterns.flagged(patterns.with_leading_check(e.extract)),
+            "idx": patterns.group_index(e.extract),
+            "word": numbers.get(patterns.literals(e.extract)[1]),
+            "prepend": e.extract_prepend or "",
+            "append": e.extract_append or "",
+        }
+        for e in entries
+    ]
+    planned = F.from_json(F.lit(json.dumps(rows)), _PLANNED)
+    return F.filter(planned, lambda p: p["word"].isNull() | F.array_contains(_HELD, p["word"]))
+
+
+def _found(content: Column, entry: Column) -> Column:
+    return F.regexp_extract_all(content, entry["pattern"], entry["idx"])
 
 
 def decorate(value: Column, entry: Entry) -> Column:
@@ -39,31 +74,36 @@ def decorate(value: Column, entry: Entry) -> Column:
     return F.concat(F.lit(entry.extract_prepend), value, F.lit(entry.extract_append))
 
 
-def extract_matches(df: DataFrame, template: Template, ids: Sequence[str], column: str = "text") -> DataFrame:
+def extract_matches(df: DataFrame, template: Template, ids: Sequence[str], column: str = "text", many: int = MANY_PATTERNS) -> DataFrame:
     """(ids…, key, ord, pos, value): every match of every entry, as found."""
 
-    def rows(entry: Entry) -> Column:
-        return F.transform(
-            patterns.find_all(F.col(column), F.col(_LOWER), entry.extract),
-            lambda v, i: F.struct(
-                F.lit(entry.key).alias("key"), F.lit(entry.ord).alias("ord"), i.alias("pos"), v.alias("value")
-            ),
-        )
+    def rows(found: Column, key: Column, ord: Column) -> Column:
+        return F.transform(found, lambda v, i: F.struct(key.alias("key"), ord.alias("ord"), i.alias("pos"), v.alias("value")))
 
     entries = template_for_stage(template, schemas.EXTRACTION)
-    searched = _with_lower(df.select(*ids, column), column)
-    return searched.select(*ids, F.inline(F.flatten(F.array(*[rows(e) for e in entries]))))
+    searched, content = _searched(df.select(*ids, column), column, entries, many), F.col(column)
+    if len(entries) > many:
+        each = F.transform(_possible(entries), lambda p: rows(_found(content, p), p["key"], p["ord"]))
+    else:
+        each = F.array(*[rows(patterns.find_all(content, F.col(_LOWER), e.extract), F.lit(e.key), F.lit(e.ord)) for e in entries])
+    return searched.select(*ids, F.inline(F.flatten(each)))
 
 
-def results_map(content: Column, lower: Column, template: Template) -> Column:
+def results_map(content: Column, lower: Column, entries: Sequence[Entry], many: int = MANY_PATTERNS) -> Column:
     """Map of key to its decorated values, distinct and in order. Keys without a match are absent."""
 
     def values(entry: Entry) -> Column:
         found = patterns.find_all(content, lower, entry.extract)
         return text.sorted_distinct(F.transform(found, lambda v: decorate(v, entry)))
 
-    entries = template_for_stage(template, schemas.EXTRACTION)
-    by_key = F.array(*[F.struct(F.lit(e.key).alias("key"), values(e).alias("values")) for e in entries])
+    def planned(p: Column) -> Column:
+        found = F.transform(_found(content, p), lambda v: F.concat(p["prepend"], v, p["append"]))
+        return F.struct(p["key"].alias("key"), text.sorted_distinct(found).alias("values"))
+
+    if len(entries) > many:
+        by_key = F.transform(_possible(entries), planned)
+    else:
+        by_key = F.array(*[F.struct(F.lit(e.key).alias("key"), values(e).alias("values")) for e in entries])
     return F.map_from_entries(F.filter(by_key, lambda e: F.size(e["values"]) > 0))
 
 
@@ -74,14 +114,16 @@ def extract_results(
     excludes: Sequence[str] = (),
     column: str = "text",
     only_matched: bool = False,
+    many: int = MANY_PATTERNS,
 ) -> DataFrame:
     """(ids…, results): one row per input row, or per row with a match, without a shuffle.
 
     The map leaves through a generator. Behind a plain projection Spark would push filters on it
     below the projection and so run every pattern once more per filter.
     """
-    cleaned = _with_lower(exclude_content(df.select(*ids, column), excludes, column), column)
-    rows = F.array(F.struct(results_map(F.col(column), F.col(_LOWER), template).alias("results")))
+    entries = template_for_stage(template, schemas.EXTRACTION)
+    cleaned = _searched(exclude_content(df.select(*ids, column), excludes, column), column, entries, many)
+    rows = F.array(F.struct(results_map(F.col(column), F.col(_LOWER), entries, many).alias("results")))
     if only_matched:
         rows = F.filter(rows, lambda row: F.size(row["results"]) > 0)
     return cleaned.select(*ids, F.inline(rows))

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from pagesift.functions import patterns
 from pagesift.functions.patterns import PatternError
-from pagesift.operators.extract import extract_matches
+from pagesift.operators.extract import extract_matches, extract_results
 from pagesift.sources.social import social_template
+from pagesift.sources.templates import entries_of
 
 SAMPLE = """<a href="https://t.me/share/url?x">s</a> https://T.ME/JohnDoe. <a href="https://t.me/share"> t.me/sharex
 discord.gg/invite/abc discord.com/invite/Zed. youtube.com/c/foo youtube.com/channel/UC1
@@ -149,3 +150,19 @@ def test_dialect_equals_the_python_module(spark):
     for pattern in (r"^\w+", r"\w$", r"[é]", r".+", r"\d+", r"\bx", r"(\w)\s"):
         expected = [regex.findall(pattern, t, flags=regex.MULTILINE | regex.IGNORECASE) for t in texts]
         assert _all_matches(spark, pattern, texts) == expected, pattern
+
+
+def test_many_patterns_share_one_automaton(spark):
+    """Five hundred patterns find the same with a test of each literal, with one automaton, and with no shortcut but the pattern; literals overlap."""
+    words = [f"w{i}.com" for i in range(0, 480)] + ["com/w", ".com", "w1", "1.com/", "om"] + [f"x{i}" for i in range(14)]
+    template = entries_of({f"k{i}": {"extract": rf"{w.replace('.', chr(92) + '.')}\/?\d*"} for i, w in enumerate(words)} | {"any": {"extract": r"\d+"}})
+    texts = [(i, f"see W{i * 7}.COM/{i} or w{i}.com/12 x{i % 30} com/w{i}") for i in range(60)] + [(100, ""), (101, None), (102, "w1.com")]
+    df = spark.createDataFrame(texts, "i INT, text STRING")
+    one, each = (sorted(map(tuple, extract_matches(df, template, ["i"], many=n).collect())) for n in (0, 10_000))
+    assert one == each and len(one) > 300
+    plain = F.regexp_extract_all("text", F.lit(patterns.flagged(r"w1\.com\/?\d*")), F.lit(0))
+    assert [r.value for r in extract_matches(df, template, ["i"], many=0).where("key = 'k1'").orderBy("i").collect()] == [
+        v for r in df.select("i", plain.alias("v")).orderBy("i").collect() for v in r.v or []
+    ]
+    whole, alone = (sorted((r.i, sorted(r.results.items())) for r in extract_results(df, template, ["i"], ["see"], many=n).collect()) for n in (0, 10_000))
+    assert whole == alone

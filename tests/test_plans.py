@@ -114,4 +114,6 @@ def test_no_machine_local_cut_of_lineage():
     for path in (Path(entry_module.__file__).parent / "pagesift").rglob("*.py"):
         source = path.read_text()
         assert "localCheckpoint" not in source, path
-        assert ".toPandas(" not in source and "udf" not in source.lower().replace("stand", ""), path
+        # one Arrow-batched function, the automaton of many required texts; no row-at-a-time one
+        batched = source.count("pandas_udf") if path.name == "patterns.py" else 0
+        assert ".toPandas(" not in source and source.lower().replace("stand", "").count("udf") == batched <= 1, path
