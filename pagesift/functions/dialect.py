@@ -24,7 +24,7 @@ _CATEGORIES = {
     sre.CATEGORY_NOT_WORD: r"\W",
 }
 _PLACES = {
-    sre.AT_BEGINNING: "^",
+    sre.AT_BEGINNING: r"(?<![^\n])",  # also behind the last line break, where Java's own sign doesn't match
     sre.AT_END: "$",
     sre.AT_BEGINNING_STRING: r"\A",
     sre.AT_END_STRING: r"\z",
