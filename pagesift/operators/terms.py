@@ -24,6 +24,8 @@ from pagesift.session import materialize
 GROUP_TERMS = 100_000
 #: queries without a leading clause that meet a page in one row
 OPEN_QUERIES = 1_000
+#: pages that a worker unpacks at a time
+SLICE_ROWS = 32
 #: fixed value: the parts of a query; a term is a sign, an operator and a word
 _TOKEN = r'-?(?:(?:intext|intitle|ext|site):)?(?:"[^"]*"|\S+)'
 _TERM = r'(?iU)\A(-?)(?:(intext|intitle|ext|site):)?("[^"]*"|\S+)\z'
@@ -78,6 +80,8 @@ def searchable(pages: DataFrame, pos: str, url: str, html: str) -> DataFrame:
 def held_terms(prepared: DataFrame, terms: list[tuple[int, str, str]]) -> DataFrame:
     """(pos, url, hits): the numbers of the terms (number, kind, word) that each page of ``searchable`` holds, ascending."""
 
+    slice_rows = SLICE_ROWS
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
         import pyarrow
@@ -98,9 +102,9 @@ def held_terms(prepared: DataFrame, terms: list[tuple[int, str, str]]) -> DataFr
         automaton.make_automaton()
         fields = {"t_url": ("any",), "t_title": ("any", "intitle"), "t_text": ("any", "intext")}
         for batch in batches:
-            rows = batch.to_pylist()
             hits = []
-            for row in rows:
+            # few pages at a time become Python objects
+            for row in (row for at in range(0, batch.num_rows, slice_rows) for row in batch.slice(at, slice_rows).to_pylist()):
                 found = set(always)
                 for name, kinds in fields.items():
                     if words and row[name]:

@@ -15,6 +15,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # pages are long; this many go to a Python worker at a time
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
 }
 
 
