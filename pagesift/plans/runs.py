@@ -18,7 +18,7 @@ from pagesift.sources.templates import Template
 
 
 #: prepared queries that become part of the plan
-LISTED_QUERIES = 500
+LISTED_QUERIES = 100
 
 
 @dataclass(frozen=True)
