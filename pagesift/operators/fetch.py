@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +44,50 @@ def content() -> Column:
 BROADCAST_BYTES = 64 * 1024 * 1024
 
 
+#: bits of one block of a URL filter, which a URL has all its bits in
+BLOCK_BITS = 32768
+
+#: bits per URL that a filter has at least, and more than which it never has
+LEAST_BITS, MOST_BITS = 2, 16
+
+
+def url_filter(wanted: DataFrame, key: str, n: int, max_bytes: int = BROADCAST_BYTES) -> tuple[DataFrame, int, int] | None:
+    """A Bloom filter of ``n`` keys in ``max_bytes``: its rows (block, bits), its blocks and bits per key; none if it would let most keys through.
+
+    It is a table made by ``bitmap_construct_agg``: a row per block of 4 KB. Only numbers of 8 bytes are shuffled for it, once to make
+    them distinct and once to bring a block together.
+    """
+    per_key = min(MOST_BITS, 8 * max_bytes // max(n, 1))
+    if per_key < LEAST_BITS:
+        return None
+    blocks = max(1, min(n * per_key // BLOCK_BITS + 1, 8 * max_bytes // BLOCK_BITS))
+    tests = max(1, round(per_key * 0.7))
+    hashes = wanted.where(F.col(key).isNotNull()).select(F.xxhash64(key).alias("h")).distinct()
+    placed = hashes.select(_block(F.col("h"), blocks).alias("block"), "h").repartition("block")
+    bits = placed.select("block", F.explode(F.array(*_places(F.col("h"), tests))).alias("bit"))
+    return bits.groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bits")), blocks, tests
+
+
+def _block(h: Column, blocks: int) -> Column:
+    return F.pmod(F.xxhash64(h, F.lit("block")), F.lit(blocks))
+
+
+def _places(h: Column, tests: int) -> list[Column]:
+    """The bits of a key within its block: steps of an odd width from a start."""
+    start, step = F.pmod(F.xxhash64(h, F.lit("start")), F.lit(BLOCK_BITS)), F.pmod(F.xxhash64(h, F.lit("step")), F.lit(BLOCK_BITS // 2)) * 2 + 1
+    return [F.pmod(start + step * i, F.lit(BLOCK_BITS)) for i in range(tests)]
+
+
+def _may_be_in(bits: Column, h: Column, tests: int) -> Column:
+    """Are all bits of the key set?"""
+
+    def is_set(place: Column) -> Column:
+        byte = F.conv(F.hex(F.substring(bits, F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        return byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), (place % 8).cast("int") + 1)) != 0
+
+    return reduce(and_, [is_set(place) for place in _places(h, tests)])
+
+
 def only_wanted(
     responses: DataFrame, wanted: DataFrame, max_bytes: int = BROADCAST_BYTES, key: str = "url", with_columns: tuple[str, ...] = ()
 ) -> DataFrame:
@@ -48,7 +95,8 @@ def only_wanted(
 
     ``wanted`` is measured. A small one is broadcast, so the content of other pages is not looked
     at; ``with_columns`` come along, one row per key. A larger one is broadcast as hashes of 8 bytes, as long as these stay within
-    ``max_bytes``: a page let through by chance falls out in the later join. Beyond that all responses stay: sending page
+    ``max_bytes``: a page let through by chance falls out in the later join. So it does behind a Bloom filter of that size, which a still longer list
+    becomes (64 MB hold 100 million URLs and let a tenth of the other pages through). Beyond two bits per URL all responses stay: sending page
     bodies through a shuffle would cost more than looking at them where they are. Without the columns, they are null.
     """
     n, size = wanted.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(key)), F.lit(0))).first()
@@ -59,6 +107,12 @@ def only_wanted(
     if 8 * n <= max_bytes:
         hashes = F.broadcast(wanted.select(F.xxhash64(key).alias("hash")).distinct())
         responses = responses.withColumn("hash", F.xxhash64(key)).join(hashes, "hash", "left_semi").drop("hash")
+    elif made := url_filter(wanted, key, n, max_bytes):
+        held, blocks, tests = made
+        h = F.xxhash64(key)
+        keyed = responses.withColumns({"wanted_hash": h, "block": _block(h, blocks)})
+        meets = (keyed["block"] == held["block"]) & _may_be_in(held["bits"], keyed["wanted_hash"], tests)
+        responses = keyed.join(F.broadcast(held), meets, "left_semi").drop("wanted_hash", "block")
     return responses.withColumns({c: F.lit(None).cast(wanted.schema[c].dataType) for c in with_columns})
 
 

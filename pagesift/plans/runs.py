@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +12,7 @@ from pagesift import schemas
 from pagesift.functions import urls
 from pagesift.functions.patterns import check_patterns, group_index
 from pagesift.operators import extract, fetch, report, results, search, terms, validate
-from pagesift.session import materialize
+from pagesift.session import materialize, materialize_counted
 from pagesift.sinks import writers
 from pagesift.sources.templates import Template
 
@@ -85,6 +85,8 @@ class ExtractRun:
     extraction: DataFrame
     validation: DataFrame
     files: DataFrame | None = None
+    #: by stage and outcome, as counted while the tables were written
+    counts: dict[str, dict[str, int]] = field(default_factory=dict)
 
     @property
     def page(self) -> str:
@@ -94,6 +96,13 @@ class ExtractRun:
         first = self.extraction.select(F.col(self.page).alias("url"), "outcome")
         return fetch.stage_outcomes(first, self.validation)
 
+    def status_counts(self) -> DataFrame:
+        """(stage, outcome, n): how many URLs ended how. A run has counted them already; a hand-made one counts now."""
+        if not self.counts:
+            return fetch.status_counts(self.outcomes())
+        rows = [(stage, kind, n) for stage, by_kind in self.counts.items() for kind, n in by_kind.items() if n]
+        return self.extraction.sparkSession.createDataFrame(rows, "stage STRING, outcome STRING, n BIGINT")
+
     def report(self, started_at: str = "", ended_at: str = "") -> DataFrame:
         items = materialize(report.report_items(self.extraction, self.validation, self.page), "items")
         return report.report_lines(items, started_at, ended_at, page=self.page)
@@ -129,10 +138,9 @@ def extract_run(
     """
     _check(responses, template, excludes)
     files = materialize(results.fetch_dedup(result_rows.select("url", "file").distinct()), "files")
-    extraction = materialize(
-        extract.extract_pages(files, responses, template, excludes, order_by), "extraction"
-    )
-    return ExtractRun(template, extraction, _validation(extraction, responses, template, per_key, order_by), files)
+    extraction, first = _counted(extract.extract_pages(files, responses, template, excludes, order_by), schemas.EXTRACTION)
+    validation, second = _validation(extraction, responses, template, per_key, order_by)
+    return ExtractRun(template, extraction, validation, files, {**first, **second})
 
 
 def plaintext_run(
@@ -146,8 +154,9 @@ def plaintext_run(
     """Extract from texts (file, text), then validate the values."""
     _check(texts, template, excludes)
     found = extract.extract_plaintext(texts, template, excludes)
-    extraction = materialize(found.withColumn("outcome", F.lit(schemas.SUCCESS)), "extraction")
-    return ExtractRun(template, extraction, _validation(extraction, responses, template, per_key, order_by))
+    extraction, first = _counted(found.withColumn("outcome", F.lit(schemas.SUCCESS)), schemas.EXTRACTION)
+    validation, second = _validation(extraction, responses, template, per_key, order_by)
+    return ExtractRun(template, extraction, validation, counts={**first, **second})
 
 
 def _check(df: DataFrame, template: Template, excludes: Sequence[str]) -> None:
@@ -158,9 +167,14 @@ def _check(df: DataFrame, template: Template, excludes: Sequence[str]) -> None:
         group_index(entry.extract)
 
 
+def _counted(outcomes: DataFrame, stage: str) -> tuple[DataFrame, dict[str, dict[str, int]]]:
+    """A written stage, and how many of its rows ended how."""
+    kinds = (schemas.SUCCESS, schemas.NO_MATCH, schemas.ERROR)
+    table, counts = materialize_counted(outcomes, stage, **{kind: F.count_if(F.col("outcome") == kind) for kind in kinds})
+    return table, {stage: counts}
+
+
 def _validation(
     extraction: DataFrame, responses: DataFrame, template: Template, per_key: bool, order_by: str | None
-) -> DataFrame:
-    return materialize(
-        validate.validate_urls(extraction, responses, template, per_key, order_by), "validation"
-    )
+) -> tuple[DataFrame, dict[str, dict[str, int]]]:
+    return _counted(validate.validate_urls(extraction, responses, template, per_key, order_by), schemas.VALIDATION)

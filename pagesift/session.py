@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 #: settings the plans are written for; pass them to ``SparkSession.builder.config(map=SETTINGS)``
 SETTINGS = {
@@ -58,6 +58,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def materialize_counted(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, dict[str, int]]:
+    """``materialize``, and metrics of the rows taken while they were written, so that counting does not read them again.
+
+    They are observed by the tasks that write, whose results count once, also where a task is run again.
+    """
+    seen = Observation(name)
+    table = materialize(df.observe(seen, *[metric.alias(n) for n, metric in metrics.items()]), name)
+    return table, {n: seen.get.get(n) or 0 for n in metrics}
+
+
 @contextmanager
 def stage_tables(spark: SparkSession) -> Iterator[None]:
     """Delete the tables that were written meanwhile, once what was made of them is saved.

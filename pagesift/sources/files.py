@@ -67,7 +67,7 @@ def parse_result_files(files: DataFrame, encoding: str = text.ENCODING) -> DataF
     return parsed.select("file", F.when(F.col("read.bad").isNull() & ~bad, F.col("read.entries")).alias("entries"))
 
 
-def _flat(entries: DataFrame, entry: Column, order: list[Column]) -> DataFrame:
+def flat_rows(entries: DataFrame, entry: Column, order: list[Column]) -> DataFrame:
     """(query, url, pos, file): one row per URL of an entry; entries without URLs give none."""
     urls = entries.select(
         "file",
@@ -89,7 +89,7 @@ def flatten_results(parsed: DataFrame) -> DataFrame:
     entries = parsed.where(F.col("entries").isNotNull()).select("file", F.posexplode("entries").alias("e", "entry"))
     # an entry holds fewer than 2^31 URLs, so the offset keeps the order across entries, or across the rows of a long list
     offset = F.shiftleft(F.coalesce(F.col("entry.chunk"), F.col("e").cast("bigint")), 31)
-    return _flat(entries, F.col("entry"), [offset.alias("n")])
+    return flat_rows(entries, F.col("entry"), [offset.alias("n")])
 
 
 def rejected_results(spark: SparkSession, path: str | list[str], skip_reports: bool = True) -> DataFrame:
@@ -112,7 +112,7 @@ def read_result_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Flat result rows of searches saved by ``write_results``, each under the name of its folder; ``chunk`` orders its lines."""
     lines = spark.read.schema(f"{schemas.RESULTS_LINE}, chunk BIGINT").json(path)
     lines = lines.withColumn("file", saved_name(F.col("_metadata.file_path")))
-    return _flat(lines, F.struct("query", "urls"), [F.shiftleft("chunk", 31).alias("n")])
+    return flat_rows(lines, F.struct("query", "urls"), [F.shiftleft("chunk", 31).alias("n")])
 
 
 def read_plaintext(spark: SparkSession, path: str | list[str], encoding: str = text.ENCODING) -> DataFrame:

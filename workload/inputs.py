@@ -8,7 +8,7 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagesift.functions import text
@@ -261,6 +261,25 @@ def saved_searches(spark: SparkSession, sf: str) -> str:
     return folder
 
 
+def result_arrays(spark: SparkSession, sf: str) -> str:
+    """A folder with a JSON array per thousand pages: a raw result each element, with a field that no reader knows and that holds brackets."""
+    folder = written(raw_results(spark, sf), "arrays")
+    rows = raw_results(spark, sf).withColumn("part", F.floor(F.col("pos") / 10_000))
+    odd = F.struct(F.lit('}]{"\\').alias("a"), F.array(F.struct("pos")).alias("b"))
+    order, whole = Window.partitionBy("part").orderBy("pos"), Window.partitionBy("part")
+    lines = rows.withColumns({"i": F.row_number().over(order), "rows": F.count(F.lit(1)).over(whole)}).select(
+        "part",
+        "pos",
+        F.concat(
+            F.when(F.col("i") == 1, "[").otherwise(","),
+            F.to_json(F.struct(odd.alias("odd"), "query", F.array("url").alias("urls"))),
+            F.when(F.col("i") == F.col("rows"), "]").otherwise(""),
+        ).alias("line"),
+    )
+    lines.repartition("part").sortWithinPartitions("part", "pos").select("part", "line").write.partitionBy("part").text(folder)
+    return folder
+
+
 def text_file(spark: SparkSession, name: str, text_: str) -> str:
     """A file in the shared folder with this text, in one part."""
     df = spark.createDataFrame([(text_,)], "value STRING").coalesce(1)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,12 +15,13 @@ from pagesift.operators.distinct import distinct_keep_first
 from pagesift.plans.runs import ExtractRun
 from pagesift.session import materialize
 from pagesift.sinks import writers
-from pagesift.sources import files
+from pagesift.sources import arrays, files, store
 from pagesift.sources.social import social_template
 from pagesift.sources.tables import one_per_url
 from pagesift.sources.templates import entries_of
 from pagesift.sources.templates import read_template as read_template_file
 from pagesift.sources.templates import template_for_stage as stage_template
+from pagesift.streaming.results import first_results, follow, saved_changes, stream_results
 from workload import inputs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -122,6 +124,16 @@ def cap_results(spark, sf):
     return search.cap_results(inputs.results(spark, sf), 20).select("query", "url", "rank")
 
 
+@registered
+def follow_results(spark, sf):
+    """Saved searches followed a few files at a time: the first 20 results of each query."""
+    searches = inputs.saved_searches(spark, sf)
+    rows = stream_results(spark, f"{searches}/*", max_files=4, encoding="UTF-8")
+    folder = inputs.written(rows, "followed")
+    follow(first_results(rows, 20), folder, f"{folder}-checkpoint").awaitTermination()
+    return search.cap_results(saved_changes(spark, folder, "query", "url", "pos"), 20).select("query", "url", "rank")
+
+
 @registered
 def page_number(spark, sf):
     """The result page of every result of every query."""
@@ -237,6 +249,15 @@ def attach_responses(spark, sf):
     return fetched.select("url", "status", F.length("text").alias("length"))
 
 
+@registered
+def attach_stored(spark, sf):
+    """Responses from a bucketed store, which keeps the latest of each request."""
+    path = inputs.written(inputs.pages(spark, sf), "store")
+    kept = store.write_store(inputs.responses(spark, sf), f"store_{uuid.uuid4().hex}", path, 8, order_by="fetched_at")
+    fetched = store.attach_stored(inputs.pages(spark, sf).select("url"), kept)
+    return fetched.select("url", "status", F.length("text").alias("length"))
+
+
 @registered
 def classify_response(spark, sf):
     pages = inputs.pages(spark, sf).select("url")
@@ -427,6 +448,14 @@ def read_results(spark, sf):
     return results.ranked(named, ("file", "query")).select("file", "query", "url", F.col("rank").cast("bigint").alias("rank"))
 
 
+@registered
+def read_arrays(spark, sf):
+    """Large JSON arrays read in pieces."""
+    read = arrays.read_result_arrays(spark, f"{inputs.result_arrays(spark, sf)}/*", encoding="UTF-8")
+    part = F.regexp_extract("file", "part=([0-9]+)", 1).cast("bigint")
+    return read.select(part.alias("part"), F.shiftright("pos", 31).alias("e"), "query", "url")
+
+
 @registered
 def write_results(spark, sf):
     """Saved searches line by line: how many lines a query takes, and how many URLs in all."""
