@@ -2,13 +2,15 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from pagesift.functions import urls
 from pagesift.operators import extract, fetch, search, validate
 from pagesift.operators.results import blacklist_filter
 from pagesift.sources import files
-from pagesift.streaming.results import stream_results
+from pagesift.operators.distinct import distinct_keep_first
+from pagesift.streaming.results import first_results, follow, saved_changes, stream_results
 from tests.conftest import SF
 from workload import inputs
 
@@ -85,3 +87,62 @@ def test_result_files_as_they_arrive(spark, tmp_path):
     columns = ["query", "url", "pos"]
     assert sorted(found.select(columns).collect()) == sorted(expected.select(columns).collect())
     assert found.count() == 6
+
+
+def follow_rows(spark, tmp_path, rows, changes, per_batch):
+    """The saved changes of a stream over files of ``rows``, and how many batches there were."""
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    rows.write.mode("overwrite").parquet(folder)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", per_batch).parquet(folder)
+    assert follow(changes(stream), out, str(tmp_path / "state")).awaitTermination(300)
+    return saved_changes(spark, out, "query", "url", "pos"), len([p for p in (tmp_path / "out").iterdir() if p.name.startswith("batch=")])
+
+
+def some_results(spark, n=4000):
+    """Result rows of two thirds of which belong to one query, with repeats, ties and positions that get smaller and larger."""
+    i = F.col("id")
+    return spark.range(n).select(
+        F.when(i % 3 > 0, "hot").otherwise(F.concat(F.lit("q"), i % 5)).alias("query"),
+        F.concat(F.lit("é"), F.pmod(F.xxhash64(i), F.lit(700))).alias("url"),
+        F.pmod(F.xxhash64(i, F.lit(1)), F.lit(900)).alias("pos"),
+    )
+
+
+@pytest.mark.parametrize("per_batch", [1, 7])
+def test_first_results_in_any_number_of_batches(spark, tmp_path, per_batch):
+    rows = some_results(spark).repartition(7, "pos").sortWithinPartitions(F.desc("pos"))
+    saved, batches = follow_rows(spark, tmp_path, rows, lambda s: first_results(s, 12, salts=3), per_batch)
+    assert batches == 7 // per_batch
+    found = sorted(search.cap_results(saved, 12).collect())
+    assert found == sorted(search.cap_results(rows, 12).collect())
+    assert len(found) == 6 * 12
+    # a group never saves more rows of a batch than it holds
+    assert saved.count() <= 6 * 3 * 12 * batches
+
+
+def test_first_positions_in_any_number_of_batches(spark, tmp_path):
+    rows = some_results(spark, 1000).repartition(4)
+    saved, batches = follow_rows(spark, tmp_path, rows, lambda s: distinct_keep_first(s, "query", "url"), 1)
+    assert batches == 4
+    assert sorted(distinct_keep_first(saved, "query", "url").collect()) == sorted(distinct_keep_first(rows, "query", "url").collect())
+
+
+def test_followed_files_that_come_later(spark, tmp_path):
+    folder, out, state = tmp_path / "results", str(tmp_path / "out"), str(tmp_path / "state")
+    folder.mkdir()
+    for i in range(4):
+        (folder / f"r{i}.json").write_text(json.dumps([{"query": "q", "urls": [f"u{j}" for j in range(i, 9 - i)]}, {"query": f"q{i}", "urls": ["u"]}]))
+        changes = first_results(blacklist_filter(stream_results(spark, str(folder))), 3)
+        assert follow(changes, out, state).awaitTermination(120)
+        kept = search.cap_results(saved_changes(spark, out, "query", "url", "pos"), 3)
+        assert sorted(kept.collect()) == sorted(search.cap_results(files.read_results(spark, str(folder)), 3).collect())
+    before = saved_changes(spark, out, "query", "url", "pos").count()
+    assert follow(changes, out, state).awaitTermination(120)
+    assert saved_changes(spark, out, "query", "url", "pos").count() == before
+
+
+def test_bounds_of_followed_results(spark, tmp_path):
+    stream = spark.readStream.schema("query STRING, url STRING, pos BIGINT").parquet(str(tmp_path))
+    for bounds in ((0, 1), (1, 0)):
+        with pytest.raises(ValueError):
+            first_results(stream, *bounds)
