@@ -65,9 +65,9 @@ def test_any_number_of_queries_is_one_scan(spark, tmp_path):
     assert plan(search.search_pages(spark.read.parquet(table), queries)).count("FileScan") == 1
 
 
-@pytest.mark.parametrize(("max_bytes", "joins"), [(1 << 20, "url"), (3000, "hash"), (100, None)])
+@pytest.mark.parametrize(("max_bytes", "joins"), [(1 << 20, "url"), (3000, "hash"), (100, "block"), (20, None)])
 def test_wanted_pages_are_chosen_by_what_fits(spark, max_bytes, joins):
-    """URLs, then hashes of URLs, then all pages; the outcome is the same."""
+    """URLs, then hashes of URLs, then a Bloom filter, then all pages; the outcome is the same."""
     pages = inputs.pages(spark, SF).select("url", F.lit(200).alias("status"), "html")
     wanted = pages.select("url").limit(300)
     keyed = pages.withColumnRenamed("url", "request")
