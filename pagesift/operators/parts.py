@@ -21,6 +21,9 @@ from pagesift.operators import extract
 from pagesift.session import materialize
 from pagesift.sources.templates import Template, template_for_stage
 
+#: blocks of files that may be broadcast (a few hundred bytes each), and parts to be joined (some 100 bytes each); more are joined by a shuffle
+BROADCAST_BLOCKS, BROADCAST_PARTS = 20_000, 100_000
+
 
 def _with_break(df: DataFrame) -> DataFrame:
     return df.withColumn("text", F.concat("text", F.lit("\n")))
@@ -33,27 +36,49 @@ def _joined(rows: DataFrame, *by: str) -> DataFrame:
     return held.select("file", F.get("held", F.lit(0))["part"].alias("part"), text.alias("text"))
 
 
-def _groups(marked: DataFrame, reach: int) -> DataFrame:
-    """(file, part, head): each open part in a group with about ``reach`` parts behind it.
+def _small(table: DataFrame, rows: int, most: int) -> DataFrame:
+    """``table`` of ``rows`` rows as the lesser side of a join. The bytes of its files tell little of what it takes in memory, so Spark isn't left to broadcast it."""
+    return F.broadcast(table) if rows <= most else table.hint("merge")
+
+
+def _groups(marked: DataFrame, reach: int) -> DataFrame | None:
+    """``marked`` with ``head``, the same for an open part and about ``reach`` parts behind it; null for parts that stay alone. None if all do.
 
-    Lines are followed up within the block of the file they were read from; how blocks hang together is told by one row per block.
+    Lines are followed up within the block of the file they were read from, as rows of a few numbers; how blocks hang together is told by one row per
+    block. Texts are moved once, by a join on their numbers.
     """
-    narrow = marked.select("file", F.col("part.path").alias("path"), F.col("part.block").alias("block"), "part", "open")
-    line = W.partitionBy("file", "path", "block").orderBy("part")
-    held = narrow.withColumn("held", F.max("open").over(line.rowsBetween(1 - reach, 0)))
-    order = W.partitionBy("file").orderBy("path", "block")
-    ends = held.groupBy("file", "path", "block").agg(F.max_by("held", "part").alias("runs_on"))
+    place = ["file", "path", "block"]
+    placed = marked.withColumns({c: F.col(f"part.{c}") for c in ("path", "block", "n")})
+    blocks = materialize(placed.select(*place).distinct().withColumn("id", F.monotonically_increasing_id()), "blocks")
+    count = blocks.count()
+    rows = placed.join(_small(blocks, count, BROADCAST_BLOCKS), place).drop("path", "block")
+    line, order = W.partitionBy("id").orderBy("n"), W.partitionBy("file").orderBy("path", "block")
+    held = rows.select("id", "n", F.max("open").over(line.rowsBetween(1 - reach, 0)).alias("held"))
+    held = materialize(held, "held_parts")
+    ends = blocks.join(_small(held.groupBy("id").agg(F.max_by("held", "n").alias("runs_on")), count, BROADCAST_BLOCKS), "id")
     ends = ends.withColumn("follows", F.coalesce(F.max("runs_on").over(order.rowsBetween(-reach, -1)), F.lit(False)))
-    lines = held.join(ends, ["file", "path", "block"]).withColumn("row", F.row_number().over(line))
-    taken = F.coalesce(F.lag("held").over(line), F.lit(False)) | (F.col("follows") & (F.col("row") <= reach))
+    ends = materialize(ends.withColumn("runs_over", F.lead("follows", 1, False).over(order)), "block_ends")
+    lines = held.join(_small(ends.select("id", "follows", "runs_over"), count, BROADCAST_BLOCKS), "id")
+    taken = F.coalesce(F.lag("held").over(line), F.lit(False)) | (F.col("follows") & (F.row_number().over(line) <= reach))
     # the groups of a block are numbered from 1; 0 is what belongs to the block before
-    numbered = lines.withColumn("group", F.sum(F.when(taken, 0).otherwise(1)).over(line))
-    blocks = numbered.groupBy("file", "path", "block").agg(F.max("group").alias("groups"))
-    own = F.struct("path", "block", F.col("groups").alias("group"))
+    numbered = lines.withColumn("taken", taken).select(
+        "id",
+        "n",
+        F.sum(F.when(F.col("taken"), 0).otherwise(1)).over(line).alias("group"),
+        (F.col("taken") | F.coalesce(F.lead("taken").over(line), F.col("runs_over"))).alias("together"),
+    )
+    numbered = materialize(numbered, "numbered_parts")
+    joined = numbered.where("together").count()
+    if not joined:
+        return None
+    groups = numbered.groupBy("id").agg(F.max("group").alias("groups"))
+    own = F.struct("id", F.col("groups").alias("group"))
+    blocks = ends.join(_small(groups, count, BROADCAST_BLOCKS), "id")
     blocks = blocks.withColumn("last", F.last(F.when(F.col("groups") > 0, own), True).over(order)).withColumn("before", F.lag("last").over(order))
-    joined = numbered.join(blocks.select("file", "path", "block", "before"), ["file", "path", "block"])
-    head = F.when(F.col("group") == 0, F.col("before")).otherwise(F.struct("path", "block", "group"))
-    return joined.select("file", "part", head.alias("head"))
+    members = numbered.where("together").join(_small(blocks.select("id", "before"), count, BROADCAST_BLOCKS), "id")
+    head = F.when(F.col("group") == 0, F.col("before")).otherwise(F.struct("id", "group"))
+    members = members.select("id", "n", head.alias("head"))
+    return materialize(rows.join(_small(members, joined, BROADCAST_PARTS), ["id", "n"], "left").drop("id", "n"), "grouped_parts")
 
 
 def joined_parts(parts: DataFrame, given: Sequence[str]) -> DataFrame:
@@ -61,22 +86,22 @@ def joined_parts(parts: DataFrame, given: Sequence[str]) -> DataFrame:
     if any(dialect.needs_whole_text(p) for p in given):
         return _joined(parts, "file")
     crossing = [patterns.FLAGS + dialect.open_end(p) for p in given if dialect.crosses_lines(p)]
-    reach = 1
-    while crossing:
-        left = [F.regexp_replace(F.concat("text", F.lit("\n")), F.lit(p), F.lit("")) != "" for p in crossing]
-        marked = materialize(parts.withColumn("open", reduce(lambda a, b: a | b, left)), "marked_parts")
+    if not crossing:
+        return parts
+    left = [F.regexp_replace(F.concat("text", F.lit("\n")), F.lit(p), F.lit("")) != "" for p in crossing]
+    is_open = reduce(lambda a, b: a | b, left)
+    parts, reach = parts.withColumn("open", is_open), 1
+    while True:
+        marked = materialize(parts, "marked_parts")
         if marked.where("open").isEmpty():
             return marked.drop("open")
-        heads = _groups(marked, reach)
-        reach = min(2 * reach, 1 << 30)  # so a match over many lines takes few rounds
-        several = heads.groupBy("file", "head").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-        members = materialize(heads.join(several, ["file", "head"]), "joined_parts")
-        if members.isEmpty():  # only texts' last parts are open
+        grouped = _groups(marked, reach)
+        if grouped is None:  # only texts' last parts are open
             return marked.drop("open")
-        alone = marked.join(members.select("file", "part"), ["file", "part"], "left_anti").select("file", "part", "text")
-        together = _joined(marked.join(members, ["file", "part"]), "file", "head")
+        reach = min(2 * reach, 1 << 30)  # so a match over many lines takes few rounds
+        alone = grouped.where("head IS NULL").drop("head")
+        together = _joined(grouped.where("head IS NOT NULL"), "file", "head").withColumn("open", is_open)
         parts = alone.unionByName(together)
-    return parts
 
 
 def exclude_from_parts(parts: DataFrame, excludes: Sequence[str]) -> DataFrame:

@@ -1,6 +1,7 @@
 """Patterns over cut texts against the whole text, and the trees behind it."""
 
 import random
+import re
 
 import pytest
 import regex
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pagesift.functions import dialect, patterns
 from pagesift.operators import extract, parts
+from pagesift.session import materialize
 from pagesift.sources.templates import entries_of
 
 PART = "struct<path:string,block:long,n:long>"
@@ -79,6 +81,23 @@ def test_only_what_a_match_may_cross_is_joined(spark):
     assert parts.extract_parts(rows.limit(0), template_of(['"([^"]+)"', "a"])).collect() == []
 
 
+def test_lines_to_be_joined_are_numbers(spark, monkeypatch):
+    """Which lines belong together is found without their paths, and many of them are not broadcast, however small their files are."""
+    plans = []
+
+    def written(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return materialize(df, name)
+
+    monkeypatch.setattr(parts, "BROADCAST_PARTS", 3, raising=False)
+    monkeypatch.setattr(parts, "materialize", written)
+    lines = ['"one"', '"two', 'end"', "x"] * 20
+    joined = [r.text for r in parts.joined_parts(cut(spark, {"f": lines}, random.Random(3)), ['"([^"]+)"']).orderBy("part").collect()]
+    assert "\n".join(joined) == "\n".join(lines) and len(joined) < len(lines)
+    assert not any(re.search(r"Join \[file#\d+, (part|head)#", plan) for plan in plans)
+    assert any(re.search(r"SortMergeJoin \[id#\d+L, n#\d+L\]", plan) for plan in plans)
+
+
 _SETS = st.lists(
     st.one_of(st.sampled_from(["&&", "||", "~~", "[", "[a", "&", "|", r"\]", r"\d", r"\s", r"\w", "a-c", "é", " ", "^", r"\-", "{", "(", ".", "$", "#"])), min_size=1, max_size=5
 ).map("".join)
