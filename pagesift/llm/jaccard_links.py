@@ -217,15 +217,16 @@ def labelled(members: DataFrame, links: DataFrame) -> DataFrame:
 def near_copies(docs: DataFrame, node: str = "node", part_bytes: int = PART_BYTES) -> DataFrame:
     """(node, root): the smallest node that each near copy is connected with; other nodes are left out. ``docs``: (node, text), ``node`` a unique number.
 
-    ``docs`` is read several times, so its numbers have to be the same each time.
+    ``docs`` is read several times, so its numbers have to be the same each time. How often doesn't depend on the number of turns: the texts that stand for
+    others after the first are written, and later turns read these alone.
     """
     seen = features(docs, node)
     sizes = seen.where(F.col("kind") == SIZE).select("node", F.col("value").alias("size"))
     found = materialize(candidates(seen).join(sizes, "node").withColumn("label", F.col("node")), "sized")
-    links, active, turn, cut = None, found, 0, None
+    links, active, turn, cut, texts = None, found, 0, None, docs
     while True:
         dealt = materialize(in_parts(active, part_bytes, turn), "parts")
-        own = decided(docs, node, dealt.withColumnRenamed("part", "unit"))
+        own = decided(texts, node, dealt.withColumnRenamed("part", "unit"))
         links = own if links is None else links.unionByName(own)
         large = materialize(dealt.where("parts > 1").select("node", "root", "size"), "large_groups")
         cut = large.select("root").distinct() if cut is None else cut
@@ -233,9 +234,14 @@ def near_copies(docs: DataFrame, node: str = "node", part_bytes: int = PART_BYTE
             break
         heads = materialize(labelled(large, links).where("node = label"), "heads")
         turn += 1
-        if heads.count() == large.count():
+        left = heads.count()
+        if left == large.count():
             break
         active = heads
+        if texts is docs:
+            few = heads.select(F.col("node").alias("_node"))
+            few = F.broadcast(few) if left <= BROADCAST_NODES else few
+            texts = materialize(docs.select(node, "text").join(few, F.col(node) == F.col("_node"), "left_semi"), "head_texts")
     if turn:
         links = links.unionByName(across(docs, node, labelled(join_hot(found, cut, "root", "node"), links), part_bytes))
     return components(links, "a", "b")

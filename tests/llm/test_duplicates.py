@@ -339,3 +339,21 @@ def test_groups_of_near_copies_in_parts(spark):
     for part_bytes in (1 << 20, 4_000):
         found = {r.node: r.root for r in jaccard_links.near_copies(docs, part_bytes=part_bytes).collect()}
         assert {**{n: n for n in linked_nodes}, **found} == {n: want[n] for n in linked_nodes}
+
+
+def test_turns_read_what_stands_for_others(spark, monkeypatch):
+    """However many turns a group of near copies takes, the whole table is read for the first one and for the last comparison only."""
+    words = [f"w{i}" for i in range(120)]
+    texts = [" ".join([*words[:i], f"x{i}", *words[i + 1 :]]) for i in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    given = []
+
+    def spied(table, *more, decide=jaccard_links.decided):
+        given.append((table is docs, table.count()))
+        return decide(table, *more)
+
+    monkeypatch.setattr(jaccard_links, "decided", spied)
+    found = {r.node: r.root for r in jaccard_links.near_copies(docs, part_bytes=2_000).collect()}
+    assert found == {i: 0 for i in range(1, len(texts))}
+    assert len(given) > 3 and sum(whole for whole, _ in given) <= 2
+    assert all(rows < len(texts) for whole, rows in given if not whole)
